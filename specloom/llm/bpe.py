@@ -1,9 +1,8 @@
 """Byte-level BPE encoding and decoding.
 
 Bytes are mapped to Latin-1 characters so that an Aho-Corasick automaton over characters can hold
-byte strings. The automaton holds the *reversed* tokens: one scan of the reversed piece then yields,
-for every start position, the longest token that begins there. Encoding walks the piece from the
-left, takes the longest token that may stand after its predecessor, falls back to that token's next
+byte strings; it follows a piece from any position as far as some token goes, which gives the longest
+token that begins there. Encoding walks the piece from the left, takes the longest token that may stand after its predecessor, falls back to that token's next
 shorter prefix, and steps back over a predecessor when no token fits. "May stand after" is a
 property of two adjacent tokens (would the merges have joined across their border before each was
 complete?) and is memoised, so a piece costs time linear in its bytes and equals the merges exactly.
@@ -29,8 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Strings up to CACHE_CHARS are kept in a worker's caches, each of two generations of at most CACHE_STRINGS.
-CACHE_CHARS, CACHE_STRINGS = 48, 250_000
+#: Strings up to CACHE_CHARS are kept in a worker's caches, each of two generations of at most so many.
+CACHE_CHARS, CACHED_CHUNKS, CACHED_PIECES = 48, 400_000, 100_000
 #: Fixed value: the public pattern for which a text may be cut before any space that a non-space follows.
 SPACED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -41,10 +40,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (x.split() for x in lines if x.strip())}
 
 
+_PACKERS = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
+def _pack(ids: list[int]) -> bytes:
+    return _PACKERS[len(ids)](*ids) if len(ids) < 32 else struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Recent:
     """A bounded cache: what was used since the last turnover survives it."""
 
-    def __init__(self) -> None:
+    def __init__(self, size: int) -> None:
+        self.size = size
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -57,7 +64,7 @@ class Recent:
     def put(self, key: str, value: bytes) -> None:
         if len(key) > CACHE_CHARS:
             return
-        if len(self.young) >= CACHE_STRINGS:
+        if len(self.young) >= self.size:
             self.old, self.young = self.young, {}
         self.young[key] = value
 
@@ -78,17 +85,17 @@ class Bpe:
         self.lengths = [len(self.bytes_of.get(rank, b"")) for rank in range(max(self.bytes_of) + 1)]
         #: The longest shorter token that begins a token.
         self.shorter = {rank: self._prefix(token) for token, rank in ranks.items() if self._made(rank)}
-        self.longest = ahocorasick.Automaton()
-        for token, rank in ranks.items():
-            if self._made(rank):
-                self.longest.add_word(token[::-1].decode("latin-1"), rank)
-        self.longest.make_automaton()
-        self.greedy = ahocorasick.Automaton()
-        for token, rank in ranks.items():
-            if self._made(rank):
-                self.greedy.add_word(token.decode("latin-1"), rank)
-        self.greedy.make_automaton()
-        self.pieces, self.chunks, self.spaced = Recent(), Recent(), pattern == SPACED_PATTERN
+        self.reach = max(self.lengths)
+        #: All beginnings of tokens, and the longest token that each of them begins with.
+        self.paths, self.best = ahocorasick.Automaton(), {}
+        for rank in sorted(self.shorter, key=self.lengths.__getitem__):
+            token = self.bytes_of[rank].decode("latin-1")
+            self.paths.add_word(token, rank)
+            for n in range(1, len(token)):
+                self.best.setdefault(token[:n], self.best.get(token[: n - 1]))
+            self.best[token] = rank
+        self.paths.make_automaton()
+        self.pieces, self.chunks, self.spaced = Recent(CACHED_PIECES), Recent(CACHED_CHUNKS), pattern == SPACED_PATTERN
 
     def _made(self, rank: int) -> bool:
         return rank in self.parts or len(self.bytes_of[rank]) == 1
@@ -156,38 +163,33 @@ class Bpe:
         if whole is not None:
             return [whole]
         latin = piece.decode("latin-1")
-        # Backtracking would take the longest tokens from the left if all of them fit.
-        ids = [rank for _, rank in self.greedy.iter_long(latin)]
-        known = self.memo.get
-        for pair in zip(ids, ids[1:]):
-            if not (known(pair) or self.fits(*pair)):
-                return self._backtrack(piece, latin)
-        return ids
-
-    def _backtrack(self, piece: bytes, latin: str) -> list[int]:
-        size, lengths = len(piece), self.lengths
-        begin = [-1] * size
-        for end, rank in self.longest.iter(latin[::-1]):
-            at = size - 1 - end
-            if begin[at] < 0 or lengths[rank] > lengths[begin[at]]:
-                begin[at] = rank
-        dead = bytearray(size + 1)
+        known, best, path = self.memo.get, self.best, self.paths.longest_prefix
+        lengths, shorter, reach, size = self.lengths, self.shorter, self.reach, len(latin)
         ids: list[int] = []
-        at, token = 0, begin[0]
-        while at < size:
+        dead: set[int] = set()
+        last, at, ahead = -1, 0, latin[:reach]
+        token = best[ahead[: path(ahead)]]
+        while True:
             end = at + lengths[token]
-            if not dead[end] and (not ids or self.fits(ids[-1], token)):
-                ids.append(token)
-                at = end
-                token = begin[at] if at < size else -1
-            elif self.shorter[token] is not None:
-                token = self.shorter[token]
-            else:
+            if end not in dead:
+                fits = last < 0 or known((last, token))
+                if fits is None:
+                    fits = self.fits(last, token)
+                if fits:
+                    ids.append(token)
+                    if end == size:
+                        return ids
+                    last, at, ahead = token, end, latin[end : end + reach]
+                    token = best[ahead[: path(ahead)]]
+                    continue
+            token = shorter[token]
+            while token is None:
                 # Nothing fits here: the predecessor was too long.
-                dead[at] = 1
+                dead.add(at)
                 token = ids.pop()
                 at -= lengths[token]
-        return ids
+                last = ids[-1] if ids else -1
+                token = shorter[token]
 
     def encode_packed(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -197,16 +199,21 @@ class Bpe:
         out = list(map(self.chunks.young.get, chunks))
         # The first chunk has no space before it; the cached ones have.
         out[0] = self._split_and_encode(chunks[0])
-        for i, packed in enumerate(out):
-            if packed is None:
-                chunk = chunks[i]
-                packed = self.chunks.get(chunk)
+        if None in out:
+            recent, put = self.chunks.get, self.chunks.put
+            for i, packed in enumerate(out):
                 if packed is None:
-                    if not chunk or chunk[0].isspace():
-                        return self._split_and_encode(text)
-                    packed = self._split_and_encode(" " + chunk)
-                    self.chunks.put(chunk, packed)
-                out[i] = packed
+                    chunk = chunks[i]
+                    packed = recent(chunk)
+                    if packed is None:
+                        if chunk.isascii() and chunk.isalpha():
+                            packed = _pack(self.encode_piece(b" " + chunk.encode()))
+                        elif not chunk or chunk[0].isspace():
+                            return self._split_and_encode(text)
+                        else:
+                            packed = self._split_and_encode(" " + chunk)
+                        put(chunk, packed)
+                    out[i] = packed
         return b"".join(out)
 
     def _split_and_encode(self, text: str) -> bytes:
@@ -215,7 +222,7 @@ class Bpe:
             packed = young(piece) or self.pieces.get(piece)
             if packed is None:
                 ids = self.encode_piece(piece.encode())
-                packed = struct.pack(f"<{len(ids)}I", *ids)
+                packed = _pack(ids)
                 self.pieces.put(piece, packed)
                 young = self.pieces.young.get
             out.append(packed)
