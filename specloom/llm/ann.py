@@ -168,14 +168,14 @@ def search(vectors: DataFrame, *, query_every: int = 20, k: int = 20, recall: fl
         sizes = placed.groupBy("list").agg(F.ceil(F.count("*") / tile).alias("row_tiles")).join(wanted.groupBy("list").agg(F.ceil(F.count("*") / tile).alias("query_tiles")), "list")
         sizes = F.broadcast(sizes)
         left = placed.join(sizes, "list").select("list", F.pmod(F.xxhash64("vec_id"), "row_tiles").alias("r"), F.explode(F.sequence(F.lit(0), F.col("query_tiles") - 1)).alias("c"), "vec_id", "x")
-        right = wanted.join(sizes, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("row_tiles") - 1)).alias("r"), F.pmod(F.xxhash64("query_id"), "query_tiles").alias("c"), "query_id", "x", "beat")
+        right = wanted.join(sizes, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("row_tiles") - 1)).alias("r"), F.pmod(F.xxhash64("query_id"), "query_tiles").alias("c"), "query_id", F.col("x").alias("y"), "beat")
 
         def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
             if not rows.num_rows or not queries.num_rows:
                 found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
             else:
                 beat = queries.column("beat").to_numpy()
-                found = scan(shared.value, rows.column("vec_id").to_numpy(), _matrix(rows.column("x")), queries.column("query_id").to_numpy(), _matrix(queries.column("x")), beat, k, epsilon, columns)
+                found = scan(shared.value, rows.column("vec_id").to_numpy(), _matrix(rows.column("x")), queries.column("query_id").to_numpy(), _matrix(queries.column("y")), beat, k, epsilon, columns)
             return pa.table({"query_id": found[0], "vec_id": found[1], "score": found[2]})
 
         return left.groupBy("list", "r", "c").cogroup(right.groupBy("list", "r", "c")).applyInArrow(run, FOUND)

@@ -125,11 +125,11 @@ def parse(df: DataFrame, html: str = "html", out: str = "parts") -> DataFrame:
     return df.withColumn(out, parts(F.col(f"`{html}`")))
 
 
-def resolve(df: DataFrame, media: DataFrame, key: str, parts: str = "parts") -> DataFrame:
-    """One row per media reference, with ``key``, its place and caption, and the columns of ``media``
+def resolve(df: DataFrame, media: DataFrame, keys: list[str], parts: str = "parts") -> DataFrame:
+    """One row per media reference, with ``keys``, its place and caption, and the columns of ``media``
     (one row per ``digest``) that the digest leads to; null where it leads nowhere."""
-    refs = df.select(F.col(f"`{key}`"), F.explode(F.filter(F.col(f"`{parts}`"), lambda p: p.kind == "media")).alias("_ref"))
-    refs = refs.select(key, *(F.col(f"_ref.{n}").alias(n) for n in ("position", "src", "digest", "caption", "alt")))
+    refs = df.select(*keys, F.explode(F.filter(F.col(f"`{parts}`"), lambda p: p.kind == "media")).alias("_ref"))
+    refs = refs.select(*keys, *(F.col(f"_ref.{n}").alias(n) for n in ("position", "src", "digest", "caption", "alt")))
     return refs.join(media, "digest", "left")
 
 
@@ -202,7 +202,7 @@ class _Pack:
                 self.close()
                 self.path, self.at = f"{self.folder}/{uuid.uuid4().hex}.pack", 0
                 files, name = pa.fs.FileSystem.from_uri(self.path)
-                self.file = files.open_output_stream(name)
+                self.file = files.open_output_stream(name, compression=None)
             self.file.write(image)
             found = (hashlib.sha256(image).hexdigest(), self.path, self.at, len(image))
             self.at += len(image)

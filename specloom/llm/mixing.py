@@ -31,6 +31,7 @@ PERIOD, GOLDEN = 1 << 31, 1327217885
 CELLS, RUN = 4096, 4096
 #: Documents that share a range of hash values, on average.
 RANGE_ROWS = 2000
+BROADCAST_SOURCES = 50_000
 
 
 def size_of(text: Column) -> Column:
@@ -54,9 +55,7 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float
     # The level of words per unit of weight if this source and all after it are open.
     level = (F.col("words") - F.col("full_words")) / F.col("open_weight")
     rows = rows.withColumn("level", level).withColumn("full", F.col("level") * F.col("weight") >= F.col("most"))
-    final = F.max(F.when(~F.col("full"), F.struct(-F.col("most") / F.col("weight"), "level").getField("level"))).over(all_)
     first_open = F.min(F.when(~F.col("full"), F.struct((F.col("most") / F.col("weight")).alias("o"), "level"))).over(all_).getField("level")
-    del final
     return rows.withColumn("target", F.when(F.col("full"), F.col("most")).otherwise(F.least(F.col("most"), first_open * F.col("weight")))).select("source", "source_size", "target")
 
 
@@ -90,9 +89,12 @@ def plan(docs: DataFrame, *, weights: Sequence[float] = (3, 1, 2), share: float
     block = max(1, min(block_words, (least or 1) // blocks_per_source))
     slots = (total or 0) // block
 
+    # A row for each source: broadcast up to BROADCAST_SOURCES of them.
+    few = F.broadcast if goals.count() <= BROADCAST_SOURCES else (lambda df: df)
+
     # Each source's line: where every document with words begins.
     known = goals.select(F.col("source").alias("_s"), "s", "rows", "source_size", "target", "goal")
-    line = line.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    line = line.join(few(known), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     spread = F.xxhash64("doc_id", F.lit(20))
     laid = line.where("size > 0").withColumn("h", spread).withColumn("part", F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * F.greatest(F.ceil(F.col("rows") / RANGE_ROWS), F.lit(1))).cast("long"))
     laid = _running(laid, ["s"], ["h", "doc_id", "size"], "size", "start", "part", ["doc_id", "source", "size", "s", "source_size", "target"])
@@ -104,8 +106,8 @@ def plan(docs: DataFrame, *, weights: Sequence[float] = (3, 1, 2), share: float
     cell = PERIOD // CELLS
     cells = bands.select("*", F.explode(F.sequence(F.floor(F.col("low") / cell), F.floor(F.greatest(F.col("high") - 1, F.col("low")) / cell))).alias("cell"))
     points = spark.range(slots).withColumn("point", F.col("id") % PERIOD * GOLDEN % PERIOD).withColumn("cell", F.floor(F.col("point") / cell))
-    hits = points.join(F.broadcast(cells), "cell").where("point >= low and point < high").select("id", "s", "goal", F.floor(F.col("id") / RUN).alias("run"), F.lit(1).alias("one"))
-    ranked = _running(hits, ["s"], ["id"], "one", "rank", "run", ["s", "goal", "rank"])
+    hits = points.join(few(cells), "cell").where("point >= low and point < high").select("id", "s", "goal", F.floor(F.col("id") / RUN).alias("run"), F.lit(1).alias("one"))
+    ranked = _running(hits, ["s"], ["id"], "one", "rank", "run", ["s", "goal"])
     wanted = F.ceil(F.col("goal") / block)
     had = hits.groupBy("s").agg(F.count("*").alias("had"))
     rest = bands.join(had, "s", "left").select("s", "goal", F.coalesce("had", F.lit(0)).alias("had")).where(F.col("had") < wanted)
@@ -113,7 +115,7 @@ def plan(docs: DataFrame, *, weights: Sequence[float] = (3, 1, 2), share: float
     schedule = ranked.where(F.col("rank") < wanted).unionByName(rest)
 
     # The words of a slot, as a range of the source's endless line; a range may end one round and begin the next.
-    sizes = F.broadcast(goals.select("s", "source_size"))
+    sizes = few(goals.select("s", "source_size"))
     spans = schedule.join(sizes, "s").withColumn("a", F.col("rank") * block).withColumn("b", F.least(F.col("a") + block, F.col("goal")))
     spans = spans.select("s", "source_size", F.explode(F.filter(F.array(*(
         F.struct(F.greatest(F.col("a") - F.col("source_size") * k, F.lit(0)).alias("a"), F.least(F.col("b") - F.col("source_size") * k, F.col("source_size")).alias("b")) for k in range(int(-(-cap // 1)) + 1)

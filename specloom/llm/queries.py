@@ -1,4 +1,4 @@
-"""The training-data queries over the shared tables."""
+"""The training-data queries over the shared tables, and their SQL twins where SQL can say them."""
 
 from __future__ import annotations
 
@@ -8,9 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ann, chat, lm, media, minhash, mixing, quality, urls, warc
 from .bpe import Tokenizer, packed_ids
 from .tables import table
 
+URL_RULES = (urls.Rule("block", "net", "/"), urls.Rule("allow", "example.net", "/en/"), urls.Rule("block", "example.com", "/de/"), urls.Rule("allow", "org", "/fr/"))
+#: Documents scored below this are rejected.
+QUALITY_THRESHOLD = 0.3
+
+
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sides = chat.perspectives(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("mask", lambda x: F.concat_ws("-", x["begin"].cast("string"), x["end"].cast("string"))), ",")
+    return sides.select("conv_id", "side", "segment", "n_turns", "text", spans.alias("mask"), "mask_chars")
+
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = Tokenizer(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -23,8 +34,101 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), ~lm.held_out(F.col("doc_id")))
+
+
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, "allow")
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=80)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.store(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    caption = F.concat(F.col("n_bytes").cast("string"), F.lit(" bytes"))
+    html = F.concat(F.lit("<article><p>Document as samples.</p><figure><img alt='samples' src='"), F.lit(media.SCHEME), F.col("digest"), F.lit("'><figcaption>"), caption, F.lit("</figcaption></figure></article>"))
+    pages = media.parse(stored.select("doc_id", "n_bytes", html.alias("html")))
+    shown = media.resolve(pages, media.examine(stored), ["doc_id", "n_bytes"])
+    feature = F.concat_ws("|", F.col("position").cast("string"), "caption", "look")
+    return shown.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat": op1_chat,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_lm_score": op3_lm_score,
+    "op4_nearest": op4_nearest,
+    "op5_mixing": op5_mixing,
+    "op6_quality": op6_quality,
+    "op7_urls": op7_urls,
+    "op8_minhash": op8_minhash,
+    "op9_warc": op9_warc,
+    "op10_media": op10_media,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_UPPER_TO_LOWER = f"'{urls.UPPER}', '{urls.LOWER}'"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat": """
+WITH t AS (
+    SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|', '< |') AS content
+    FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+), s AS (
+    SELECT DISTINCT conv_id, role AS side FROM t WHERE role IS NOT NULL AND role <> 'system'
+), m AS (
+    SELECT t.conv_id, side, CAST(floor(turn / 4096) AS BIGINT) AS segment, turn, role, content,
+        '<|im_start|>' || CASE WHEN role = side THEN 'assistant' WHEN role = 'system' THEN role
+            WHEN role IS NULL THEN 'user' ELSE 'user name=' || role END || chr(10) AS head
+    FROM t JOIN s USING (conv_id)
+), p AS (
+    SELECT *, sum(length(head) + length(content) + 11) OVER (
+        PARTITION BY conv_id, side, segment ORDER BY turn, role NULLS FIRST, content ROWS UNBOUNDED PRECEDING) AS upto
+    FROM m
+)
+SELECT conv_id, side, segment, count(*) AS n_turns,
+    string_agg(head || content || '<|im_end|>' || chr(10), '' ORDER BY turn, role NULLS FIRST, content) AS text,
+    coalesce(string_agg(CASE WHEN role = side THEN CAST(upto - length(content) - 11 AS BIGINT)::VARCHAR || '-' || CAST(upto AS BIGINT)::VARCHAR END,
+        ',' ORDER BY turn, role NULLS FIRST, content), '') AS mask,
+    CAST(coalesce(sum(CASE WHEN role = side THEN length(content) + 11 END), 0) AS BIGINT) AS mask_chars
+FROM p GROUP BY conv_id, side, segment
+""",
+    "op7_urls": f"""
+WITH u AS (
+    SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), p AS (
+    SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), {_UPPER_TO_LOWER}) AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+), r AS (
+    SELECT *, CASE
+        WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+        WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+        WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+        WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM p
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r
+""",
+}

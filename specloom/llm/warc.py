@@ -133,7 +133,7 @@ class _Writer:
     def _begin(self) -> None:
         self.path = f"{self.folder}/{uuid.uuid4().hex}.warc.zst"
         files, name = _open(self.path)
-        self.file = files.open_output_stream(name)
+        self.file = files.open_output_stream(name, compression=None)
         head = struct.pack("<II", DICTIONARY_FRAME, len(self.dictionary)) + self.dictionary if self.dictionary else b""
         self.file.write(head)
         self.at = self.start = len(head)
