@@ -7,12 +7,13 @@ lists of the retained values give the overlaps: of two sets with the wanted simi
 values, and one whose values are mostly its own is in no list. Pairs are filtered by the similarity
 of the union of their sketches, then the exact similarity of the full sets decides.
 
-A list of up to ``short`` documents gives all its pairs. In a longer one, all are compared with the
-document that shares most of its shingles; who is not linked to the list's largest component then is
-compared with every member outside its own component, in rounds of bounded size, until nobody is
-left. Inside a component no pair can add a reachable document, so no link that matters is lost, and a
-group of n near copies costs about n comparisons. A pair that cannot reach the similarity, because
-too many shingles of one of them occur in no other candidate, is left out beforehand.
+A list of up to ``short`` documents gives all its pairs. In a longer one, all are compared with its
+centre, the document that shares most of its shingles; who is not linked to the list's largest
+component then is held against every member outside its own component, in rounds of bounded size,
+until nobody is left. Inside a component no pair can add a reachable document, so no link that matters
+is lost. Pairs are left out beforehand if they cannot reach the similarity, because too many shingles
+of one occur in no other candidate, or because what both share with the centre and what they share
+beside it would not be enough: of a group of n near copies about n pairs are compared.
 
 ``shared_at_least`` is six standard deviations below the mean number of common values of a pair just
 at the threshold (a loss in less than one in 10^8 such pairs); sets smaller than the sketch are exact.
@@ -173,7 +174,7 @@ def components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, k: int = 64, short: int = 64, pairs_per_node: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, k: int = 64, short: int = 64, pairs_per_node: int = 4096) -> DataFrame:
     """Components of documents whose shingle sets have a similarity of ``percent`` / 100 or more.
 
     Takes ``doc_id, text``; returns ``doc_id, n_shingles, component_id, kept`` for every row.
@@ -193,18 +194,26 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, k: in
     owned = owned.groupBy("node").agg(F.count("*").alias("own"))
     lists = written(lists.join(owned, "node", "left").withColumn("free", F.col("n") - F.coalesce("own", F.lit(0))).drop("own"), "lists")
 
-    ordered = (F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     few = lists.where(F.col("len") <= short)
     pairs = few.alias("p").join(few.alias("q"), (F.col("p.v") == F.col("q.v")) & (F.col("p.node") < F.col("q.node")) & _can_reach("p", "q", percent)).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
+    found = verified(pairs, full, k, percent)
+
+    # Long lists: everyone against the list's centre, and what each has beside the centre's shingles.
     many = lists.where(F.col("len") > short)
-    centre = many.groupBy("v").agg(F.min(F.struct((1 - F.col("free") / F.col("n")).alias("r"), "node", "n", "free")).alias("c")).select("v", "c.*")
-    first = centre.alias("p").join(many.alias("q"), (F.col("p.v") == F.col("q.v")) & (F.col("p.node") != F.col("q.node")) & _can_reach("p", "q", percent)).select(F.col("p.node").alias("x"), F.col("q.node").alias("y")).select(*ordered)
-    links = written(verified(pairs.unionByName(first).distinct(), full, k, percent), "edges")
+    centre = many.groupBy("v").agg(F.min(F.struct((1 - F.col("free") / F.col("n")).alias("r"), "node")).alias("c")).select("v", F.col("c.node").alias("centre"))
+    many = many.join(centre, "v")
+    other = full.select(F.col("node").alias("centre"), F.col("shingles").alias("sc"))
+    beside = many.select("centre", "node").distinct().join(full.select("node", "shingles"), "node").join(other, "centre")
+    beside = beside.select("centre", "node", F.size(F.array_intersect("shingles", "sc")).alias("inner"), F.size("sc").alias("n_centre"), F.size("shingles").alias("n_node"), F.array_except("shingles", "sc").alias("rest"))
+    beside = written(beside, "beside")
+    starred = beside.where((F.col("node") != F.col("centre")) & ((100 + percent) * F.col("inner") >= percent * (F.col("n_centre") + F.col("n_node"))))
+    starred = starred.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))
+    links = written(found.unionByName(starred.distinct()), "edges")
     roots = components(links)
 
     # What is left of the long lists.
     keys = many.groupBy("node").agg(F.array_sort(F.collect_list("v")).alias("vs"), F.max("len").alias("most"))
-    many = written(many.join(keys, "node"), "long")
+    many = written(many.join(keys, "node").join(beside.select("centre", "node", "inner", "rest"), ["centre", "node"]), "long")
     left = written(many.select("node").distinct(), "left")
     size = left.count()
     while size:
@@ -219,10 +228,13 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, k: in
             break
         share = min(1.0, max(pairs_per_node * size, 100_000) / work)
         turn = outside if share == 1 else outside.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
-        # A pair that meets in several lists is taken from the first of them.
+        # A pair that meets in several lists is taken from the first of them. Two sets have at most so much
+        # in common as the lesser has with the centre, and what they have in common beside it.
         once = F.col("p.v") == F.array_min(F.array_intersect("p.vs", "q.vs"))
-        more = turn.alias("p").join(now.alias("q"), (F.col("p.v") == F.col("q.v")) & (F.col("p.root") != F.col("q.root")) & _can_reach("p", "q", percent) & once)
-        more = more.select(F.col("p.node").alias("x"), F.col("q.node").alias("y")).select(*ordered).distinct()
+        inner = F.least("p.inner", "q.inner") + F.size(F.array_intersect("p.rest", "q.rest"))
+        enough = (100 + percent) * inner >= percent * (F.col("p.n") + F.col("q.n"))
+        more = turn.alias("p").join(now.alias("q"), (F.col("p.v") == F.col("q.v")) & (F.col("p.root") != F.col("q.root")) & _can_reach("p", "q", percent) & once & enough)
+        more = more.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
         new = verified(more, full, k, percent)
         links = written(links.unionByName(new), "edges")
         roots = components(links)
