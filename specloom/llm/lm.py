@@ -43,7 +43,7 @@ GRAM, WORD = 0, 1
 #: Hash under which the end of a text is counted among the words.
 END = -(1 << 63)
 #: Bytes of text handled at once, and distinct keys that a task gathers before it passes them on.
-BLOCK_BYTES, GATHERED = 4 << 20, 1_500_000
+BLOCK_BYTES, BLOCK_ROWS, GATHERED = 1 << 20, 1000, 1_500_000
 
 
 def words(text: bytes) -> list[bytes]:
@@ -114,7 +114,7 @@ def count(docs: DataFrame, order: int) -> DataFrame:
             yield from rows(WORD, keys, np.fromiter(vocabulary.values(), np.int64, len(vocabulary)))
             vocabulary.clear()
 
-        for batch in batches:
+        for batch in (whole.slice(at, BLOCK_ROWS) for whole in batches for at in range(0, whole.num_rows, BLOCK_ROWS)):
             texts = _texts(batch.column(0))
             for a, b in _blocks(texts):
                 keys, n = np.unique(grams(texts[a:b], order)[0], return_counts=True)
@@ -177,6 +177,7 @@ class Trie:
         top = self.levels[0]
         owner = np.repeat(np.arange(len(top.contexts)), top.distinct)
         self.top = np.log10(top.counts / (top.total + top.distinct)[owner]) if len(owner) else np.zeros(0)
+        top.counts = np.zeros(0, np.int64)  # no longer needed
         self.index: KeyIndex | None = None
 
     def logs(self, keys: np.ndarray) -> np.ndarray:
@@ -190,14 +191,16 @@ class Trie:
         lost, excluded = np.zeros(len(open_), np.int64), np.zeros(len(open_), np.int64)
         for k, level in enumerate(self.levels):
             key = keys & ((1 << 8 * (self.order - k + 1)) - 1)
-            event, hit = _search(level.events, key)
+            # What is still open at the longest context has no event there.
+            event, hit = _search(level.events, key) if k else (open_, np.zeros(len(open_), bool))
             context, seen = _search(level.contexts, key >> 8)
             if not len(level.contexts):
                 continue
             weight = level.total[context] - lost
             kinds = level.distinct[context] - excluded
             with np.errstate(divide="ignore", invalid="ignore"):
-                out[open_[hit]] += np.log10(level.counts[event[hit]] / (weight + kinds)[hit])
+                if k:
+                    out[open_[hit]] += np.log10(level.counts[event[hit]] / (weight + kinds)[hit])
                 escape = np.log10(kinds / (weight + kinds))
             left = seen & ~hit & (kinds > 0)
             out[open_[left]] += escape[left]
@@ -218,7 +221,7 @@ class KeyIndex:
     """Open addressing over distinct 64-bit keys, filled and searched for whole arrays at once."""
 
     def __init__(self, keys: np.ndarray):
-        self.keys, self.bits = keys, max(4, (5 * len(keys) // 2).bit_length())
+        self.keys, self.bits = keys, max(4, (3 * len(keys) // 2).bit_length())
         self.slots = np.full(1 << self.bits, -1, np.int32)
         rest, at = np.arange(len(keys), dtype=np.int32), self._home(keys)
         while len(rest):
@@ -353,7 +356,7 @@ def _scorer(trie, known, end_log: float | None, often: int, slices: int, part: i
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, BLOCK_ROWS) for whole in batches for at in range(0, max(1, whole.num_rows), BLOCK_ROWS)):
             texts, held = _texts(batch.column(1)), batch.column(2).to_pylist()
             sums = np.zeros(len(texts))
             found: list[tuple] = []
