@@ -1,0 +1 @@
+"""Specification-corpus analytics on Spark: search, hierarchy, versions, references, definitions, diffs."""
