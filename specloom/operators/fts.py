@@ -217,11 +217,11 @@ def with_snippets(found: DataFrame, index: Index, query: str, fields: list[str])
     tokens = index.tokens
 
     @F.arrow_udf("string")
-    def cut(*columns: pa.Array) -> pa.Array:
+    def cut(rows: pa.Array) -> pa.Array:
         out = []
-        for row in zip(*(c.to_pylist() for c in columns), strict=True):
-            chosen = max(row, key=lambda t: len(terms & set(tokens(t or ""))))
+        for row in rows.to_pylist():
+            chosen = max(row.values(), key=lambda t: len(terms & set(tokens(t or ""))))
             out.append(snippet(chosen or "", tokens, terms))
         return pa.array(out, pa.string())
 
-    return found.withColumn("snippet", cut(*(F.col(f) for f in fields)))
+    return found.withColumn("snippet", cut(F.struct(*fields)))

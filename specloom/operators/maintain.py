@@ -56,8 +56,8 @@ def insert_documents(tables: dict[str, DataFrame], new: dict[str, DataFrame]) ->
 def merge_files(rows: DataFrame, by: Sequence[str], file_order: str, order: str) -> DataFrame:
     """Of rows that several files give for one key, the last file's, at the place of the first."""
     others = [c for c in rows.columns if c not in (*by, order, file_order)]
-    merged = rows.groupBy(*by).agg(F.max_by(F.struct(*others), F.struct(file_order, order)).alias("_r"), F.min(F.struct(file_order, order)).alias("_first"))
-    return merged.select(*by, F.col(f"_first.{order}").alias(order), "_r.*")
+    merged = rows.groupBy(*by).agg(F.max(F.struct(file_order, order, *others)).alias("_r"), F.min(F.struct(file_order, order)).alias("_first"))
+    return merged.select(*by, F.col(f"_first.{order}").alias(order), *(f"_r.{o}" for o in others))
 
 
 def evict(entries: DataFrame, limit: int, keep: tuple[str, str] | None = None) -> DataFrame:
