@@ -103,7 +103,7 @@ PARTS_SQL = """base AS (
 ), w AS (
     SELECT CASE WHEN n % 13 = 4 THEN 'A.' || n::VARCHAR ELSE n::VARCHAR END AS number,
         CASE WHEN n % 19 = 7 THEN title || ' (new)' ELSE title END AS title,
-        CASE WHEN n % 9 = 2 THEN body || chr(10) || 'new' ELSE body END AS body,
+        CASE WHEN n % 9 = 2 THEN body || chr(10) || 'new' WHEN n % 9 = 5 THEN body || chr(10) || chr(10) ELSE body END AS body,
         CASE WHEN n % 9 = 2 THEN 4 WHEN n % 9 = 5 THEN 5 ELSE 3 END AS lines FROM base WHERE n % 17 <> 6)"""
 
 

@@ -123,7 +123,7 @@ def normalize_title(title: Column) -> Column:
 
 
 def line_count(text: Column) -> Column:
-    return F.when(text == "", F.lit(0)).otherwise(F.regexp_count(text, F.lit("\n")) + 1)
+    return F.regexp_count(text, F.lit("\n")) + 1
 
 
 def strip_heading(text: Column) -> Column:
