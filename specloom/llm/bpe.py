@@ -274,7 +274,8 @@ class Tokenizer:
             coder = _shared(shared.value, pattern)
             return pa.array([coder.decode(x.tolist()) for x in _rows(ids)], pa.binary())
 
-        self._encode, self._decode = encode, decode
+        # Spark may copy a deterministic function into each of its uses; the ids are found once.
+        self._encode, self._decode = encode.asNondeterministic(), decode
 
     def ids(self, text: Column) -> Column:
         """Ids of a text column; a null text has no ids."""
