@@ -149,7 +149,7 @@ def table_html(table: ElementTree.Element) -> str:
 
 def latex(node: ElementTree.Element) -> str:
     """A formula's tree as LaTeX: fractions, scripts, roots, sums, delimiters, matrices, functions."""
-    tag, child = node.tag.removeprefix(M), lambda n: "".join(latex(x) for x in node.find(M + n) or ())
+    tag, child = node.tag.removeprefix(M), lambda n: "".join(latex(x) for e in node.findall(M + n)[:1] for x in e)
     value = lambda path, default: (x.get(M + "val") if (x := node.find(path)) is not None else None) or default
     if tag == "t":
         return re.sub(r"([#$%&_{}])", r"\\\1", node.text or "")
@@ -198,7 +198,7 @@ def docx_sections(data: bytes) -> list[dict]:
             outline.block(f"```{kind}\n" + "\n".join(code) + "\n```")
             code.clear()
 
-    for block in body.find(W + "body") or ():
+    for block in (x for e in body.findall(W + "body")[:1] for x in e):
         if block.tag == W + "tbl":
             end_code()
             outline.block(table_html(block))
