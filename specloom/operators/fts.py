@@ -78,6 +78,14 @@ def _starts(index: Index, phrase: q.Phrase) -> DataFrame:
     return found.select("doc", "field", "pos", (F.col("pos") + len(terms) - 1).alias("stop"))
 
 
+def _fits(index: Index, phrase: q.Phrase) -> Column:
+    """Whether a posting is a phrase of one token."""
+    (term,) = index.tokens(phrase.text)
+    here = F.startswith("term", F.lit(term)) if phrase.prefix else F.col("term") == term
+    here = here & (F.col("pos") == 0) if phrase.anchored else here
+    return here if phrase.field is None else here & (F.col("field") == phrase.field)
+
+
 def _occurrences(index: Index, leaf: q.Phrase | q.Near) -> list[DataFrame]:
     """The occurrences of each phrase of a leaf; those of a group only where the group holds."""
     if isinstance(leaf, q.Phrase):
@@ -127,12 +135,21 @@ def matches(index: Index, query: str) -> DataFrame:
     leaves = q.phrases(node)
     weight = F.create_map(*(F.lit(x) for f, w in index.weights.items() for x in (f, float(w))))
     # A row for each document and phrase; a group's phrases count one by one, and as one for the tree.
-    rows, owner = [], []
+    rows, owner, single = [], [], []
     for k, leaf in enumerate(leaves):
+        if isinstance(leaf, q.Phrase) and len(index.tokens(leaf.text)) == 1:
+            single.append((len(owner), leaf))
+            owner.append(k)
+            continue
         for found in _occurrences(index, leaf):
-            rows.append(found.groupBy("doc").agg(F.sum(weight[F.col("field")]).alias("f")).withColumn("p", F.lit(len(owner))))
+            rows.append(found.select("doc", "field", F.lit(len(owner)).alias("p")))
             owner.append(k)
-    found = reduce(DataFrame.unionByName, rows)
+    if single:
+        # All phrases of one token are found in one pass over the postings.
+        fits = [F.when(_fits(index, leaf), F.lit(p)) for p, leaf in single]
+        once = index.postings.where(reduce(lambda a, b: a | b, (_fits(index, leaf) for _, leaf in single)))
+        rows.append(once.select("doc", "field", F.explode(F.array_compact(F.array(*fits))).alias("p")))
+    found = reduce(DataFrame.unionByName, rows).groupBy("doc", "p").agg(F.sum(weight[F.col("field")]).alias("f"))
     counts = found.groupBy("p").agg(F.count("*").alias("n"))
     stats = index.lengths.agg(F.count("*").alias("total"), F.avg("tokens").alias("average"))
     idf = F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))

@@ -69,9 +69,15 @@ def evict(entries: DataFrame, limit: int, keep: tuple[str, str] | None = None) -
     if limit < 0:
         return entries
     fetched = F.lit(False) if keep is None else (F.col("spec_id") == keep[0]) & (F.col("version") == keep[1])
-    # What is kept comes first; then the most recent as long as they fit.
-    order = Window.orderBy(fetched.desc(), F.desc("last_used_at"), F.desc("ord")).rowsBetween(Window.unboundedPreceding, 0)
-    return entries.withColumn("_fetched", fetched).withColumn("_sum", F.sum("bytes").over(order)).where((F.col("_sum") <= limit) | F.col("_fetched")).drop("_sum", "_fetched")
+    # What is kept comes first; then the most recent as long as they fit. Days are added up first, so that
+    # no task orders more than the entries of a day.
+    marked = entries.withColumn("_fetched", fetched).withColumn("_day", F.when(F.col("_fetched"), F.lit(None)).otherwise(F.to_date(F.col("last_used_at").cast("timestamp"))))
+    newest = (F.col("_day").isNull() & F.col("_fetched")).desc(), F.col("_day").desc_nulls_last()
+    days = marked.groupBy("_day", "_fetched").agg(F.sum("bytes").alias("_bytes"))
+    days = days.withColumn("_ahead", F.coalesce(F.sum("_bytes").over(Window.orderBy(*newest).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = Window.partitionBy("_day", "_fetched").orderBy(F.desc("last_used_at"), F.desc("ord")).rowsBetween(Window.unboundedPreceding, 0)
+    summed = marked.withColumn("_in", F.sum("bytes").over(inside)).alias("e").join(days.alias("d"), F.col("e._day").eqNullSafe(F.col("d._day")) & (F.col("e._fetched") == F.col("d._fetched")))
+    return summed.where((F.col("d._ahead") + F.col("e._in") <= limit) | F.col("e._fetched")).select(*(F.col(f"e.{c}") for c in entries.columns))
 
 
 def touch(entries: DataFrame, log: DataFrame) -> DataFrame:

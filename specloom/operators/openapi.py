@@ -67,8 +67,11 @@ def chunks(docs: DataFrame) -> DataFrame:
         return pa.array(out, pa.string())
 
     rows = rows.withColumn("body", text("kind", "name", "filename", "body", "targets"))
-    order = Window.orderBy("filename", "spec_id", "api_name", "place")
-    return rows.withColumn("ord", F.row_number().over(order).cast("long")).select("ord", "spec_id", "api_name", "filename", "kind", "name", "body")
+    # Descriptions are numbered by their names alone; a description's parts follow one another.
+    files = docs.select("filename", "spec_id", "api_name").distinct()
+    files = files.withColumn("file", F.row_number().over(Window.orderBy("filename", "spec_id", "api_name")))
+    rows = rows.join(files, ["filename", "spec_id", "api_name"]).withColumn("ord", F.col("file").cast("long") * 1_000_000 + F.col("place"))
+    return rows.select("ord", "spec_id", "api_name", "filename", "kind", "name", "body")
 
 
 def listing(docs: DataFrame, spec_id: str | None = None) -> DataFrame:

@@ -154,7 +154,8 @@ def test_eviction_equals_the_loop(spark):
         left = sorted(rows, key=lambda r: (r[3], r[4]))
         while sum(r[2] for r in left) > limit and any(r[:2] != keep for r in left):
             left.remove(next(r for r in left if r[:2] != keep))
-        got = maintain.evict(spark.createDataFrame(rows, "spec_id string, version string, bytes long, last_used_at int, ord long"), limit, keep)
+        entries = spark.createDataFrame(rows, "spec_id string, version string, bytes long, last_used_at int, ord long")
+        got = maintain.evict(entries.withColumn("last_used_at", F.timestamp_seconds(F.col("last_used_at") * 40_000)), limit, keep)
         kept = {r.spec_id for r in got.collect()}
         # What stays is the most recent that fit beside the kept one.
         assert kept == {r[0] for r in left}
