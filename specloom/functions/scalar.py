@@ -141,6 +141,20 @@ def heading(level: Column, number: Column, title: Column) -> Column:
     return F.concat(marks, F.lit(" "), F.when((number == title) | (number == ""), title).otherwise(F.concat_ws(" ", number, title)))
 
 
+def keep_indent(text: Column) -> Column:
+    """Lines' leading white space as no-break spaces, four for a tab; blank lines at either end go."""
+    blank = F.lit("\u00a0")
+
+    def line(x: Column) -> Column:
+        lead = F.regexp_extract(x, r"\A[ \t\u00a0]*", 0)
+        wide = F.replace(F.translate(lead, " ", "\u00a0"), F.lit("\t"), F.repeat(blank, F.lit(4)))
+        core = F.regexp_replace(x, r"\A[\s\u00a0]+|[\s\u00a0]+\z", "")
+        return F.when(core == "", "").otherwise(F.concat(wide, core))
+
+    lines = F.array_join(F.transform(F.split(text, "\n"), line), "\n")
+    return F.regexp_replace(lines, r"\A\n+|\n+\z", "")
+
+
 # Measures ------------------------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import ascii_istartswith, bare_id, version_key
+from ..functions.scalar import ascii_istartswith, bare_id, normalize_version, release_of, release_request, version_key
 
 #: From the weakest to the strongest place where a version can be had.
 AVAILABILITY = ("archive", "cached", "database")
@@ -42,6 +42,31 @@ def newest(rows: DataFrame, by: list[str], version: str = "version") -> DataFram
     return rows.groupBy(*by).agg(F.max_by(version, version_key(F.col(version))).alias(version))
 
 
+def resolve(available: DataFrame, request: str = "") -> DataFrame:
+    """``spec_id, version`` that a request means in each document's versions: the newest for none or
+    ``latest``, the newest of a release for ``18`` or ``Rel-18``, else that very version in either form.
+
+    Documents without such a version have no row; a request of no known form is an error.
+    """
+    asked = request.strip()
+    rows = available.select("spec_id", "version")
+    if asked and asked.lower() != "latest":
+        spark = available.sparkSession
+        text = F.lit(asked)
+        release, wanted = spark.range(1).select(release_request(text), normalize_version(text)).first()
+        if release is None and wanted is None:
+            raise ValueError(f"invalid version {request!r}")
+        rows = rows.where(release_of(F.col("version")) == release if release is not None else normalize_version(F.col("version")) == wanted)
+    return newest(rows, ["spec_id"])
+
+
+def placed(*places: tuple[str, DataFrame]) -> DataFrame:
+    """``spec_id, version, place``: where each version is read from, the first of the places that has it."""
+    ranked = [rows.select("spec_id", "version", F.struct(F.lit(k).alias("rank"), F.lit(name).alias("place")).alias("p")) for k, (name, rows) in enumerate(places)]
+    best = reduce(DataFrame.unionByName, ranked).groupBy("spec_id", "version").agg(F.min("p").alias("p"))
+    return best.select("spec_id", "version", "p.place")
+
+
 def latest_entries(entries: DataFrame, release: int | None = None, max_release: int | None = None, series: list[str] | None = None, spec: str | None = None) -> DataFrame:
     """Of the archive entries that pass all filters, the newest per document, ordered by document.
 
@@ -80,6 +105,12 @@ def family(specs: DataFrame, spec_id: str) -> DataFrame:
     return specs.where(F.startswith("id", F.lit(spec_id + "-"))).select("id").distinct().orderBy("id")
 
 
+def image_list(images: DataFrame, spec_id: str, version: str) -> DataFrame:
+    """A document's pictures without their data."""
+    rows = images.where((F.col("spec_id") == spec_id) & (F.col("version") == version))
+    return rows.select("name", "mime_type", "llm_readable").orderBy("name")
+
+
 def image(images: DataFrame, spec_id: str, version: str, name: str) -> DataFrame:
     """An image by name, or by its name without extension: readable ones first, then by name."""
     base = F.regexp_replace(F.lit(name), r"\.[^.]*\z", "")

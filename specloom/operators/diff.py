@@ -5,15 +5,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.figures import one_spelling_column
 from ..functions.scalar import line_count, normalize_title, strip_heading
 
 #: Edits beyond which two texts count as replaced as a whole.
 MOST_EDITS = 1024
 
 
+def _body(content: Column) -> Column:
+    """What counts as a section's content: without its heading, pictures by one spelling. Only contents
+    with pictures go through Python."""
+    text = strip_heading(content)
+    return F.when(F.contains(text, F.lit("image://")), one_spelling_column(text)).otherwise(text)
+
+
 def structural(old: DataFrame, new: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The differences of ``number, title, content``: one row each.
 
@@ -24,7 +32,7 @@ def structural(old: DataFrame, new: DataFrame, by: Sequence[str] = ()) -> DataFr
     by = list(by)
     side = lambda rows, p: rows.select(*by, "number", F.struct(F.col("title"), F.col("content")).alias(p))
     both = side(old, "o").join(side(new, "n"), [*by, "number"], "full_outer")
-    body = lambda c: strip_heading(F.col(f"{c}.content"))
+    body = lambda c: _body(F.col(f"{c}.content"))
     gone, fresh = F.col("n").isNull(), F.col("o").isNull()
     kinds = F.array(
         F.when(gone, "removed").when(fresh, "added"),
@@ -38,7 +46,7 @@ def structural(old: DataFrame, new: DataFrame, by: Sequence[str] = ()) -> DataFr
     was = single.where("change = 'removed'").select(*by, "_t", F.col("number").alias("old_number"), F.col("o").alias("_o"))
     now = single.where("change = 'added'").select(*by, "_t", F.col("number"), F.col("n").alias("_n"))
     pairs = was.join(now, [*by, "_t"])
-    edited = strip_heading(F.col("_o.content")) != strip_heading(F.col("_n.content"))
+    edited = _body(F.col("_o.content")) != _body(F.col("_n.content"))
     renumbered = pairs.select(*by, F.explode(F.filter(F.array(F.lit("renumbered"), F.when(edited, "content")), lambda k: k.isNotNull())).alias("change"), "number", "old_number", F.col("_o").alias("o"), F.col("_n").alias("n"))
     used = pairs.select(*by, F.lit("removed").alias("change"), F.col("old_number").alias("number")).unionByName(pairs.select(*by, F.lit("added").alias("change"), "number"))
     rest = rows.join(used, [*by, "change", "number"], "left_anti")

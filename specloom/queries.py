@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import corpus as c
 from .functions import markup, scalar
-from .operators import catalog, defs, diff, fts, hierarchy, maintain, openapi, references
+from .operators import blocks, catalog, defs, diff, fts, hierarchy, maintain, openapi, references
 from .sources import archive, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -235,6 +235,22 @@ def update_plan(spark, sf_dir):
     return catalog.update_plan(everything.where("id not like '%7'"), have, below_cap=everything)
 
 
+@query(f"WITH {c.DATED_SQL} SELECT spec_id, arg_max(version, m * 100 + d) AS version FROM dated WHERE y = 6 GROUP BY spec_id")
+def resolve_release(spark, sf_dir):
+    return catalog.resolve(c.dated(spark, sf_dir), "Rel-6")
+
+
+@query(f"WITH {c.DATED_SQL} SELECT DISTINCT spec_id, version FROM dated WHERE y = 5 AND m = 3 AND d = 9")
+def resolve_version(spark, sf_dir):
+    return catalog.resolve(c.dated(spark, sf_dir), "v5.03.9")
+
+
+@query(f"""WITH {c.DATED_SQL} SELECT spec_id, version, CASE WHEN bool_or(ord % 3 = 0) THEN 'database' WHEN bool_or(ord % 2 = 0) THEN 'cache' ELSE 'archive' END AS place FROM dated GROUP BY ALL""")
+def version_places(spark, sf_dir):
+    rows = c.dated(spark, sf_dir)
+    return catalog.placed(("database", rows.where("ord % 3 = 0")), ("cache", rows.where("ord % 2 = 0")), ("archive", rows))
+
+
 # Hierarchy -----------------------------------------------------------------------------------------
 
 
@@ -541,6 +557,23 @@ def api_file_names(spark, sf_dir):
     return c.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), archive.api_file(name).alias("f")).select("k", "f.*")
 
 
+@query("""SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN 'TR ' ELSE 'TS ' END || lpad((p_partkey % 90 + 10)::VARCHAR, 2, '0') || '.' || lpad((p_partkey % 900 + 100)::VARCHAR, 3, '0') || CASE WHEN p_partkey % 4 = 0 THEN '-' || (p_partkey % 9)::VARCHAR ELSE '' END AS spec_id,
+    'g' || (p_size % 10)::VARCHAR || '0' AS token, 16 AS release FROM part""")
+def document_file_names(spark, sf_dir):
+    k = F.col("p_partkey")
+    name = F.concat((k % 90 + 10).cast("string"), (k % 900 + 100).cast("string"), F.when(k % 4 == 0, F.concat(F.lit("-"), (k % 9).cast("string"))).otherwise(""), F.lit("-G"), (F.col("p_size") % 10).cast("string"), F.lit("0_cover.docx"))
+    return c.table(spark, sf_dir, "part").select(k.alias("k"), archive.document_file(name, F.when(k % 3 == 0, "TR")).alias("f")).select("k", "f.*")
+
+
+@query(r"""WITH l AS (SELECT e.event_id AS k, event_type, value FROM events e)
+SELECT k, 'sip' AS kind, 1 AS from_line, 3 AS to_line FROM l UNION ALL SELECT k, 'diameter', 6, 8 FROM l""")
+def protocol_blocks(spark, sf_dir):
+    k = F.col("event_id").cast("string")
+    text = F.concat(F.lit("The call:\nINVITE sip:"), k, F.lit("@x.test SIP/2.0\nCall-ID: "), k, F.lit("\nv=0\nwhich the server answers.\n\nReq ::= < Diameter Header: 316 >\n < Session-Id >\n*[ AVP ]\nEnd."))
+    rows = c.table(spark, sf_dir, "events").select(F.col("event_id").alias("k"), text.alias("text"))
+    return blocks.blocks(rows, "k").select("k", "kind", "from_line", "to_line")
+
+
 @query()
 def page_sections(spark, sf_dir):
     return documents.sections_of_pages(c.table(spark, sf_dir, "pages"), "page_id", "html")

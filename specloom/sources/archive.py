@@ -56,3 +56,15 @@ def api_file(name: Column) -> Column:
     """``spec_id, api_name`` of a description's file name (``TS29510_Nnrf_NFManagement.yaml``)."""
     part = lambda k: F.regexp_extract(name, r"\ATS(\d{2})(\d{3})_(.+)\.ya?ml\z", k)
     return F.when(part(3) != "", F.struct(F.concat(F.lit("TS "), part(1), F.lit("."), part(2)).alias("spec_id"), part(3).alias("api_name")))
+
+
+def document_file(name: Column, doc_type: Column | None = None) -> Column:
+    """``spec_id, token, release`` of a document's file name (``38101-1-i60.docx``, ``23501-i60_cover.docx``).
+
+    The name doesn't tell the document's type: ``doc_type`` does, or else it is TS.
+    """
+    form = r"\A(\d{2})(\d{2,3})((?:-\d{1,2})*)-([0-9a-zA-Z]{3})(?:[_-].*)?\.[^.]*\z"
+    part = lambda k: F.regexp_extract(name, form, k)
+    kind = F.coalesce(doc_type, F.lit("TS")) if doc_type is not None else F.lit("TS")
+    token = F.lower(part(4))
+    return F.when(part(1) != "", F.struct(F.concat(kind, F.lit(" "), part(1), F.lit("."), part(2), part(3)).alias("spec_id"), token.alias("token"), _digit(token, 1).alias("release")))

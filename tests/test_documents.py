@@ -221,3 +221,26 @@ def test_html_and_docx():
 def test_markup():
     assert markup.sanitize('<p onclick="x">a<script>b</script><a href="javascript:x">c</a><a href="/d">e</a>') == '<p>a<a>c</a><a href="/d">e</a>'
     assert markup.segments("a\n```py\nx\n```\nb") == [("text", "", "a\n"), ("code", "py", "x\n"), ("text", "", "b")]
+
+
+def test_figures_and_indents(spark):
+    from specloom.functions.figures import one_spelling
+
+    assert one_spelling("a ![image3.emf](image://image3.emf?w=2) b") == "a ![Figure](image://image3?w=2) b"
+    assert one_spelling("![](image://i1.wmf.png)") == one_spelling("![i1.wmf](image://i1.wmf)") == "![Figure](image://i1)"
+    assert one_spelling("![A map](image://m.jpg)") == "![A map](image://m.jpg)"
+    assert one_spelling('<img width="2" src="image://x.PNG" alt="x.png">') == '<img src="image://x" alt="Figure">'
+    schema = "number string, title string, content string"
+    old, new = spark.createDataFrame([("1", "t", "![](image://a.emf)")], schema), spark.createDataFrame([("1", "t", "![](image://a.png)")], schema)
+    assert diff.structural(old, new).count() == 0
+    rows = spark.createDataFrame([("\n\ta b \n  c\n\n",)], "t string")
+    assert rows.select(scalar.keep_indent(F.col("t"))).first()[0] == "\u00a0" * 4 + "a b\n" + "\u00a0" * 2 + "c"
+
+
+def test_resolve(spark):
+    rows = spark.createDataFrame([("a", "18.6.0"), ("a", "18.10.0"), ("a", "19.0.0"), ("b", "17.1.0")], "spec_id string, version string")
+    got = lambda request: {tuple(r) for r in catalog.resolve(rows, request).collect()}
+    assert got("") == got("latest") == {("a", "19.0.0"), ("b", "17.1.0")}
+    assert got("18") == got("Rel-18") == {("a", "18.10.0")} and got("i60") == got("18.6.0") == {("a", "18.6.0")}
+    with pytest.raises(ValueError):
+        got("no such")
