@@ -88,8 +88,8 @@ def scan(index: Index, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q:
     size = points.shape[1]
     norms = np.einsum("ij,ij->i", q, q) + index.largest
     out: list[tuple] = []
-    for a in range(0, len(q), 256):
-        part = slice(a, a + 256)
+    for a in range(0, len(q), 64):
+        part = slice(a, a + 64)
         limit = (norms[part] - 2 * beat[part]) * (1 + 1e-9) + 1e-12
         # The first block of columns for all pairs, further ones for those still in question.
         first = points[:, :columns], asks[part, :columns]
