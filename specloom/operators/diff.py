@@ -161,3 +161,12 @@ def textual(pairs: DataFrame, old: str, new: str, context: int = 3) -> DataFrame
         return pa.array(rows, pa.struct([("diff", pa.string()), ("inserted", pa.int64()), ("deleted", pa.int64())]))
 
     return pairs.withColumn("_d", compare(F.col(old), F.col(new))).select("*", "_d.*").drop("_d")
+
+
+def why_not_comparable(spec_id: str, old: DataFrame, new: DataFrame, old_version: str, new_version: str, section: str = "", parts: list[str] | None = None) -> str | None:
+    """Why two versions of a document, or of its section, can't be compared; null if they can."""
+    if old.isEmpty() and new.isEmpty():
+        if parts:
+            return f"{spec_id} has multiple parts: {', '.join(parts)}; name one"
+        return f"section {section} is in neither version of {spec_id}" if section else f"{spec_id} has no sections in either version"
+    return f"both versions are v{old_version}" if old_version and old_version == new_version else None

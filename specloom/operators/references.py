@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.citations import bracket_map, citations, context
+from ..functions.citations import CLAUSE_NUMBER, CLAUSE_WORDS, bracket_map, citations, context, linkify
 from ..functions.scalar import ascii_istartswith, is_external
 from ..schema import EDGES
 
@@ -86,3 +86,33 @@ def degrees(found: DataFrame) -> DataFrame:
     out = pairs.groupBy(F.col("source_spec_id").alias("spec_id")).agg(F.count("*").alias("cites"))
     back = pairs.groupBy(F.col("target_spec").alias("spec_id")).agg(F.count("*").alias("cited"))
     return out.join(back, "spec_id", "full_outer").na.fill(0, ["cites", "cited"])
+
+
+def linkified(sections: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """Sections with ``linked``: their content with citations as links.
+
+    A citation of a section that its document, which the corpus has, lacks is marked as unresolved; RFCs
+    and documents outside the corpus are not checked. Unqualified clause words cite the document itself
+    where it has the clause. What exists is found by joins; a section takes only its own targets along.
+    """
+    found = edges(sections) if found is None else found
+    key = ["spec_id", "version", "number"]
+    missing = dangling(found, sections).groupBy(F.col("source_spec_id").alias("spec_id"), F.col("source_version").alias("version"), F.col("source_section").alias("number"))
+    missing = missing.agg(F.collect_set(F.concat_ws("#", "target_spec", "target_section")).alias("missing"))
+    words = F.regexp_extract_all("content", F.lit(rf"{CLAUSE_WORDS}\s+({CLAUSE_NUMBER})"), 1)
+    named = sections.select(*key, F.explode(F.array_distinct(words)).alias("clause"))
+    there = sections.select("spec_id", "version", F.col("number").alias("clause")).distinct()
+    own = named.join(there, ["spec_id", "version", "clause"]).groupBy(*key).agg(F.collect_set("clause").alias("own"))
+    rows = sections.join(missing, key, "left").join(own, key, "left").join(reference_lists(sections), ["spec_id", "version"], "left")
+
+    @F.arrow_udf("string")
+    def link(batch: pa.Array) -> pa.Array:
+        out = []
+        for row in batch.to_pylist():
+            gone, mine, spec = set(row["missing"] or ()), set(row["own"] or ()), row["spec_id"]
+            exists = lambda s, n, gone=gone, mine=mine, spec=spec: n in mine if s == spec else f"{s}#{n}" not in gone
+            url = lambda s, n: f"https://www.rfc-editor.org/rfc/rfc{s[4:]}" + (f"#section-{n}" if n else "") if s.startswith("RFC ") else f"/specs/{s.replace(' ', '%20')}" + (f"/sections/{n}" if n else "")
+            out.append(linkify(row["content"] or "", url, exists, spec, bracket_map(row["list"] or "")))
+        return pa.array(out, pa.string())
+
+    return rows.withColumn("linked", link(F.struct("content", "spec_id", "missing", "own", "list"))).drop("missing", "own", "list")

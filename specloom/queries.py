@@ -374,6 +374,10 @@ _CITING = """s AS (SELECT doc_id, 'TS ' || (21 + doc_id % 9)::VARCHAR || '.' ||
 UNION ALL SELECT doc_id::VARCHAR, t, n || '.1' FROM s UNION ALL SELECT doc_id::VARCHAR, t, '' FROM s
 UNION ALL SELECT doc_id::VARCHAR, 'RFC 3261', '4' FROM s UNION ALL SELECT doc_id::VARCHAR, 'TR 33.203', 'H' FROM s""")
 def reference_extraction(spark, sf_dir):
+    return references.edges(_citing(spark, sf_dir)).where("source_section = '1'").select("source_spec_id", "target_spec", "target_section")
+
+
+def _citing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with sentences that cite: a list before a designator, an RFC's section, a bracketed number."""
     n = F.col("doc_id")
     spec = F.concat(F.lit("TS "), (n % 9 + 21).cast("string"), F.lit("."), (n % 50 + 100).cast("string"))
@@ -381,8 +385,13 @@ def reference_extraction(spark, sf_dir):
     text = F.concat("text", F.lit("\n\nSee clauses "), clause, F.lit(" and "), clause, F.lit(".1 of 3GPP\n"), spec, F.lit(". Also RFC 3261, section 4; and [7], Annex H there."))
     rows = c.table(spark, sf_dir, "documents").select(n.cast("string").alias("spec_id"), F.lit("1").alias("version"), n.alias("ord"), text.alias("content"))
     listed = rows.select("spec_id", "version", (F.col("ord") + 10**9).alias("ord"), F.lit("2").alias("number"), F.lit("References").alias("title"), F.lit("[7] 3GPP TR 33.203: \"x\"").alias("content"))
-    sections = rows.select("spec_id", "version", "ord", F.lit("1").alias("number"), F.lit("t").alias("title"), "content").unionByName(listed)
-    return references.edges(sections).where("source_section = '1'").select("source_spec_id", "target_spec", "target_section")
+    return rows.select("spec_id", "version", "ord", F.lit("1").alias("number"), F.lit("t").alias("title"), "content").unionByName(listed)
+
+
+@query(f"""WITH {_CITING} SELECT doc_id::VARCHAR AS spec_id, 'See clauses [' || n || '](/specs/' || replace(t, ' ', '%20') || '/sections/' || n || ') and [' || n || '.1](/specs/' || replace(t, ' ', '%20') || '/sections/' || n || '.1) of [3GPP' || chr(10) || t || '](/specs/' || replace(t, ' ', '%20') || ')' || '. Also [RFC 3261, section 4](https://www.rfc-editor.org/rfc/rfc3261#section-4); and [[7], Annex H](/specs/TR%2033.203/sections/H) there.' AS tail FROM s""")
+def linked_references(spark, sf_dir):
+    linked = references.linkified(_citing(spark, sf_dir)).where("number = '1'")
+    return linked.select("spec_id", F.substr("linked", F.instr("linked", "See clauses [")).alias("tail"))
 
 
 # Definitions ---------------------------------------------------------------------------------------

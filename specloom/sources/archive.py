@@ -68,3 +68,15 @@ def document_file(name: Column, doc_type: Column | None = None) -> Column:
     kind = F.coalesce(doc_type, F.lit("TS")) if doc_type is not None else F.lit("TS")
     token = F.lower(part(4))
     return F.when(part(1) != "", F.struct(F.concat(kind, F.lit(" "), part(1), F.lit("."), part(2), part(3)).alias("spec_id"), token.alias("token"), _digit(token, 1).alias("release")))
+
+
+def fresh_listing(spark: SparkSession, path: str, max_age_hours: float = 24) -> DataFrame | None:
+    """``line`` of a kept listing that is young enough and not empty, else null."""
+    import time
+
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(at) or time.time() - files.getFileStatus(at).getModificationTime() / 1000 > max_age_hours * 3600:
+        return None
+    lines = entry_lines(spark, path)
+    return None if lines.isEmpty() else lines

@@ -244,3 +244,25 @@ def test_resolve(spark):
     assert got("18") == got("Rel-18") == {("a", "18.10.0")} and got("i60") == got("18.6.0") == {("a", "18.6.0")}
     with pytest.raises(ValueError):
         got("no such")
+
+
+def test_linked_sections(spark):
+    from specloom.operators import references
+
+    rows = [(1, "TS 1.1", "1", "4.2", "a", "In clause 4.3 and clause 9; see TS 2.2 clause 5, TS 2.2 clause 6, TS 9.9 clause 1."), (2, "TS 1.1", "1", "4.3", "b", None), (3, "TS 2.2", "1", "5", "c", "")]
+    sections = spark.createDataFrame(rows, "ord long, spec_id string, version string, number string, title string, content string")
+    linked = {r.ord: r.linked for r in references.linkified(sections).collect()}
+    assert linked[1] == "In [clause 4.3](/specs/TS%201.1/sections/4.3) and clause 9; see [TS 2.2 clause 5](/specs/TS%202.2/sections/5), TS 2.2 clause 6 (unresolved), [TS 9.9 clause 1](/specs/TS%209.9/sections/1)."
+    assert linked[2] == "" and linked[3] == ""
+
+
+def test_comparability_and_listings(spark, tmp_path):
+    rows = spark.createDataFrame([("1",)], "number string")
+    assert diff.why_not_comparable("TS 1", rows, rows, "1.0.0", "2.0.0") is None
+    assert "both versions" in diff.why_not_comparable("TS 1", rows, rows, "1.0.0", "1.0.0")
+    assert "parts: a, b" in diff.why_not_comparable("TS 1", rows.limit(0), rows.limit(0), "", "", parts=["a", "b"])
+    path = tmp_path / "list.txt"
+    assert archive.fresh_listing(spark, str(path)) is None
+    path.write_text("\n a \n")
+    assert [r.line for r in archive.fresh_listing(spark, str(path)).collect()] == ["a"]
+    assert archive.fresh_listing(spark, str(path), -1) is None
