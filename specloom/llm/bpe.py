@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Strings up to CACHE_CHARS are kept in a worker's caches, each of two generations of at most so many.
-CACHE_CHARS, CACHED_CHUNKS, CACHED_PIECES = 48, 400_000, 100_000
+CACHE_CHARS, CACHED_CHUNKS, CACHED_PIECES, CACHED_PAIRS = 48, 200_000, 50_000, 500_000
 #: Fixed value: the public pattern for which a text may be cut before any space that a non-space follows.
 SPACED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -153,7 +153,7 @@ class Bpe:
     def fits(self, left: int, right: int) -> bool:
         known = self.memo.get((left, right))
         if known is None:
-            if len(self.memo) > 2_000_000:
+            if len(self.memo) > CACHED_PAIRS:
                 self.memo.clear()
             known = self.memo[left, right] = self._apart(left, right)
         return known
@@ -232,10 +232,15 @@ class Bpe:
         return np.frombuffer(self.encode_packed(text), "<u4").tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
-        try:
-            return b"".join(map(self.bytes_of.__getitem__, ids))
-        except KeyError as missing:
-            raise ValueError(f"id {missing} is not in the vocabulary") from None
+        return decode(self.bytes_of, ids)
+
+
+def decode(bytes_of: dict[int, bytes], ids: Iterable[int]) -> bytes:
+    """The bytes of the ids, one after another; ``ValueError`` for an id that isn't there."""
+    try:
+        return b"".join(map(bytes_of.__getitem__, ids))
+    except KeyError as missing:
+        raise ValueError(f"id {missing} is not in the vocabulary") from None
 
 
 def _rows(ids: pa.Array) -> Iterable[np.ndarray]:
@@ -244,10 +249,20 @@ def _rows(ids: pa.Array) -> Iterable[np.ndarray]:
     return (flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
 
 
+def _ranks(table: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(t): int(r) for t, r in (x.split() for x in table.splitlines() if x.strip())}
+
+
+@functools.lru_cache(maxsize=2)
+def _encoder(table: bytes, pattern: str) -> Bpe:
+    """One encoder per worker process and vocabulary."""
+    return Bpe(_ranks(table), pattern)
+
+
 @functools.lru_cache(maxsize=2)
-def _shared(table: bytes, pattern: str) -> Bpe:
-    """One coder per worker process and vocabulary."""
-    return Bpe({base64.b64decode(t): int(r) for t, r in (x.split() for x in table.splitlines() if x.strip())}, pattern)
+def _tokens(table: bytes) -> dict[int, bytes]:
+    """All that decoding needs, once per worker process."""
+    return {rank: token for token, rank in _ranks(table).items()}
 
 
 class Tokenizer:
@@ -263,19 +278,19 @@ class Tokenizer:
 
         @F.arrow_udf(T.ArrayType(T.IntegerType()))
         def encode(texts: pa.Array) -> pa.Array:
-            coder = _shared(shared.value, pattern)
+            coder = _encoder(shared.value, pattern)
             packed = [coder.encode_packed(x) if x else b"" for x in texts.to_pylist()]
             ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int64)
             values = np.frombuffer(b"".join(packed), "<i4")
             return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
 
         @F.arrow_udf(T.BinaryType())
-        def decode(ids: pa.Array) -> pa.Array:
-            coder = _shared(shared.value, pattern)
-            return pa.array([coder.decode(x.tolist()) for x in _rows(ids)], pa.binary())
+        def text_bytes(ids: pa.Array) -> pa.Array:
+            tokens = _tokens(shared.value)
+            return pa.array([decode(tokens, x.tolist()) for x in _rows(ids)], pa.binary())
 
         # Spark may copy a deterministic function into each of its uses; the ids are found once.
-        self._encode, self._decode = encode.asNondeterministic(), decode
+        self._encode, self._decode = encode.asNondeterministic(), text_bytes
 
     def ids(self, text: Column) -> Column:
         """Ids of a text column; a null text has no ids."""
