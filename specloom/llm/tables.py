@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -27,10 +29,29 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+#: Intermediate tables of this driver: removed when it ends, or by ``remove_written``.
+_WRITTEN: list = []
+
+
+def remove_written() -> None:
+    """Deletes the intermediate tables; frames that read them can't be used any more."""
+    while _WRITTEN:
+        path, settings = _WRITTEN.pop()
+        path.getFileSystem(settings).delete(path, True)
+
+
+@atexit.register
+def _at_exit() -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        remove_written()
+
+
 def written(df: DataFrame, kind: str) -> DataFrame:
     """The rows written once to the shared folder and read back: later readers share one computation,
     and a lost executor costs no more than the tasks that read from it."""
     spark = df.sparkSession
     path = new_folder(spark, kind)
     df.write.parquet(path)
+    context = spark.sparkContext
+    _WRITTEN.append((context._jvm.org.apache.hadoop.fs.Path(path), context._jsc.hadoopConfiguration()))
     return spark.read.schema(df.schema).parquet(path)
