@@ -20,10 +20,17 @@ from specloom.llm.tables import table, written
 QUALITY_THRESHOLD = 0.3
 
 
+def _unused(name: str, docs: DataFrame) -> str:
+    """A column name that the documents don't have."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name = "_" + name
+    return name
+
+
 def judge(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score, learnt from the labels, reaches the threshold."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, out="_score").where(F.col("_score") >= QUALITY_THRESHOLD).drop("_score")
+    model, score = quality.fit(docs, table(spark, sf_dir, "labels")), _unused("score", docs)
+    return quality.score(docs, model, out=score).where(F.col(score) >= QUALITY_THRESHOLD).select(docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +46,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources takes it: its taken words over its size, to the
     nearest whole number."""
     plan = mixing.plan(docs).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    plan = plan.where("_taken > 0").select(F.col("doc_id").alias("_id"), F.floor(F.col("_taken") / F.col("_size") + 0.5).cast("int").alias("_copies"))
-    both = docs.join(plan.where("_copies > 0"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    key, copies = _unused("id", docs), _unused("copies", docs)
+    plan = plan.where("_taken > 0").select(F.col("doc_id").alias(key), F.floor(F.col("_taken") / F.col("_size") + 0.5).cast("int").alias(copies))
+    both = docs.join(plan.where(F.col(copies) > 0), F.col("doc_id").eqNullSafe(F.col(key)))
+    return both.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

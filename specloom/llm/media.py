@@ -9,7 +9,7 @@ join on the digest carries its results back to every position that refers to it.
 Defined results: a null html has an empty sequence; a reference whose digest no payload has keeps its
 place with null results; references without a digest resolve to nothing; captions belong to all media
 of their ``figure``; repeated rows give repeated sequences; an empty table gives empty tables; further
-columns of the input pass through, and one named like an output is an error (``ValueError``).
+columns of the input pass through ``parse``, and one named like its output is replaced.
 """
 
 from __future__ import annotations
@@ -114,8 +114,6 @@ def sequence(html: str | None) -> list[dict]:
 
 def parse(df: DataFrame, html: str = "html", out: str = "parts") -> DataFrame:
     """Adds the ordered sequence of an HTML column."""
-    if out in df.columns:
-        raise ValueError(f"the input has a column {out!r} already; pass another out=")
     fields = pa.struct([(n, pa.int32() if k == "int" else pa.string()) for n, k in PART])
 
     @F.arrow_udf("array<struct<" + ",".join(f"{n}:{k}" for n, k in PART) + ">>")

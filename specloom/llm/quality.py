@@ -12,8 +12,7 @@ of their id; everything else covers all rows. Features see nothing but the text.
 Defined results: a null text is an empty one and is scored like any text; labelled rows with a null id
 or label are not learnt from; contradicting labels of one id count as 0; without both labels among the
 learnt rows every score is the share of 1 (1/2 without rows); repeated rows get equal scores; an empty
-table gives an empty table; further columns pass through, and one named like an output is an error
-(``ValueError``).
+table gives an empty table; further columns pass through, and one named like the output is replaced.
 """
 
 from __future__ import annotations
@@ -190,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample_ro
     if not chosen.num_rows:
         return train(np.zeros((0, len(FEATURES))), np.zeros(0))
     wanted = F.broadcast(spark.createDataFrame(chosen).withColumnRenamed("doc_id", "_id"))
-    known = docs.join(wanted, F.col("doc_id") == F.col("_id")).select("text", "_label")
+    known = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_id")).select("text", "_label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,8 +205,6 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample_ro
 
 def score(docs: DataFrame, model: Additive, *, text: str = "text", out: str = "score") -> DataFrame:
     """Adds the probability of label 1 for every row."""
-    if out in docs.columns:
-        raise ValueError(f"the input has a column {out!r} already; pass another out=")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(T.DoubleType())

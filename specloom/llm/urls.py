@@ -10,8 +10,8 @@ with the carry taken across words.
 Defined results: a null URL, or one without ``://``, has an empty host and path and fits no rule of
 a named host; where no rule fits, ``rule`` is null and the verdict is the default. Of several rules
 that fit the one with the longest text wins, ties going to ``block`` and then to the smaller text.
-Repeated rows are judged alike, an empty table gives an empty table, and columns that the output
-adds must not be in the input (``ValueError``).
+Repeated rows are judged alike, an empty table gives an empty table, and columns of the input that are
+named like those of the output are replaced.
 """
 
 from __future__ import annotations
@@ -119,8 +119,6 @@ def _rest(url: Column) -> Column:
 
 def judge(df: DataFrame, rules: Sequence[Rule], default: str, url: str = "url") -> DataFrame:
     """Adds ``host``, ``path``, ``rule`` and ``verdict``."""
-    if clash := {"host", "path", "rule", "verdict"} & set(df.columns):
-        raise ValueError(f"the input has columns {sorted(clash)} already")
     ranked = sorted(rules, key=lambda r: (-len(r.text), r.verdict != "block", r.text))
     globs = [glob for r in ranked for glob in (f"{r.text}**", f"*.{r.text}**")]
     shared = df.sparkSession.sparkContext.broadcast(GlobSet(globs))

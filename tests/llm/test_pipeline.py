@@ -69,6 +69,11 @@ def test_stages_with_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     unique = corpus_pipeline.deduplicate(spark, docs, SF)
     assert sorted(str(r.doc_id) for r in unique.collect()) == ["1", "2", "None"]
+    from pyspark.sql import functions as F
+
+    clash = docs.withColumns({"score": F.lit(0.0), "copies": F.lit(0), "id": F.lit(9), "taken": F.lit(1), "size": F.lit(1), "node": F.lit(1)})
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        assert stage(spark, clash, SF).columns == clash.columns, name
     mixed = corpus_pipeline.mix(spark, docs, SF)
     assert {r.doc_id for r in mixed.collect()} <= {1, 3} and mixed.columns == docs.columns
     for name, stage in corpus_pipeline.STAGES:

@@ -45,8 +45,8 @@ def test_urls(spark):
     for r in urls.judge(df, URL_RULES, "allow").collect():
         assert (r.host, r.path, r.rule, r.verdict) == direct(r.url), r.url
     assert urls.judge(df.limit(0), URL_RULES, "allow").count() == 0
-    with pytest.raises(ValueError):
-        urls.judge(df.withColumn("host", F.lit(1)), URL_RULES, "allow")
+    clash = urls.judge(df.withColumns({"host": F.lit(1), "rule": F.lit(2), "Verdict": F.lit(3)}), URL_RULES, "allow").collect()
+    assert [(r.host, r.rule, r.verdict) for r in clash] == [(direct(u)[0], *direct(u)[2:]) for u in given]
     many = [urls.Rule("block", f"h{k}.test", "/") for k in range(300)]
     got = urls.judge(spark.createDataFrame([("http://a.h271.test/x",), ("http://h300.test/",)], "url string"), many, "allow").collect()
     assert [r.rule for r in got] == ["h271.test/", None]
