@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import functools
 import struct
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import ahocorasick
 import numpy as np
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Strings up to CACHE_CHARS are kept in a worker's caches, each of two generations of at most so many.
-CACHE_CHARS, CACHED_CHUNKS, CACHED_PIECES, CACHED_PAIRS = 48, 200_000, 50_000, 500_000
+CACHE_CHARS, CACHED_CHUNKS, CACHED_PIECES, CACHED_PAIRS = 48, 100_000, 25_000, 250_000
 #: Fixed value: the public pattern for which a text may be cut before any space that a non-space follows.
 SPACED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -243,6 +243,11 @@ def decode(bytes_of: dict[int, bytes], ids: Iterable[int]) -> bytes:
         raise ValueError(f"id {missing} is not in the vocabulary") from None
 
 
+def _by_slices(values: pa.Array, f: Callable[[pa.Array], pa.Array], rows: int = 500) -> pa.Array:
+    """A function's results over a batch, a few hundred rows at a time: what it holds besides stays small."""
+    return pa.concat_arrays([f(values.slice(a, rows)) for a in range(0, max(1, len(values)), rows)])
+
+
 def _rows(ids: pa.Array) -> Iterable[np.ndarray]:
     """The ids of each row; none for a null row."""
     flat, ends = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *(n or 0 for n in ids.value_lengths().to_pylist())])
@@ -279,15 +284,19 @@ class Tokenizer:
         @F.arrow_udf(T.ArrayType(T.IntegerType()))
         def encode(texts: pa.Array) -> pa.Array:
             coder = _encoder(shared.value, pattern)
-            packed = [coder.encode_packed(x) if x else b"" for x in texts.to_pylist()]
-            ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int64)
-            values = np.frombuffer(b"".join(packed), "<i4")
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+
+            def some(part: pa.Array) -> pa.Array:
+                packed = [coder.encode_packed(x) if x else b"" for x in part.to_pylist()]
+                ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int64)
+                values = np.frombuffer(b"".join(packed), "<i4")
+                return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+
+            return _by_slices(texts, some)
 
         @F.arrow_udf(T.BinaryType())
         def text_bytes(ids: pa.Array) -> pa.Array:
             tokens = _tokens(shared.value)
-            return pa.array([decode(tokens, x.tolist()) for x in _rows(ids)], pa.binary())
+            return _by_slices(ids, lambda part: pa.array([decode(tokens, x.tolist()) for x in _rows(part)], pa.binary()))
 
         # Spark may copy a deterministic function into each of its uses; the ids are found once.
         self._encode, self._decode = encode.asNondeterministic(), text_bytes
@@ -310,4 +319,4 @@ class Tokenizer:
 @F.arrow_udf(T.BinaryType())
 def packed_ids(ids: pa.Array) -> pa.Array:
     """Ids as little-endian unsigned 32-bit integers."""
-    return pa.array([x.astype("<u4").tobytes() for x in _rows(ids)], pa.binary())
+    return _by_slices(ids, lambda part: pa.array([x.astype("<u4").tobytes() for x in _rows(part)], pa.binary()))
