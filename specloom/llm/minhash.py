@@ -10,8 +10,8 @@ of the union of their sketches, then the exact similarity of the full sets decid
 A list of up to ``short`` documents gives all its pairs. In a longer one, all are compared with its
 centre, the document that shares most of its shingles; who is not linked to the list's largest
 component then is held against every member outside its own component, in rounds of bounded size,
-until nobody is left. Inside a component no pair can add a reachable document, so no link that matters
-is lost. Pairs are left out beforehand if they cannot reach the similarity, because too many shingles
+until nobody is left; who had a turn in one list has others in further lists, as largest components
+change. Inside a component no pair can add a reachable document, so no link that matters is lost. Pairs are left out beforehand if they cannot reach the similarity, because too many shingles
 of one occur in no other candidate, or because what both share with the centre and what they share
 beside it would not be enough: of a group of n near copies about n pairs are compared.
 
@@ -174,7 +174,7 @@ def components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, k: int = 64, short: int = 64, pairs_per_node: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, k: int = 64, short: int = 64, pairs_per_node: int = 4096, pairs_at_least: int = 100_000) -> DataFrame:
     """Components of documents whose shingle sets have a similarity of ``percent`` / 100 or more.
 
     Takes ``doc_id, text``; returns ``doc_id, n_shingles, component_id, kept`` for every row.
@@ -214,19 +214,20 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, k: in
     # What is left of the long lists.
     keys = many.groupBy("node").agg(F.array_sort(F.collect_list("v")).alias("vs"), F.max("len").alias("most"))
     many = written(many.join(keys, "node").join(beside.select("centre", "node", "inner", "rest"), ["centre", "node"]), "long")
-    left = written(many.select("node").distinct(), "left")
-    size = left.count()
+    size, done = many.select("node").distinct().count(), None
     while size:
         now = written(many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "now")
         largest = now.groupBy("v", "root").agg(F.count("*").alias("c")).groupBy("v").agg(F.max(F.struct("c", "root")).alias("g")).select("v", F.col("g.root").alias("main"))
         fewest = now.groupBy("v").agg(F.min("n").alias("n_min"))
         reach = (100 + percent) * F.col("free") >= percent * (F.col("n") + F.col("n_min"))
-        outside = now.join(largest, "v").join(fewest, "v").where((F.col("root") != F.col("main")) & reach).join(left, "node", "left_semi").drop("main", "n_min")
+        outside = now.join(largest, "v").join(fewest, "v").where((F.col("root") != F.col("main")) & reach).drop("main", "n_min")
+        # A list's main component changes from round to round, so who had a turn in one list may have another in the next.
+        outside = outside if done is None else outside.join(done, ["v", "node"], "left_anti")
         outside = written(outside, "outside")
         work = outside.groupBy("node").agg(F.max("most").alias("most")).agg(F.sum("most")).first()[0] or 0
         if not work:
             break
-        share = min(1.0, max(pairs_per_node * size, 100_000) / work)
+        share = min(1.0, max(pairs_per_node * size, pairs_at_least) / work)
         turn = outside if share == 1 else outside.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
         # A pair that meets in several lists is taken from the first of them. Two sets have at most so much
         # in common as the lesser has with the centre, and what they have in common beside it.
@@ -240,7 +241,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, k: in
         roots = components(links)
         if share == 1:
             break
-        left = written(left.join(turn.select("node").distinct(), "node", "left_anti"), "left")
+        had = turn.select("v", "node")
+        done = written(had if done is None else done.unionByName(had), "done")
         pairs_per_node *= 4
 
     ends = classes.select("mark", "node").join(roots, "node", "left").select("mark", F.coalesce("root", "node").alias("component_id"))
