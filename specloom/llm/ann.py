@@ -4,7 +4,8 @@ Vectors get one more component, sqrt(M^2 - |x|^2) with M the largest norm, and q
 the largest inner product is the smallest Euclidean distance. A random rotation makes the first d
 components of a difference a fair sample of all of them. Lists are the cells of centroids fitted on a
 bounded sample (``sample_rows`` vectors), on which the number of lists to probe is also set: the
-fewest that hold ``recall`` of the sample's own true neighbours. Every vector is indexed.
+fewest that hold ``recall`` of the sample's own true neighbours. Every vector is indexed. A query whose
+probed lists hold too few vectors for k goes on to further lists, nearest first.
 
 A query first scans its nearest list, which gives it a k-th best distance to beat. In each other
 probed list the rotated vectors are read in blocks of columns: after each block a hypothesis test
@@ -82,6 +83,13 @@ def fit(sample: np.ndarray, largest: float, lists: int, recall: float, k: int, s
     return index
 
 
+def enough(sizes: np.ndarray, probes: int, k: int) -> np.ndarray:
+    """How many of its lists, whose sizes are given nearest first, each query probes: ``probes``, and as
+    many more as it takes to hold k vectors beside the query's own."""
+    short = (np.cumsum(sizes, axis=1) <= k).sum(axis=1) + 1
+    return np.minimum(np.maximum(probes, short), sizes.shape[1])
+
+
 def scan(index: Index, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, beat: np.ndarray, k: int, epsilon: float, columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best of a tile's vectors for each of its queries; ``beat`` is the score each has to reach."""
     points, asks = index.points(x), index.queries(q)
@@ -151,16 +159,24 @@ def search(vectors: DataFrame, *, query_every: int = 20, k: int = 20, recall: fl
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            x = _matrix(batch.column(1))
             near = shared.value.order(shared.value.points(x))[:, 0].astype(np.int32)
-            probes: list = [None] * len(ids)
-            asked = np.flatnonzero(ids % query_every == 0)
-            for i, p in zip(asked, shared.value.order(shared.value.queries(x[asked]))[:, : shared.value.probes].astype(np.int32), strict=True):
-                probes[i] = p
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near), pa.array(probes, pa.list_(pa.int32()))], ["vec_id", "x", "list", "probes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near)], ["vec_id", "x", "list"])
+
+    placed = written(rows.select("vec_id", "x").mapInArrow(place, "vec_id long, x array<double>, list int"), "placed")
+    held = np.zeros(len(index.centroids), np.int64)
+    for row in placed.groupBy("list").agg(F.count("*").alias("n")).collect():  # at most max_lists rows
+        held[row["list"]] = row["n"]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                order = shared.value.order(shared.value.queries(_matrix(batch.column(1)))).astype(np.int32)
+                probes = [o[:n] for o, n in zip(order, enough(held[order], shared.value.probes, k), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(probes, pa.list_(pa.int32()))], ["query_id", "x", "probes"])
 
-    placed = written(rows.select("vec_id", "x").mapInArrow(place, "vec_id long, x array<double>, list int, probes array<int>"), "placed")
-    asked = placed.where("probes is not null").select(F.col("vec_id").alias("query_id"), "x", "probes")
+    asked = placed.where(F.col("vec_id") % query_every == 0).select("vec_id", "x")
+    asked = written(asked.mapInArrow(ask, "query_id long, x array<double>, probes array<int>"), "asked")
 
     def tiles(wanted: DataFrame) -> DataFrame:
         """The scans of ``query_id, x, list, beat`` against their lists."""
@@ -187,6 +203,5 @@ def search(vectors: DataFrame, *, query_every: int = 20, k: int = 20, recall: fl
     nearest = asked.select("query_id", "x", F.element_at("probes", 1).alias("list"), F.lit(float("-inf")).alias("beat"))
     first = written(best(tiles(nearest)), "first")
     beat = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("beat"))
-    others = asked.join(beat, "query_id", "left").select("query_id", "x", F.explode(F.slice("probes", 2, max(1, index.probes))).alias("list"), F.coalesce("beat", F.lit(float("-inf"))).alias("beat"))
-    found = first.drop("rank") if index.probes == 1 else first.drop("rank").unionByName(tiles(others))
-    return best(found).select("query_id", "rank", "vec_id", "score")
+    others = asked.join(beat, "query_id", "left").select("query_id", "x", F.explode(F.slice("probes", F.lit(2), F.size("probes"))).alias("list"), F.coalesce("beat", F.lit(float("-inf"))).alias("beat"))
+    return best(first.drop("rank").unionByName(tiles(others))).select("query_id", "rank", "vec_id", "score")
