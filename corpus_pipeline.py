@@ -53,10 +53,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document."""
+    """The token ids of every document, and the SHA-256 of the bytes that they decode to."""
     tokenizer = Tokenizer(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    ids = tokenizer.encode(docs.select("doc_id", "lang", "source", "text"))
-    return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    coded = docs.select("doc_id", "lang", "source", tokenizer.ids_and_digest(F.col("text")).alias("coded"))
+    return coded.select("doc_id", "lang", "source", F.size("coded.ids").cast("long").alias("n_tokens"), "coded.ids", "coded.decoded_sha256")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

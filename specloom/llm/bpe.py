@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import struct
 from collections.abc import Callable, Iterable
 
@@ -298,8 +299,21 @@ class Tokenizer:
             tokens = _tokens(shared.value)
             return _by_slices(ids, lambda part: pa.array([decode(tokens, x.tolist()) for x in _rows(part)], pa.binary()))
 
+        @F.arrow_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType())]))
+        def both(texts: pa.Array) -> pa.Array:
+            coder = _encoder(shared.value, pattern)
+
+            def some(part: pa.Array) -> pa.Array:
+                ids = [np.frombuffer(coder.encode_packed(x) if x else b"", "<i4") for x in part.to_pylist()]
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, "<i4"), *ids]), pa.int32()))
+                digests = [hashlib.sha256(coder.decode(x.tolist())).hexdigest() for x in _rows(lists)]
+                return pa.StructArray.from_arrays([lists, pa.array(digests, pa.string())], ["ids", "decoded_sha256"])
+
+            return _by_slices(texts, some)
+
         # Spark may copy a deterministic function into each of its uses; the ids are found once.
-        self._encode, self._decode = encode.asNondeterministic(), text_bytes
+        self._encode, self._decode, self._both = encode.asNondeterministic(), text_bytes, both.asNondeterministic()
 
     def ids(self, text: Column) -> Column:
         """Ids of a text column; a null text has no ids."""
@@ -309,6 +323,10 @@ class Tokenizer:
         """Bytes of an id column; null ids give no bytes."""
         return self._decode(ids)
 
+    def ids_and_digest(self, text: Column) -> Column:
+        """``ids`` of a text column and ``decoded_sha256`` of the bytes they decode to, by one worker."""
+        return self._both(F.coalesce(text, F.lit("")))
+
     def encode(self, df: DataFrame, text: str = "text", out: str = "ids") -> DataFrame:
         return df.withColumn(out, self.ids(F.col(f"`{text}`")))
 
