@@ -34,12 +34,24 @@ def judge(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id. Rows without an id stay,
-    and of rows that repeat an id one stays."""
-    groups = minhash.near_duplicates(docs, words=5, percent=80)
-    ids = groups.where("kept and doc_id is not null").select("doc_id").distinct()
-    kept = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """One document of each group of near copies: that with the smallest id, then the smallest digest of
+    its text. A document is an id and a text: of rows that repeat both one stays, an id's other texts are
+    documents of their own, and rows without an id come after all others."""
+    key, digest = _unused("key", docs), _unused("digest", docs)
+    marked = docs.withColumn(digest, F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")))
+    documents = marked.select("doc_id", digest).distinct()
+    odd = documents.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    if odd.isEmpty():
+        ids = minhash.near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id").distinct()
+        return docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    # Ids don't tell documents apart: their places in the order of ids and digests do.
+    placed = documents.orderBy(F.col("doc_id").asc_nulls_last(), digest)
+    id_, mark = _unused("id", docs), _unused("mark", docs)
+    placed = written(placed.select(F.col("doc_id").alias(id_), F.col(digest).alias(mark), F.monotonically_increasing_id().alias(key)), "places")
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(digest) == F.col(mark))
+    keyed = written(marked.join(placed, same).dropDuplicates([key]).select(*docs.columns, key), "keyed")
+    kept = minhash.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), words=5, percent=80).where("kept")
+    return keyed.join(kept.select(F.col("doc_id").alias(key)), key, "left_semi").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
