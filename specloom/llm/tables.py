@@ -1,25 +1,36 @@
-"""Reading the shared tables and finding the folder that all executors share."""
+"""Reading the shared tables, the folder that all executors share, and bounded pieces of batches."""
 
 from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows and bytes of text that a worker handles at once.
+SLICE_ROWS, SLICE_BYTES = 1000, 2 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; set to a local one only where it is unset, as in tests."""
+    """The folder named by ``spark.checkpoint.dir``. Where it is unset, one of this machine if all runs
+    in one process, as in tests; ``ValueError`` on a cluster, whose executors would not see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="specloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -29,14 +40,20 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-#: Intermediate tables of this driver: removed when it ends, or by ``remove_written``.
-_WRITTEN: list = []
+#: Intermediate tables of this driver, in the order of writing: removed when it ends, or by ``remove_written``.
+_WRITTEN: list[tuple] = []
+
+
+def written_so_far() -> int:
+    return len(_WRITTEN)
 
 
-def remove_written() -> None:
-    """Deletes the intermediate tables; frames that read them can't be used any more."""
-    while _WRITTEN:
-        path, settings = _WRITTEN.pop()
+def remove_written(since: int = 0, but: Iterable[DataFrame] = ()) -> None:
+    """Deletes the intermediate tables written after the first ``since``, except those read by ``but``;
+    frames that read the others can't be used any more."""
+    kept = {id(df) for df in but}
+    gone, _WRITTEN[since:] = [x for x in _WRITTEN[since:] if id(x[0]) not in kept], [x for x in _WRITTEN[since:] if id(x[0]) in kept]
+    for _, path, settings in reversed(gone):
         path.getFileSystem(settings).delete(path, True)
 
 
@@ -53,5 +70,28 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     path = new_folder(spark, kind)
     df.write.parquet(path)
     context = spark.sparkContext
-    _WRITTEN.append((context._jvm.org.apache.hadoop.fs.Path(path), context._jsc.hadoopConfiguration()))
-    return spark.read.schema(df.schema).parquet(path)
+    again = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN.append((again, context._jvm.org.apache.hadoop.fs.Path(path), context._jsc.hadoopConfiguration()))
+    return again
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: int, most: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Record batches cut so that none has more than ``rows`` rows or, but for a single longer value,
+    ``most`` bytes in a text or binary column. At the end a task's free memory goes back to the system:
+    idle workers hold on to little."""
+    try:
+        for batch in batches:
+            ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+            while at < batch.num_rows:
+                before = ends[at - 1] if at else 0
+                end = min(max(at + 1, int(np.searchsorted(ends, before + most, side="right"))), at + rows)
+                yield batch.slice(at, end - at)
+                at = end
+    finally:
+        release()
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
