@@ -19,7 +19,7 @@ import base64
 import functools
 import hashlib
 import struct
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -29,8 +29,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import slices
+
 #: Strings up to CACHE_CHARS are kept in a worker's caches, each of two generations of at most so many.
-CACHE_CHARS, CACHED_CHUNKS, CACHED_PIECES, CACHED_PAIRS = 48, 100_000, 25_000, 250_000
+CACHE_CHARS, CACHED_CHUNKS, CACHED_PIECES, CACHED_PAIRS = 48, 100_000, 25_000, 200_000
 #: Fixed value: the public pattern for which a text may be cut before any space that a non-space follows.
 SPACED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -71,42 +73,41 @@ class Recent:
 
 
 class Bpe:
-    """Encoder and decoder for one rank table; ranks are the ids."""
+    """Encoder and decoder for one rank table; ranks are the ids, and tables are lists by rank."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         if {bytes([b]) for b in range(256)} - ranks.keys():
             raise ValueError("a byte-level vocabulary holds all 256 bytes")
-        self.ranks, self.split = ranks, regex.compile(pattern)
-        self.bytes_of: dict[int, bytes] = {rank: token for token, rank in ranks.items()}
-        #: The two tokens whose merge made a token; a byte has none.
-        self.parts: dict[int, tuple[int, int]] = {}
-        self.merged: dict[tuple[int, int], int] = {}
-        self.memo: dict[tuple[int, int], bool] = {}
+        self.ranks, self.split, self.size = ranks, regex.compile(pattern), max(ranks.values()) + 1
+        self.bytes_of: list[bytes | None] = [None] * self.size
+        for token, rank in ranks.items():
+            self.bytes_of[rank] = token
+        self.lengths = [len(token or b"") for token in self.bytes_of]
+        #: The two tokens whose merge made a token, -1 for a byte; and the other way round.
+        self.left, self.right = [-1] * self.size, [-1] * self.size
+        self.merged: dict[int, int] = {}
         self._learn_merges()
-        self.lengths = [len(self.bytes_of.get(rank, b"")) for rank in range(max(self.bytes_of) + 1)]
-        #: The longest shorter token that begins a token.
-        self.shorter = {rank: self._prefix(token) for token, rank in ranks.items() if self._made(rank)}
+        self.memo: dict[int, bool] = {}
         self.reach = max(self.lengths)
-        #: All beginnings of tokens, and the longest token that each of them begins with.
-        self.paths, self.best = ahocorasick.Automaton(), {}
-        for rank in sorted(self.shorter, key=self.lengths.__getitem__):
+        #: All beginnings of tokens with the longest token that each begins with, -1 for none; and the
+        #: longest shorter token that begins a token.
+        self.paths, self.shorter = ahocorasick.Automaton(), [-1] * self.size
+        for rank in sorted(filter(self._made, ranks.values()), key=self.lengths.__getitem__):
             token = self.bytes_of[rank].decode("latin-1")
-            self.paths.add_word(token, rank)
+            best = -1
             for n in range(1, len(token)):
-                self.best.setdefault(token[:n], self.best.get(token[: n - 1]))
-            self.best[token] = rank
+                known = self.paths.get(token[:n], None)
+                if known is None:
+                    self.paths.add_word(token[:n], best)
+                else:
+                    best = known
+            self.shorter[rank] = best
+            self.paths.add_word(token, rank)
         self.paths.make_automaton()
         self.pieces, self.chunks, self.spaced = Recent(CACHED_PIECES), Recent(CACHED_CHUNKS), pattern == SPACED_PATTERN
 
     def _made(self, rank: int) -> bool:
-        return rank in self.parts or len(self.bytes_of[rank]) == 1
-
-    def _prefix(self, token: bytes) -> int | None:
-        for n in range(len(token) - 1, 0, -1):
-            rank = self.ranks.get(token[:n])
-            if rank is not None and self._made(rank):
-                return rank
-        return None
+        return self.left[rank] >= 0 or self.lengths[rank] == 1
 
     def _learn_merges(self) -> None:
         """In rank order: the split of a token whose halves are complete earlier and stay apart until then.
@@ -114,14 +115,13 @@ class Bpe:
         A token without such a split never arises from merges; it is an id only of a piece that
         equals it.
         """
-        for rank in sorted(self.bytes_of):
-            token = self.bytes_of[rank]
-            for n in range(len(token) - 1, 0, -1):
+        for rank, token in enumerate(self.bytes_of):
+            for n in range(len(token or b"") - 1, 0, -1):
                 left, right = self.ranks.get(token[:n]), self.ranks.get(token[n:])
                 if left is None or right is None or max(left, right) >= rank or not (self._made(left) and self._made(right)):
                     continue
                 if self._apart(left, right):
-                    self.parts[rank], self.merged[left, right] = (left, right), rank
+                    self.left[rank], self.right[rank], self.merged[left * self.size + right] = left, right, rank
                     break
 
     def _apart(self, left: int, right: int) -> bool:
@@ -132,13 +132,13 @@ class Bpe:
         """
         before = float("inf")
         while True:
-            joined = self.merged.get((left, right))
+            joined = self.merged.get(left * self.size + right)
             if joined is not None and joined < before:
                 return False
             undo_left = left > right
             for _ in range(2):
                 rank = left if undo_left else right
-                if rank in self.parts:
+                if self.left[rank] >= 0:
                     break
                 undo_left = not undo_left
             else:
@@ -147,16 +147,17 @@ class Bpe:
             # rank as the right token's own merge would have come first.
             before = rank if undo_left else rank + 1
             if undo_left:
-                left = self.parts[rank][1]
+                left = self.right[rank]
             else:
-                right = self.parts[rank][0]
+                right = self.left[rank]
 
     def fits(self, left: int, right: int) -> bool:
-        known = self.memo.get((left, right))
+        pair = left * self.size + right
+        known = self.memo.get(pair)
         if known is None:
             if len(self.memo) > CACHED_PAIRS:
                 self.memo.clear()
-            known = self.memo[left, right] = self._apart(left, right)
+            known = self.memo[pair] = self._apart(left, right)
         return known
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -164,16 +165,16 @@ class Bpe:
         if whole is not None:
             return [whole]
         latin = piece.decode("latin-1")
-        known, best, path = self.memo.get, self.best, self.paths.longest_prefix
-        lengths, shorter, reach, size = self.lengths, self.shorter, self.reach, len(latin)
+        known, best, path = self.memo.get, self.paths.get, self.paths.longest_prefix
+        lengths, shorter, reach, size, n = self.lengths, self.shorter, self.reach, len(latin), self.size
         ids: list[int] = []
         dead: set[int] = set()
         last, at, ahead = -1, 0, latin[:reach]
-        token = best[ahead[: path(ahead)]]
+        token = best(ahead[: path(ahead)])
         while True:
             end = at + lengths[token]
             if end not in dead:
-                fits = last < 0 or known((last, token))
+                fits = last < 0 or known(last * n + token)
                 if fits is None:
                     fits = self.fits(last, token)
                 if fits:
@@ -181,10 +182,10 @@ class Bpe:
                     if end == size:
                         return ids
                     last, at, ahead = token, end, latin[end : end + reach]
-                    token = best[ahead[: path(ahead)]]
+                    token = best(ahead[: path(ahead)])
                     continue
             token = shorter[token]
-            while token is None:
+            while token < 0:
                 # Nothing fits here: the predecessor was too long.
                 dead.add(at)
                 token = ids.pop()
@@ -236,12 +237,15 @@ class Bpe:
         return decode(self.bytes_of, ids)
 
 
-def decode(bytes_of: dict[int, bytes], ids: Iterable[int]) -> bytes:
+def decode(bytes_of: list[bytes | None], ids: Iterable[int]) -> bytes:
     """The bytes of the ids, one after another; ``ValueError`` for an id that isn't there."""
+    ids = list(ids)
     try:
+        if ids and min(ids) < 0:
+            raise IndexError(min(ids))
         return b"".join(map(bytes_of.__getitem__, ids))
-    except KeyError as missing:
-        raise ValueError(f"id {missing} is not in the vocabulary") from None
+    except (IndexError, TypeError) as missing:
+        raise ValueError(f"ids outside the vocabulary: {missing}") from None
 
 
 def _by_slices(values: pa.Array, f: Callable[[pa.Array], pa.Array], rows: int = 500) -> pa.Array:
@@ -259,16 +263,20 @@ def _ranks(table: bytes) -> dict[bytes, int]:
     return {base64.b64decode(t): int(r) for t, r in (x.split() for x in table.splitlines() if x.strip())}
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _encoder(table: bytes, pattern: str) -> Bpe:
     """One encoder per worker process and vocabulary."""
     return Bpe(_ranks(table), pattern)
 
 
-@functools.lru_cache(maxsize=2)
-def _tokens(table: bytes) -> dict[int, bytes]:
+@functools.lru_cache(maxsize=1)
+def _tokens(table: bytes) -> list[bytes | None]:
     """All that decoding needs, once per worker process."""
-    return {rank: token for token, rank in _ranks(table).items()}
+    ranks = _ranks(table)
+    tokens: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return tokens
 
 
 class Tokenizer:
@@ -299,21 +307,8 @@ class Tokenizer:
             tokens = _tokens(shared.value)
             return _by_slices(ids, lambda part: pa.array([decode(tokens, x.tolist()) for x in _rows(part)], pa.binary()))
 
-        @F.arrow_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType())]))
-        def both(texts: pa.Array) -> pa.Array:
-            coder = _encoder(shared.value, pattern)
-
-            def some(part: pa.Array) -> pa.Array:
-                ids = [np.frombuffer(coder.encode_packed(x) if x else b"", "<i4") for x in part.to_pylist()]
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, "<i4"), *ids]), pa.int32()))
-                digests = [hashlib.sha256(coder.decode(x.tolist())).hexdigest() for x in _rows(lists)]
-                return pa.StructArray.from_arrays([lists, pa.array(digests, pa.string())], ["ids", "decoded_sha256"])
-
-            return _by_slices(texts, some)
-
         # Spark may copy a deterministic function into each of its uses; the ids are found once.
-        self._encode, self._decode, self._both = encode.asNondeterministic(), text_bytes, both.asNondeterministic()
+        self._encode, self._decode, self._shared = encode.asNondeterministic(), text_bytes, shared
 
     def ids(self, text: Column) -> Column:
         """Ids of a text column; a null text has no ids."""
@@ -323,9 +318,31 @@ class Tokenizer:
         """Bytes of an id column; null ids give no bytes."""
         return self._decode(ids)
 
-    def ids_and_digest(self, text: Column) -> Column:
-        """``ids`` of a text column and ``decoded_sha256`` of the bytes they decode to, by one worker."""
-        return self._both(F.coalesce(text, F.lit("")))
+    def digests(self, df: DataFrame, text: str = "text", *, with_ids: bool = False) -> DataFrame:
+        """Encodes a text column and decodes its ids again, in one pass and a slice of a batch at a time.
+
+        Adds ``n_tokens``, ``ids_sha256`` (of the ids as little-endian unsigned 32-bit integers) and
+        ``decoded_sha256``, and ``ids`` themselves if they are wanted; columns of the same name are
+        replaced, and the text column stays only if it is named like one of them.
+        """
+        shared, pattern, place = self._shared, self.pattern, df.columns.index(text)
+        made = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+        kept = [k for k, c in enumerate(df.columns) if k != place and c not in made]
+        schema = T.StructType([df.schema.fields[k] for k in kept] + [T.StructField(c, t) for c, t in zip(made, (T.LongType(), T.StringType(), T.StringType(), T.ArrayType(T.IntegerType())), strict=False)])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            coder = _encoder(shared.value, pattern)
+            for batch in slices(batches, place):
+                packed = [coder.encode_packed(x) if x else b"" for x in batch.column(place).to_pylist()]
+                sizes = [len(x) // 4 for x in packed]
+                found = [pa.array(sizes, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in packed])]
+                found.append(pa.array([hashlib.sha256(coder.decode(np.frombuffer(x, "<u4").tolist())).hexdigest() for x in packed]))
+                if with_ids:
+                    ends = np.cumsum([0, *sizes], dtype=np.int64)
+                    found.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4"), pa.int32())))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *found], schema.names)
+
+        return df.mapInArrow(run, schema)
 
     def encode(self, df: DataFrame, text: str = "text", out: str = "ids") -> DataFrame:
         return df.withColumn(out, self.ids(F.col(f"`{text}`")))

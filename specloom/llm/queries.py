@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, chat, lm, media, minhash, mixing, quality, urls, warc
-from .bpe import Tokenizer, packed_ids
+from .bpe import Tokenizer
 from .tables import table
 
 URL_RULES = (urls.Rule("block", "net", "/"), urls.Rule("allow", "example.net", "/en/"), urls.Rule("block", "example.com", "/de/"), urls.Rule("allow", "org", "/fr/"))
@@ -25,13 +25,7 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = Tokenizer(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    ids = tokenizer.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return ids.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(packed_ids(F.col("ids")), 256).alias("ids_sha256"),
-        F.sha2(tokenizer.text_bytes(F.col("ids")), 256).alias("decoded_sha256"),
-    )
+    return tokenizer.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

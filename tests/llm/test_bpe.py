@@ -1,6 +1,7 @@
 """Encoding against the public library's, whole and piece by piece."""
 
 import base64
+import hashlib
 import random
 
 import public_tokenizers
@@ -83,3 +84,17 @@ def test_columns(spark):
     with pytest.raises(ValueError):
         Tokenizer(spark, path, public_tokenizers.PATTERN, max_vocabulary_bytes=10)
     assert base64.b64encode(b"x")  # the file's form
+
+
+def test_digests(spark):
+    path = public_tokenizers.path(PATHS[0])
+    theirs = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
+    texts = ["Hello w\u00f6rld", None, "", " ".join(f"w{k * 7919}" for k in range(600_000)), "\u4e2d" * 9, *(f"row {k}" for k in range(2500))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"n_tokens": F.lit("clash"), "more": F.lit(1)}).coalesce(1)
+    out = Tokenizer(spark, path, public_tokenizers.PATTERN).digests(df)
+    assert out.columns == ["doc_id", "more", "n_tokens", "ids_sha256", "decoded_sha256"]
+    got = {r.doc_id: r for r in out.collect()}
+    for k, text in enumerate(texts):
+        ids = theirs.encode_ordinary(text or "")
+        assert (got[k].n_tokens, got[k].ids_sha256) == (len(ids), hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest())
+        assert got[k].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
