@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of text that a worker handles at once.
 SLICE_ROWS, SLICE_BYTES = 1000, 2 << 20
+#: Row groups of intermediate tables.
+ROW_GROUP_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,18 +65,28 @@ def _at_exit() -> None:
         remove_written()
 
 
-def written(df: DataFrame, kind: str) -> DataFrame:
+def written(df: DataFrame, kind: str, small: bool = False) -> DataFrame:
     """The rows written once to the shared folder and read back: later readers share one computation,
-    and a lost executor costs no more than the tasks that read from it."""
+    and a lost executor costs no more than the tasks that read from it.
+
+    Row groups are small, as tasks hold one in memory. ``small`` says that the rows are few and short
+    beside what they were made from: they go to a few files, whatever the number of partitions.
+    """
     spark = df.sparkSession
     path = new_folder(spark, kind)
-    df.write.parquet(path)
+    out = df.repartition(max(2, spark.sparkContext.defaultParallelism)) if small else df
+    out.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     context = spark.sparkContext
     again = spark.read.schema(df.schema).parquet(path)
     _WRITTEN.append((again, context._jvm.org.apache.hadoop.fs.Path(path), context._jsc.hadoopConfiguration()))
     return again
 
 
+def merges(spark: SparkSession) -> bool:
+    """Whether Spark puts small partitions together after a shuffle."""
+    return all(spark.conf.get(f"spark.sql.adaptive.{x}", "true") == "true" for x in ("enabled", "coalescePartitions.enabled"))
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: int, most: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Record batches cut so that none has more than ``rows`` rows or, but for a single longer value,
     ``most`` bytes in a text or binary column. At the end a task's free memory goes back to the system:
