@@ -91,6 +91,14 @@ def test_archive_edges(spark, pages):
     small = spark.createDataFrame([(1, "u", "a"), (2, "u", "a"), (3, "u", "")], "page_id long, url string, html string")
     assert {(r.page_id, r.refers_to) for r in warc.archive(spark, small).collect()} == {(1, None), (2, 1), (3, None)}
     assert {(r.page_id, r.refers_to) for r in warc.archive(spark, small, min_payload=2).collect()} == {(1, None), (2, None), (3, None)}
+    lone = spark.createDataFrame([(None, None, "x")], "page_id long, url string, html string")
+    folder = new_folder(spark, "warc")
+    assert [(r.page_id, r.payload) for r in warc.read(warc.write(small.unionByName(lone), folder)).orderBy("page_id").collect()] == [(None, b"x"), (1, b"a"), (2, None), (3, b"")]
+    files, name = pyarrow.fs.FileSystem.from_uri(folder)
+    for info in files.get_file_info(pyarrow.fs.FileSelector(name)):  # however few the records, there is a dictionary
+        if info.path.endswith(".warc.zst"):
+            data = files.open_input_file(info.path).read()
+            assert b"WARC-Record-ID" in warc.embedded_dictionary(data) and all(warc.parse(x) for x in warc.records_of(data))
     with pytest.raises(ValueError):
         warc.parse(warc.record(1, "u", b"payload", None, "d").replace(b"payload", b"Payload"))
 
