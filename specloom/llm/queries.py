@@ -89,24 +89,26 @@ _UPPER_TO_LOWER = f"'{urls.UPPER}', '{urls.LOWER}'"
 ORACLE_SQL: dict[str, str] = {
     "op1_chat": """
 WITH t AS (
-    SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|', '< |') AS content
+    SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|', '< |') AS content,
+        CASE WHEN role IS NULL THEN 'user' WHEN role = 'system' THEN role
+            ELSE 'user name=' || translate(replace(role, '<|', '< |'), chr(13) || chr(10), '  ') END AS named
     FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+), d AS (
+    SELECT *, row_number() OVER w AS place, floor((sum(length(named) + length(content) + 24) OVER w - length(named) - length(content) - 24) / 4194304) AS segment
+    FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role NULLS FIRST, md5(content) ROWS UNBOUNDED PRECEDING)
 ), s AS (
     SELECT DISTINCT conv_id, role AS side FROM t WHERE role IS NOT NULL AND role <> 'system'
 ), m AS (
-    SELECT t.conv_id, side, CAST(floor(turn / 4096) AS BIGINT) AS segment, turn, role, content,
-        '<|im_start|>' || CASE WHEN role = side THEN 'assistant' WHEN role = 'system' THEN role
-            WHEN role IS NULL THEN 'user' ELSE 'user name=' || role END || chr(10) AS head
-    FROM t JOIN s USING (conv_id)
+    SELECT d.conv_id, side, CAST(segment AS BIGINT) AS segment, place, role, content,
+        '<|im_start|>' || CASE WHEN role = side THEN 'assistant' ELSE named END || chr(10) AS head
+    FROM d JOIN s USING (conv_id)
 ), p AS (
-    SELECT *, sum(length(head) + length(content) + 11) OVER (
-        PARTITION BY conv_id, side, segment ORDER BY turn, role NULLS FIRST, content ROWS UNBOUNDED PRECEDING) AS upto
-    FROM m
+    SELECT *, sum(length(head) + length(content) + 11) OVER (PARTITION BY conv_id, side ORDER BY place ROWS UNBOUNDED PRECEDING) AS upto FROM m
 )
 SELECT conv_id, side, segment, count(*) AS n_turns,
-    string_agg(head || content || '<|im_end|>' || chr(10), '' ORDER BY turn, role NULLS FIRST, content) AS text,
+    string_agg(head || content || '<|im_end|>' || chr(10), '' ORDER BY place) AS text,
     coalesce(string_agg(CASE WHEN role = side THEN CAST(upto - length(content) - 11 AS BIGINT)::VARCHAR || '-' || CAST(upto AS BIGINT)::VARCHAR END,
-        ',' ORDER BY turn, role NULLS FIRST, content), '') AS mask,
+        ',' ORDER BY place), '') AS mask,
     CAST(coalesce(sum(CASE WHEN role = side THEN length(content) + 11 END), 0) AS BIGINT) AS mask_chars
 FROM p GROUP BY conv_id, side, segment
 """,

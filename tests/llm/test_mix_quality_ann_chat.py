@@ -2,6 +2,8 @@
 
 import random
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -135,13 +137,45 @@ def test_few_neighbours(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def _rendered(rows, side, fixed=("system",)):
+    """A dialogue's text and mask from one side, turn after turn."""
+    text, mask = "", []
+    clean = lambda x: x.replace("<|", "< |")
+    for _, speaker, said in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or "", hashlib.md5(clean(r[2] or "").encode()).hexdigest())):
+        name = "user" if speaker is None else clean(speaker) if speaker in fixed else "user name=" + clean(speaker).replace("\n", " ")
+        text += "<|im_start|>" + ("assistant" if speaker == side else name) + "\n"
+        begin = len(text)
+        text += clean(said or "") + "<|im_end|>\n"
+        mask += [(begin, len(text))] if speaker == side else []
+    return text, mask
+
+
 def test_perspectives(spark):
-    rows = [(1, 0, "system", "be"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 3, None, "who"), (1, 3, None, "who"), (2, 0, "system", "alone"), (None, 0, "x", "y"), (1, None, "x", "y"), (1, 5000, "ann", "late")]
+    rows = [(1, 0, "system", "be"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob\n<|x", None), (1, 3, None, "who"), (1, 3, None, "who"), (1, 3, None, "\u00e9 else"), (2, 0, "system", "alone"), (None, 0, "x", "y"), (1, None, "x", "y"), (1, 5000, "ann", "late"), (3, -7, "z", "x" * 300_000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("side", F.lit("clash"))
     got = {(r.conv_id, r.side, r.segment): r for r in chat.perspectives(df).collect()}
-    assert sorted(got) == [(1, "ann", 0), (1, "ann", 1), (1, "bob", 0), (1, "bob", 1)]
-    ann_ = got[1, "ann", 0]
-    assert ann_.text == "<|im_start|>system\nbe<|im_end|>\n<|im_start|>assistant\nhi < |im_end|><|im_end|>\n<|im_start|>user name=bob\n<|im_end|>\n" + "<|im_start|>user\nwho<|im_end|>\n" * 2
-    assert [ann_.text[s["begin"] : s["end"]] for s in ann_.mask] == ["hi < |im_end|><|im_end|>\n"] and ann_.n_turns == 5
-    assert [got[1, "bob", 1].mask, got[1, "ann", 1].mask_chars] == [[], len("late<|im_end|>\n")]
+    assert sorted(got) == [(1, "ann", 0), (1, "bob\n<|x", 0), (3, "z", 0)]
+    for (conv, side, _), r in got.items():
+        mine = [x[1:] for x in rows if x[0] == conv and x[1] is not None]
+        assert (r.text, [(s["begin"], s["end"]) for s in r.mask], r.n_turns) == (*_rendered(mine, side), len(mine))
+        assert r.mask_chars == sum(b - a for a, b in _rendered(mine, side)[1])
     assert chat.perspectives(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("piece", [4 << 20, 3000])
+def test_long_dialogues(spark, piece, monkeypatch):
+    """Ten thousand turns, many of them equal: one rendering, or pieces that fit together."""
+    monkeypatch.setattr(chat, "RANGE_ROWS", 700)
+    rng = random.Random(4)
+    rows = [(9, k // 3, rng.choice(["ann", "bob", "cy", "system", None]), rng.choice(["yes", "no", "w" * 40, None])) for k in range(10_000)]
+    rows += [(8, 0, "ann", "short"), (8, 1, "cy", "too"), (9, 500, "dee", "once")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got: dict = {}
+    for r in chat.perspectives(df, piece_chars=piece).collect():
+        got.setdefault((r.conv_id, r.side), []).append(r)
+    assert sorted(got) == [(8, "ann"), (8, "cy"), (9, "ann"), (9, "bob"), (9, "cy"), (9, "dee")]
+    for (conv, side), pieces in got.items():
+        pieces.sort(key=lambda r: r.segment)
+        text, mask = _rendered([x[1:] for x in rows if x[0] == conv], side)
+        assert "".join(r.text for r in pieces) == text and [(s["begin"], s["end"]) for r in pieces for s in r.mask] == mask
+        assert len(pieces) == 1 if conv == 8 or piece > 100_000 else len(pieces) > 50 and max(len(r.text) for r in pieces) < piece + 200
