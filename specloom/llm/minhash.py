@@ -35,9 +35,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import remove_written, slices, written, written_so_far
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 MULTIPLY, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Candidate ids are broadcast up to this many (16 MB).
 BROADCAST_IDS = 1_000_000
@@ -87,11 +87,9 @@ def sets(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 2000):
-                part = batch.slice(a, 2000)
-                found = [shingler.hashes(x or b"") for x in part.column(1).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in found], pa.int64()), _lists(found)], ["node", "n", "shingles"])
+        for batch in slices(batches, 1):
+            found = [shingler.hashes(x or b"") for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), _lists(found)], ["node", "n", "shingles"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, n long, shingles array<long>")
 
@@ -101,11 +99,14 @@ def signatures(docs: DataFrame, words: int, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for batch in batches:
-            found = [shingler.hashes(x or b"") for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            marks = [xxhash.xxh3_128_digest(x.tobytes()) for x in found]
-            arrays = [batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(marks, pa.binary()), _lists([x[:k] for x in found])]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "mark", "sketch"])
+        for batch in slices(batches, 1):
+            sizes, marks, sketches = [], [], []
+            for text in batch.column(1).cast(pa.binary()).to_pylist():
+                found = shingler.hashes(text or b"")
+                sizes.append(len(found))
+                marks.append(xxhash.xxh3_128_digest(found.tobytes()))
+                sketches.append(found[:k].copy())  # the whole set goes
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), _lists(sketches)], ["doc_id", "n", "mark", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, mark binary, sketch array<long>")
 
@@ -179,7 +180,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, k: in
 
     Takes ``doc_id, text``; returns ``doc_id, n_shingles, component_id, kept`` for every row.
     """
-    rows = docs.select("doc_id", "text")
+    rows, earlier = docs.select("doc_id", "text"), written_so_far()
     marked = written(signatures(rows, words, k), "signatures")
     classes = marked.where("n > 0 and doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("n", "sketch"), "doc_id").alias("s"))
     classes = written(classes.select("mark", "node", "s.n", "s.sketch"), "classes")
@@ -245,7 +246,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, k: in
         done = written(had if done is None else done.unionByName(had), "done")
         pairs_per_node *= 4
 
-    ends = classes.select("mark", "node").join(roots, "node", "left").select("mark", F.coalesce("root", "node").alias("component_id"))
+    ends = written(classes.select("mark", "node").join(roots, "node", "left").select("mark", F.coalesce("root", "node").alias("component_id")), "ends")
+    remove_written(earlier, [marked, ends])
     out = marked.where("n > 0 and doc_id is not null").select("doc_id", "n", "mark").join(ends, "mark", "left")
     rest = marked.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     out = out.select("doc_id", "n", "component_id").unionByName(rest)

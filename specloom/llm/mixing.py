@@ -1,6 +1,6 @@
 """Mixing sources to target weights by a low-discrepancy schedule, in DataFrame operations only.
 
-Every source's documents are shuffled (by a hash of their id) and laid end to end; the line is cut
+Every source's documents are shuffled (by a hash of their id and text) and laid end to end; the line is cut
 into blocks of equally many words. Slot i of the mix has the point frac(i * golden ratio), and the
 point's place among the cumulative weights names the slot's source. The r-th slot of a source takes
 the r-th block of its line, from the start again after the last, until the source has its target;
@@ -11,8 +11,8 @@ No step orders a whole source in one task: the line is laid out by ranges of has
 are added up first, and slots are counted by runs of the schedule in the same way.
 
 Defined results: a null text has size 0; documents of size 0 take no part and have nothing taken; a
-null source is a source of its own, after all others; repeated rows are laid out one after another; a
-null id hashes like any other value; a source without words has target 0; an empty table gives an
+null source is a source of its own, after all others; rows that share an id, or have none, are told
+apart by their texts, and wholly equal rows are laid out one after another; a source without words has target 0; an empty table gives an
 empty table; further columns are left out of the plan.
 """
 
@@ -36,7 +36,9 @@ BROADCAST_SOURCES = 50_000
 
 def size_of(text: Column) -> Column:
     """The number of words: runs without the six ASCII spaces."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    spaces = F.lit(" \t\n\x0b\x0c\r")
+    # A mark for each word and the spaces after it: unlike a count of matches, it holds no list of them.
+    return F.coalesce(F.length(F.regexp_replace(F.btrim(text, spaces), r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", "x")), F.lit(0)).cast("long")
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
@@ -79,7 +81,7 @@ def plan(docs: DataFrame, *, weights: Sequence[float] = (3, 1, 2), share: float
     ``blocks_per_source`` of them.
     """
     spark = docs.sparkSession
-    line = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"))
+    line = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
     line = written(line, "sizes")
     per_source = line.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     goals = targets(per_source.select("source", "source_size"), weights, share, cap)
@@ -95,9 +97,9 @@ def plan(docs: DataFrame, *, weights: Sequence[float] = (3, 1, 2), share: float
     # Each source's line: where every document with words begins.
     known = goals.select(F.col("source").alias("_s"), "s", "rows", "source_size", "target", "goal")
     line = line.join(few(known), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    spread = F.xxhash64("doc_id", F.lit(20))
+    spread = F.xxhash64("doc_id", "tie", F.lit(20))
     laid = line.where("size > 0").withColumn("h", spread).withColumn("part", F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * F.greatest(F.ceil(F.col("rows") / RANGE_ROWS), F.lit(1))).cast("long"))
-    laid = _running(laid, ["s"], ["h", "doc_id", "size"], "size", "start", "part", ["doc_id", "source", "size", "s", "source_size", "target"])
+    laid = _running(laid, ["s"], ["h", "doc_id", "size", "tie"], "size", "start", "part", ["doc_id", "source", "size", "s", "source_size", "target"])
 
     # Slots: points, their sources, and their ranks within the sources.
     edge = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)

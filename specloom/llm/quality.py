@@ -11,7 +11,8 @@ of their id; everything else covers all rows. Features see nothing but the text.
 
 Defined results: a null text is an empty one and is scored like any text; labelled rows with a null id
 or label are not learnt from; contradicting labels of one id count as 0; without both labels among the
-learnt rows every score is the share of 1 (1/2 without rows); repeated rows get equal scores; an empty
+learnt rows every score is the share of 1 (1/2 without rows); of an id's several texts the least is
+learnt from (null before all); repeated rows get equal scores; an empty
 table gives an empty table; further columns pass through, and one named like the output is replaced.
 """
 
@@ -28,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import slices
+
 #: Bytes counted together, each per byte of the text.
 CLASSES = {
     "upper": bytes(range(65, 91)), "lower": bytes(range(97, 123)), "digit": b"0123456789", "high": bytes(range(128, 256)),
@@ -189,10 +192,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample_ro
     if not chosen.num_rows:
         return train(np.zeros((0, len(FEATURES))), np.zeros(0))
     wanted = F.broadcast(spark.createDataFrame(chosen).withColumnRenamed("doc_id", "_id"))
-    known = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_id")).select("text", "_label")
+    known = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_label")
+    # Rows that repeat an id beyond the sample's size would have no bound: of each id one text is learnt from, the least.
+    if known.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        known = known.groupBy("doc_id").agg(F.min(F.struct("text", "_label")).alias("k")).select("doc_id", "k.*")
+    known = known.select("text", "_label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0):
             x = describe([t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
@@ -209,8 +216,7 @@ def score(docs: DataFrame, model: Additive, *, text: str = "text", out: str = "s
 
     @F.arrow_udf(T.DoubleType())
     def scores(texts: pa.Array) -> pa.Array:
-        found = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
-        parts = [shared.value.scores(describe(found[a : a + 1000])) for a in range(0, len(found), 1000)]
+        parts = [shared.value.scores(describe([t or b"" for t in part.column(0).cast(pa.binary()).to_pylist()])) for part in slices([pa.RecordBatch.from_arrays([texts], ["t"])], 0)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return docs.withColumn(out, scores(F.col(f"`{text}`")))
