@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from specloom.llm import minhash, mixing, quality
 from specloom.llm.bpe import Tokenizer
-from specloom.llm.tables import table, written
+from specloom.llm.tables import remove_written, table, written, written_so_far
 
 #: Documents with a lower score are rejected.
 QUALITY_THRESHOLD = 0.3
@@ -28,7 +28,11 @@ def _unused(name: str, docs: DataFrame) -> str:
 
 
 def judge(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score, learnt from the labels, reaches the threshold."""
+    """Documents whose quality score, learnt from the labels, reaches the threshold.
+
+    A null text is scored as an empty one; repeated rows are judged alike; without usable labels every
+    score is the same; an empty table stays empty; all columns stay, whatever their names.
+    """
     model, score = quality.fit(docs, table(spark, sf_dir, "labels")), _unused("score", docs)
     return quality.score(docs, model, out=score).where(F.col(score) >= QUALITY_THRESHOLD).select(docs.columns)
 
@@ -36,15 +40,20 @@ def judge(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest id, then the smallest digest of
     its text. A document is an id and a text: of rows that repeat both one stays, an id's other texts are
-    documents of their own, and rows without an id come after all others."""
+    documents of their own, and rows without an id come after all others.
+
+    Texts without words are like no other, but for rows that repeat their id and text; an empty table
+    stays empty; all columns stay, whatever their names.
+    """
     key, digest = _unused("key", docs), _unused("digest", docs)
-    marked = docs.withColumn(digest, F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")))
-    documents = marked.select("doc_id", digest).distinct()
-    odd = documents.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
     if odd.isEmpty():
-        ids = minhash.near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id").distinct()
-        return docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+        kept = written(minhash.near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id"), "kept")
+        kept = F.broadcast(kept) if kept.count() <= minhash.BROADCAST_IDS else kept
+        return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
     # Ids don't tell documents apart: their places in the order of ids and digests do.
+    marked = docs.withColumn(digest, F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")))
+    documents = marked.select("doc_id", digest).distinct()
     placed = documents.orderBy(F.col("doc_id").asc_nulls_last(), digest)
     id_, mark = _unused("id", docs), _unused("mark", docs)
     placed = written(placed.select(F.col("doc_id").alias(id_), F.col(digest).alias(mark), F.monotonically_increasing_id().alias(key)), "places")
@@ -56,19 +65,30 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources takes it: its taken words over its size, to the
-    nearest whole number."""
+    nearest whole number.
+
+    A document without words is not taken; a null source is a source of its own; rows that share an id
+    are taken as often as they are together; an empty table stays empty; all columns stay, whatever
+    their names.
+    """
     plan = mixing.plan(docs).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
     key, copies = _unused("id", docs), _unused("copies", docs)
     plan = plan.where("_taken > 0").select(F.col("doc_id").alias(key), F.floor(F.col("_taken") / F.col("_size") + 0.5).cast("int").alias(copies))
-    both = docs.join(plan.where(F.col(copies) > 0), F.col("doc_id").eqNullSafe(F.col(key)))
+    plan = written(plan.where(F.col(copies) > 0), "copies")
+    plan = F.broadcast(plan) if plan.count() <= minhash.BROADCAST_IDS else plan
+    both = docs.join(plan, F.col("doc_id").eqNullSafe(F.col(key)))
     return both.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document, and the SHA-256 of the bytes that they decode to."""
+    """The token ids of every document, and the SHA-256 of the bytes that they decode to.
+
+    A null text has no ids; repeated rows are encoded each; an empty table gives an empty table; of the
+    documents' columns only ``doc_id``, ``lang`` and ``source`` are returned.
+    """
     tokenizer = Tokenizer(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    coded = docs.select("doc_id", "lang", "source", tokenizer.ids_and_digest(F.col("text")).alias("coded"))
-    return coded.select("doc_id", "lang", "source", F.size("coded.ids").cast("long").alias("n_tokens"), "coded.ids", "coded.decoded_sha256")
+    coded = tokenizer.digests(docs.select("doc_id", "lang", "source", "text"), with_ids=True)
+    return coded.select("doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -81,9 +101,10 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
-    docs = table(spark, sf_dir, "documents")
+    docs, first = table(spark, sf_dir, "documents"), written_so_far()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        remove_written(first, [docs])  # what led to this stage's rows
     return docs
 
 
