@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import remove_written, slices, written, written_so_far
+from .tables import merges, remove_written, slices, written, written_so_far
 
 CACHED_WORDS = 200_000
 MULTIPLY, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -72,6 +72,11 @@ class Shingler:
         return np.unique(out.view(np.int64))
 
 
+def _kept(df: DataFrame, kind: str) -> DataFrame:
+    """A table written after a shuffle: where Spark leaves small partitions as they are, in a few files."""
+    return written(df, kind, small=not merges(df.sparkSession))
+
+
 def _shared_at_least(k: int, percent: int) -> int:
     p = percent / 100
     return max(1, math.floor(k * p - 6 * math.sqrt(k * p * (1 - p))))
@@ -120,7 +125,7 @@ def overlaps(classes: DataFrame, k: int, percent: int) -> DataFrame:
     # A class's values that nobody shares are its rarest: they take the first places.
     held = held.groupBy("node", "n").agg(F.array_sort(F.collect_list("rarity")).alias("rare"))
     places = F.greatest(F.least(F.col("n"), F.lit(k)) - need + 1 - (F.least(F.col("n"), F.lit(k)) - F.size("rare")), F.lit(0)).cast("int")
-    listed = written(held.select("node", "n", F.explode(F.slice("rare", F.lit(1), places)).alias("r")).select("node", "n", "r.v"), "lists")
+    listed = _kept(held.select("node", "n", F.explode(F.slice("rare", F.lit(1), places)).alias("r")).select("node", "n", "r.v"), "lists")
     lengths = listed.groupBy("v").agg(F.count("*").alias("len")).where("len > 1")
     return listed.join(lengths, "v")
 
@@ -159,7 +164,7 @@ def components(edges: DataFrame) -> DataFrame:
         row = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         return row.n, row.h
 
-    links = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    links = _kept(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = state(links)
     while before[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -167,7 +172,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = smallest(large)
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        links = written(small, "links")
+        links = _kept(small, "links")
         after = state(links)
         if after == before:
             break
@@ -183,17 +188,17 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, k: in
     rows, earlier = docs.select("doc_id", "text"), written_so_far()
     marked = written(signatures(rows, words, k), "signatures")
     classes = marked.where("n > 0 and doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("n", "sketch"), "doc_id").alias("s"))
-    classes = written(classes.select("mark", "node", "s.n", "s.sketch"), "classes")
-    lists = written(overlaps(classes, k, percent), "overlaps")
+    classes = _kept(classes.select("mark", "node", "s.n", "s.sketch"), "classes")
+    lists = _kept(overlaps(classes, k, percent), "overlaps")
     ids = lists.select("node").distinct()
-    ids = written(ids.withColumnRenamed("node", "doc_id"), "candidates")
+    ids = _kept(ids.withColumnRenamed("node", "doc_id"), "candidates")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    full = written(sets(rows.join(wanted, "doc_id", "left_semi"), words), "sets")
+    full = _kept(sets(rows.join(wanted, "doc_id", "left_semi"), words), "sets")
 
     # Shingles of a candidate that no other candidate has cannot be common to a pair.
     owned = full.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
     owned = owned.groupBy("node").agg(F.count("*").alias("own"))
-    lists = written(lists.join(owned, "node", "left").withColumn("free", F.col("n") - F.coalesce("own", F.lit(0))).drop("own"), "lists")
+    lists = _kept(lists.join(owned, "node", "left").withColumn("free", F.col("n") - F.coalesce("own", F.lit(0))).drop("own"), "lists")
 
     few = lists.where(F.col("len") <= short)
     pairs = few.alias("p").join(few.alias("q"), (F.col("p.v") == F.col("q.v")) & (F.col("p.node") < F.col("q.node")) & _can_reach("p", "q", percent)).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
@@ -206,25 +211,25 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, k: in
     other = full.select(F.col("node").alias("centre"), F.col("shingles").alias("sc"))
     beside = many.select("centre", "node").distinct().join(full.select("node", "shingles"), "node").join(other, "centre")
     beside = beside.select("centre", "node", F.size(F.array_intersect("shingles", "sc")).alias("inner"), F.size("sc").alias("n_centre"), F.size("shingles").alias("n_node"), F.array_except("shingles", "sc").alias("rest"))
-    beside = written(beside, "beside")
+    beside = _kept(beside, "beside")
     starred = beside.where((F.col("node") != F.col("centre")) & ((100 + percent) * F.col("inner") >= percent * (F.col("n_centre") + F.col("n_node"))))
     starred = starred.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))
-    links = written(found.unionByName(starred.distinct()), "edges")
+    links = _kept(found.unionByName(starred.distinct()), "edges")
     roots = components(links)
 
     # What is left of the long lists.
     keys = many.groupBy("node").agg(F.array_sort(F.collect_list("v")).alias("vs"), F.max("len").alias("most"))
-    many = written(many.join(keys, "node").join(beside.select("centre", "node", "inner", "rest"), ["centre", "node"]), "long")
+    many = _kept(many.join(keys, "node").join(beside.select("centre", "node", "inner", "rest"), ["centre", "node"]), "long")
     size, done = many.select("node").distinct().count(), None
     while size:
-        now = written(many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "now")
+        now = _kept(many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "now")
         largest = now.groupBy("v", "root").agg(F.count("*").alias("c")).groupBy("v").agg(F.max(F.struct("c", "root")).alias("g")).select("v", F.col("g.root").alias("main"))
         fewest = now.groupBy("v").agg(F.min("n").alias("n_min"))
         reach = (100 + percent) * F.col("free") >= percent * (F.col("n") + F.col("n_min"))
         outside = now.join(largest, "v").join(fewest, "v").where((F.col("root") != F.col("main")) & reach).drop("main", "n_min")
         # A list's main component changes from round to round, so who had a turn in one list may have another in the next.
         outside = outside if done is None else outside.join(done, ["v", "node"], "left_anti")
-        outside = written(outside, "outside")
+        outside = _kept(outside, "outside")
         work = outside.groupBy("node").agg(F.max("most").alias("most")).agg(F.sum("most")).first()[0] or 0
         if not work:
             break
@@ -238,15 +243,15 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, k: in
         more = turn.alias("p").join(now.alias("q"), (F.col("p.v") == F.col("q.v")) & (F.col("p.root") != F.col("q.root")) & _can_reach("p", "q", percent) & once & enough)
         more = more.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
         new = verified(more, full, k, percent)
-        links = written(links.unionByName(new), "edges")
+        links = _kept(links.unionByName(new), "edges")
         roots = components(links)
         if share == 1:
             break
         had = turn.select("v", "node")
-        done = written(had if done is None else done.unionByName(had), "done")
+        done = _kept(had if done is None else done.unionByName(had), "done")
         pairs_per_node *= 4
 
-    ends = written(classes.select("mark", "node").join(roots, "node", "left").select("mark", F.coalesce("root", "node").alias("component_id")), "ends")
+    ends = _kept(classes.select("mark", "node").join(roots, "node", "left").select("mark", F.coalesce("root", "node").alias("component_id")), "ends")
     remove_written(earlier, [marked, ends])
     out = marked.where("n > 0 and doc_id is not null").select("doc_id", "n", "mark").join(ends, "mark", "left")
     rest = marked.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
