@@ -82,11 +82,11 @@ def plan(docs: DataFrame, *, weights: Sequence[float] = (3, 1, 2), share: float
     """
     spark = docs.sparkSession
     line = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
-    line = written(line, "sizes")
+    line = written(line, "sizes", small=True)
     per_source = line.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     goals = targets(per_source.select("source", "source_size"), weights, share, cap)
     goals = goals.withColumn("goal", F.least(F.round("target").cast("long"), F.floor(F.col("source_size") * F.lit(float(cap))).cast("long")))
-    goals = written(goals.join(per_source.select(F.col("source").alias("_s"), "rows"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("s", F.row_number().over(Window.orderBy(F.col("source").isNull(), F.encode("source", "utf-8")))), "goals")
+    goals = written(goals.join(per_source.select(F.col("source").alias("_s"), "rows"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("s", F.row_number().over(Window.orderBy(F.col("source").isNull(), F.encode("source", "utf-8")))), "goals", small=True)
     least, total = goals.where("goal > 0").agg(F.min("goal"), F.sum("goal")).first()
     block = max(1, min(block_words, (least or 1) // blocks_per_source))
     slots = (total or 0) // block
