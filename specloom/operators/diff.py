@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.figures import one_spelling_column
+from ..functions.figures import shown_column
 from ..functions.scalar import line_count, normalize_title, strip_heading
 
 #: Edits beyond which two texts count as replaced as a whole.
@@ -19,7 +19,7 @@ def _body(content: Column) -> Column:
     """What counts as a section's content: without its heading, pictures by one spelling. Only contents
     with pictures go through Python."""
     text = strip_heading(content)
-    return F.when(F.contains(text, F.lit("image://")), one_spelling_column(text)).otherwise(text)
+    return F.when(F.contains(text, F.lit("image://")), shown_column(text)).otherwise(text)
 
 
 def structural(old: DataFrame, new: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import corpus as c
-from .functions import markup, scalar
+from .functions import figures, markup, scalar
 from .operators import blocks, catalog, defs, diff, fts, hierarchy, maintain, openapi, references
 from .sources import archive, documents
 
@@ -574,15 +574,47 @@ def document_file_names(spark, sf_dir):
     return c.table(spark, sf_dir, "part").select(k.alias("k"), archive.document_file(name, F.when(k % 3 == 0, "TR")).alias("f")).select("k", "f.*")
 
 
-@query(r"""WITH l AS (SELECT e.event_id AS k, event_type, value FROM events e)
-SELECT k, 'sip' AS kind, 1 AS from_line, 3 AS to_line FROM l UNION ALL SELECT k, 'diameter', 6, 8 FROM l""")
+#: Lines of a text with a block of each kind (where each begins and ends) among lines that are none.
+_EXAMPLE = (
+    "The call:", "INVITE sip:@K@x.test @V", "Call-ID: @K", "Privacy: id", "v=0", "which the server answers.", "", "Req ::= < Diameter Header: 316 >", " < Session-Id >", "*[ AVP ]",
+    "End. SIP/2.0 200 OK is sent", "v=0", "o=- @K 0 IN IP4 h", "m=audio 9 RTP/AVP 0", "so be it", "<a>", "<b>@K</b>", "some text", "</a>", "x=1", "-- /x/ ASN1START", "A ::= NULL", "", "-- ASN1STOP",
+    "$x = @K$, (7.3-1)", "NOTE: <userid> alone", "m=<media> <port>", "where: $x$ is known",
+)
+_PLACES = {"sip": (1, 4), "diameter": (7, 9), "sdp": (11, 13), "xml": (15, 18), "asn1": (20, 23), "latex": (24, 24)}
+
+
+@query("SELECT event_id AS k, kind, CAST(a + 2 * (event_id % 3) AS INT) AS from_line, CAST(b + 2 * (event_id % 3) AS INT) AS to_line FROM events CROSS JOIN (VALUES "
+       + ", ".join(f"('{kind}', {a}, {b})" for kind, (a, b) in _PLACES.items()) + ") p(kind, a, b) WHERE kind <> 'sip' OR event_id % 5 <> 0")
 def protocol_blocks(spark, sf_dir):
-    k = F.col("event_id").cast("string")
-    text = F.concat(F.lit("The call:\nINVITE sip:"), k, F.lit("@x.test SIP/2.0\nCall-ID: "), k, F.lit("\nv=0\nwhich the server answers.\n\nReq ::= < Diameter Header: 316 >\n < Session-Id >\n*[ AVP ]\nEnd."))
-    rows = c.table(spark, sf_dir, "events").select(F.col("event_id").alias("k"), text.alias("text"))
+    k = F.col("event_id")
+    text = F.concat(F.repeat(F.lit("Prose.\n\n"), (k % 3).cast("int")), F.replace(F.replace(F.lit("\n".join(_EXAMPLE)), F.lit("@K"), k.cast("string")), F.lit("@V"), F.when(k % 5 == 0, "SIP/9.9").otherwise("SIP/2.0")))
+    rows = c.table(spark, sf_dir, "events").select(k.alias("k"), text.alias("text"))
     return blocks.blocks(rows, "k").select("k", "kind", "from_line", "to_line")
 
 
+def _pictured(spark: SparkSession, sf_dir: str, ending: str) -> DataFrame:
+    """A text with a link and a tag for each part; every seventh is of a format that is not converted."""
+    k = F.col("p_partkey").cast("string")
+    name = F.concat(F.lit("fig"), k, F.when(F.col("p_partkey") % 7 == 0, ".jpg").otherwise(ending))
+    text = F.concat(F.lit("See ![A "), k, F.lit("](image://"), name, F.lit("?w="), F.col("p_size").cast("string"), F.lit(") and <img width='1' src=\"image://"), name, F.lit("\" alt=\""), name, F.lit("\"> or image://none."))
+    return c.table(spark, sf_dir, "part").select("p_partkey", "p_size", text.alias("content"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_size, 'fig' || p_partkey::VARCHAR || CASE WHEN p_partkey % 7 = 0 THEN '.jpg' ELSE '' END AS stem FROM part)
+SELECT k, 0 AS position, 'link' AS markup, stem, '?w=' || p_size::VARCHAR AS query, 'A ' || k::VARCHAR AS caption FROM p UNION ALL SELECT k, 1, 'tag', stem, '', '' FROM p""")
+def picture_references(spark, sf_dir):
+    return figures.pictures(_pictured(spark, sf_dir, ".wmf.PNG"), "content").select(F.col("p_partkey").alias("k"), "picture.*")
+
+
+@query("SELECT p_partkey AS k, p_size % 10 <> 0 AS same FROM part")
+def picture_spellings(spark, sf_dir):
+    """Texts whose pictures were converted on one side, and on every tenth size shown larger."""
+    old, new = _pictured(spark, sf_dir, ".emf"), _pictured(spark, sf_dir, ".png")
+    larger = F.when(F.col("p_size") % 10 == 0, F.replace("content", F.lit("?w="), F.lit("?w=9"))).otherwise(F.col("content"))
+    both = old.select("p_partkey", "content").join(new.select("p_partkey", larger.alias("other")), "p_partkey")
+    return both.select(F.col("p_partkey").alias("k"), (figures.shown_column("content") == figures.shown_column("other")).alias("same"))
+
+
 @query()
 def page_sections(spark, sf_dir):
     return documents.sections_of_pages(c.table(spark, sf_dir, "pages"), "page_id", "html")

@@ -223,13 +223,34 @@ def test_markup():
     assert markup.segments("a\n```py\nx\n```\nb") == [("text", "", "a\n"), ("code", "py", "x\n"), ("text", "", "b")]
 
 
-def test_figures_and_indents(spark):
-    from specloom.functions.figures import one_spelling
+def test_blocks():
+    from specloom.operators.blocks import blocks_of
+
+    found = lambda text: [(k, a, b) for k, a, b in blocks_of(text)]
+    assert found("EXAMPLE 1:\tINVITE sip:a@b SIP/2.0\n\nVia: x\nf: y\nP-Early-Media=no\n\nv=0\na=fmtp:1 \\\nmode-set=0;x\nIt ends.\n") == [("sip", 0, 8)]
+    assert found("- RTSP/1.0 200 OK\nCSeq: 1\nS->C RTSP/1.0 404 Not Found") == [("sip", 0, 2)]
+    assert found("BYE sip: a@b\nNOTE: no") == [("sip", 0, 0)]
+    for prose in ("INVITE is sent", "SIP/2.0 200 OK is sent to the UE", "INVITE sip:a@b SIP/2.0 is sent", "v= (protocol version).\no= (owner).", "m=<media>\na=b", "x=1\ny=2\nq=3", "<userid>\nis prose", "a < b", "$x$ is", "costs $5", "Header: x", "::= < Header >"):
+        assert found(prose) == [], prose
+    assert found("A ::= <AVP Header: 9 1>\n1*{ X }\n\n [ Y ]\n* < Z >\n[a][b]") == [("diameter", 0, 4)]
+    assert found("t=0 0\nm=audio\n\na=x\n") == [("sdp", 0, 3)]
+    assert found("<?xml version='1.0'?>\n<!-- a\nremark -->\n<x\n a='1'>\nfree text\n</x>\nAfterwards.") == [("xml", 0, 6)]
+    assert found("<!DOCTYPE a [\n<!ELEMENT a (b)>\n]>\nProse") == [("xml", 0, 2)] and found("<a>\n<b>\nnever closed\nprose") == [("xml", 0, 1)]
+    assert found("-- ASN1START\nA ::= NULL\n<x>") == [("asn1", 0, 2)] and found("-- ASN1STARTED\n--ASN1STOP") == []
+    assert found("$$a+b$$\n$x$ , (A.4-2)\n$x$ (dB)\n$x$ and $y$") == [("latex", 0, 0), ("latex", 1, 1)]
+
 
-    assert one_spelling("a ![image3.emf](image://image3.emf?w=2) b") == "a ![Figure](image://image3?w=2) b"
-    assert one_spelling("![](image://i1.wmf.png)") == one_spelling("![i1.wmf](image://i1.wmf)") == "![Figure](image://i1)"
-    assert one_spelling("![A map](image://m.jpg)") == "![A map](image://m.jpg)"
-    assert one_spelling('<img width="2" src="image://x.PNG" alt="x.png">') == '<img src="image://x" alt="Figure">'
+def test_figures_and_indents(spark):
+    from specloom.functions.figures import Reference, references, shown
+
+    only = lambda text: [r for _, _, r in references(text)]
+    assert only("a ![image3.emf](image://image3.emf?w=2) b") == [Reference("link", "image3", "?w=2", "")]
+    assert shown("![](image://i1.wmf.png)") == shown("![i1.wmf](image://i1.wmf)") == shown("![i1.wmf.png](image://i1.emf)")
+    assert only("![A map](image://m.jpg)") == [Reference("link", "m.jpg", "", "A map")] and shown("![](image://m.jpg)") != shown("![](image://m.png)")
+    assert shown("![](image://m.png?w=1)") != shown("![](image://m.png?w=2)") and shown("x ![](image://m.png)") != shown("![](image://m.png)")
+    assert only('<img width="2" src="image://x.PNG" alt="x.png"><IMG\nsrc="image://y.z?w=1">') == [Reference("tag", "x", "", ""), Reference("tag", "y.z", "?w=1", "")]
+    for none in ("image://x.png", "![a]( image://x.png)", "[a](image://x.png)", "![](image://a b)", '<a src="image://x">', '<img alt="image://x">', "<img", "![](image://"):
+        assert only(none) == [] and shown(none) == none
     schema = "number string, title string, content string"
     old, new = spark.createDataFrame([("1", "t", "![](image://a.emf)")], schema), spark.createDataFrame([("1", "t", "![](image://a.png)")], schema)
     assert diff.structural(old, new).count() == 0
