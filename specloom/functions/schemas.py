@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from decimal import Decimal
 from typing import Any
 
 #: Request methods in the order of operations, and the form of a schema reference.
@@ -13,18 +15,25 @@ REFERENCE = re.compile(r"\A([^#]*)#/components/schemas/([^/]+)\Z")
 Lookup = Callable[[str, str], dict | None]
 
 
-def read(text: str) -> dict:
-    """A YAML 1.2 mapping: only true and false are booleans, and dates stay text."""
+@functools.cache
+def _loader() -> type:
+    """A safe loader of YAML 1.2 scalars, built once in a process; the C one where there is one."""
     import yaml
 
-    class Loader(yaml.SafeLoader):
+    class Loader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
         pass
 
-    Loader.yaml_implicit_resolvers = {
-        first: [(tag, exp) for tag, exp in found if tag not in ("tag:yaml.org,2002:bool", "tag:yaml.org,2002:timestamp")] for first, found in yaml.SafeLoader.yaml_implicit_resolvers.items()
-    }
-    Loader.add_implicit_resolver("tag:yaml.org,2002:bool", re.compile(r"\A(?:true|True|TRUE|false|False|FALSE)\Z"), list("tTfF"))
-    found = yaml.load(text, Loader)  # noqa: S506  a safe loader
+    changed = ("tag:yaml.org,2002:bool", "tag:yaml.org,2002:timestamp")
+    Loader.yaml_implicit_resolvers = {first: [x for x in found if x[0] not in changed] for first, found in yaml.SafeLoader.yaml_implicit_resolvers.items()}
+    Loader.add_implicit_resolver(changed[0], re.compile(r"\A(?:true|True|TRUE|false|False|FALSE)\Z"), list("tTfF"))
+    return Loader
+
+
+def read(text: str) -> dict:
+    """A YAML 1.2 mapping: only true and false are booleans, and dates stay text."""
+    import yaml
+
+    found = yaml.load(text, _loader())  # noqa: S506  a safe loader
     if not isinstance(found, dict):
         raise ValueError("not a mapping")
     return found
@@ -56,12 +65,14 @@ def reference(node: Any) -> tuple[str, str] | None:
 
 
 def request_schema(operation: dict) -> tuple[str, str] | None:
-    """The reference of the first media type, by name, that has one."""
+    """What the first media type, by name, whose schema is a reference refers to. A body that is itself a
+    reference names no schema."""
     body = operation.get("requestBody")
-    content = body.get("content") if isinstance(body, dict) else None
-    for kind in sorted(content if isinstance(content, dict) else ()):
-        if isinstance(content[kind], dict) and (found := reference(content[kind].get("schema"))):
-            return found
+    content = body.get("content") if isinstance(body, dict) and not isinstance(body.get("$ref"), str) else None
+    for kind in sorted(content if isinstance(content, dict) else (), key=str):
+        schema = content[kind].get("schema") if isinstance(content[kind], dict) else None
+        if isinstance(schema, dict) and isinstance(schema.get("$ref"), str) and schema["$ref"]:
+            return reference(schema)
     return None
 
 
@@ -77,66 +88,98 @@ def references(node: Any) -> Iterator[tuple[str, str]]:
             yield from references(item)
 
 
+def _number(value: float) -> str:
+    """The shortest digits, with an exponent below 1e-4 and from 1e6 on."""
+    digits = Decimal(repr(value))
+    if not digits.is_finite():
+        return {"inf": "+Inf", "-inf": "-Inf"}.get(str(value), "NaN")
+    if value and not -4 <= digits.adjusted() < 6:
+        mantissa = format(digits.scaleb(-digits.adjusted()).normalize(), "f")
+        return f"{mantissa}e{digits.adjusted():+03d}"
+    return format(digits.normalize(), "f") if value else "0"
+
+
 def _leaf(value: Any) -> str | None:
+    """A scalar, or a list of nothing else, as text; null for what has structure."""
     if isinstance(value, bool):
         return str(value).lower()
-    if isinstance(value, str | int | float):
+    if isinstance(value, float):
+        return _number(value)
+    if isinstance(value, str | int):
         return str(value)
-    if isinstance(value, list) and value and all(isinstance(v, str | int | float) for v in value):
-        return ", ".join(_leaf(v) for v in value)
+    if isinstance(value, list) and value:
+        parts = [None if isinstance(v, list) else _leaf(v) for v in value]
+        return None if None in parts else ", ".join(parts)
     return None
 
 
+def _leaves(node: dict, keys: Iterable[str], before: str) -> list[str]:
+    return [f"{before}{k}: {text}" for k in keys if (text := _leaf(node.get(k))) is not None]
+
+
+def _indented(lines: list[str], by: int) -> list[str]:
+    return [" " * by + line for text in lines for line in text.split("\n")]
+
+
 def describe(name: str, schema: dict, find: Lookup, expand: bool = True) -> list[str]:
-    """Lines that say what a schema is; what it refers to is told one step deep."""
-
-    def target(node: Any, indent: str) -> list[str]:
-        ref = reference(node)
-        if ref is None:
-            return []
-        lines = [f"{indent}$ref: {node['$ref']}"]
-        inner = find(*ref) if expand else None
-        if inner is not None:
-            lines += [indent + "  " + line for line in describe(ref[1], inner, find, expand=False)]
-        return lines
-
-    def own(node: dict, indent: str, keys: list[str]) -> list[str]:
-        return [f"{indent}{k}: {text}" for k in keys if (text := _leaf(node.get(k))) is not None]
-
-    out = [f"{name}:", *target(schema, "  "), *own(schema, "  ", ["type", "description", "enum", "required"])]
+    """Lines that say what a schema is. What it refers to follows the reference, marked as expanded and
+    told without its own references' contents; a reference that leads nowhere stands alone."""
+
+    def link(node: Any) -> str:
+        text = node.get("$ref") if isinstance(node, dict) else None
+        return text if isinstance(text, str) else ""
+
+    def expanded(node: dict, by: int) -> list[str]:
+        """What a reference leads to, or nothing."""
+        ref = reference(node) if expand else None
+        inner = find(*ref) if ref else None
+        return [] if inner is None else [" " * by + "# expanded:", *_indented(describe(ref[1], inner, find, expand=False), by)]
+
+    out = [f"{name}:"]
+    if link(schema):
+        out += [f"  $ref: {link(schema)}", *expanded(schema, 2)]
+    out += _leaves(schema, [k for k in ("type", "description") if isinstance(schema.get(k), str)] + ["enum", "required"], "  ")
     for kind in ("allOf", "oneOf", "anyOf"):
-        members = schema.get(kind)
-        if isinstance(members, list):
-            out.append(f"  {kind}:")
-            for member in members:
-                if isinstance(member, dict):
-                    out += target(member, "    ") or own(member, "    ", sorted(member))
-                    fields = member.get("properties")
-                    out += [f"      property: {p}" for p in sorted(fields)] if isinstance(fields, dict) else []
+        if not isinstance(schema.get(kind), list):
+            continue
+        out.append(f"  {kind}:")
+        for member in schema[kind]:
+            if not isinstance(member, dict):
+                continue
+            if link(member):
+                out += [f"    - $ref: {link(member)}", *expanded(member, 6)]
+                continue
+            out += _leaves(member, sorted(member, key=str), "    - ")
+            fields = member.get("properties")
+            out += [f"      property: {p}" for p in sorted(fields, key=str)] if isinstance(fields, dict) else []
     fields = schema.get("properties")
     if isinstance(fields, dict):
         out.append("  properties:")
-        for field in sorted(fields):
+        for field in sorted(fields, key=str):
             node = fields[field]
             out.append(f"    {field}:")
-            if isinstance(node, dict):
-                out += target(node, "      ") or own(node, "      ", sorted(node))
-                for wrapper in ("items", "additionalProperties"):
-                    if reference(node.get(wrapper)):
-                        out += [f"      {wrapper}:", *target(node[wrapper], "        ")]
+            if not isinstance(node, dict):
+                continue
+            if inner := expanded(node, 6) if link(node) else []:
+                out += [f"      $ref: {link(node)}", *inner]
+                continue
+            out += _leaves(node, sorted(node, key=str), "      ")
+            for wrapper in ("items", "additionalProperties"):
+                if link(node.get(wrapper)):
+                    out += [f"      {wrapper}:", f"        $ref: {link(node[wrapper])}", *expanded(node[wrapper], 8)]
     return out
 
 
-def describe_operation(method: str, path: str, operation: dict, find: Lookup) -> list[str]:
-    out = [f"{method.upper()} {path}"]
-    out += [f"  {k}: {operation[k]}" for k in ("operationId", "summary", "description") if isinstance(operation.get(k), str)]
-    if ref := request_schema(operation):
-        out.append(f"  request: {ref[1]}")
-        inner = find(*ref)
-        out += ["    " + line for line in describe(ref[1], inner, find, expand=False)] if inner is not None else []
-    responses = operation.get("responses")
-    out += [f"  response: {code}" for code in sorted(responses, key=str)] if isinstance(responses, dict) else []
-    return out
+def describe_operation(name: str, operation: dict, request: list[str] | None) -> list[str]:
+    """Lines that say what an operation (``METHOD path``) does; ``request`` describes its body's schema."""
+    out = [name]
+    if isinstance(operation.get("summary"), str):
+        out.append(f"  summary: {operation['summary']}")
+    parameters = operation.get("parameters")
+    for parameter in parameters if isinstance(parameters, list) else ():
+        if isinstance(parameter, dict) and isinstance(parameter.get("name"), str):
+            out.append(f"  parameter: {parameter['name']}")
+    return out + (["  requestBody:", *_indented(request, 4)] if request is not None else [])
 
 
 def restrict(doc: dict, path: str | None = None, schema: str | None = None) -> dict:

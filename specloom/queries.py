@@ -455,10 +455,23 @@ def api_parts(spark, sf_dir):
     return openapi.parts(_api_docs(spark, sf_dir)).select("api_name", "kind", "name", refs.alias("refs"))
 
 
-@query(f"""WITH {_API} SELECT api_name, 'C' || k || ':' || chr(10) || '  type: object' || chr(10) || '  required: a' || chr(10) || '  properties:' || chr(10) || '    a:' || chr(10) || '      type: string' || chr(10) || '    on:' || chr(10)
-    || '      $ref: nation.yaml#/components/schemas/N' || n || chr(10) || '        N' || n || ':' || chr(10) || '          type: string' || chr(10) || '          description: ' || n_name AS body FROM d JOIN nation ON n = n_nationkey::VARCHAR""")
+@query(f"""WITH {_API}, c AS (SELECT api_name, k, chr(10) || '  type: object' || chr(10) || '  required: a' || chr(10) || '  properties:' || chr(10) || '    a:' || chr(10) || '      type: string' || chr(10) || '    on:' || chr(10)
+    || '      $ref: nation.yaml#/components/schemas/N' || n || chr(10) || '      # expanded:' || chr(10) || '      N' || n || ':' || chr(10) || '        type: string' || chr(10) || '        description: ' || n_name AS body FROM d JOIN nation ON n = n_nationkey::VARCHAR)
+SELECT api_name, 'schema' AS kind, 'C' || k AS name, 'C' || k || ':' || body AS body FROM c
+UNION ALL SELECT api_name, 'schema', 'Flag', 'Flag:' || chr(10) || '  enum: yes, no' FROM d
+UNION ALL SELECT api_name, 'operation', 'GET /c/' || k, 'GET /c/' || k || chr(10) || '  summary: yes' FROM d
+UNION ALL SELECT api_name, 'operation', 'POST /c/' || k, 'POST /c/' || k || chr(10) || '  summary: put one' || chr(10) || '  requestBody:' || chr(10) || replace('    C' || k || ':' || body, chr(10), chr(10) || '    ') FROM c
+UNION ALL SELECT 'Nations', 'schema', 'N' || n_nationkey::VARCHAR, 'N' || n_nationkey::VARCHAR || ':' || chr(10) || '  type: string' || chr(10) || '  description: ' || n_name FROM nation""")
 def api_chunks(spark, sf_dir):
-    return openapi.chunks(_api_docs(spark, sf_dir)).where("kind = 'schema' and name like 'C%'").select("api_name", "body")
+    return openapi.chunks(_api_docs(spark, sf_dir)).select("api_name", "kind", "name", "body")
+
+
+@query(f"""WITH {_API} SELECT api_name, CASE WHEN k::BIGINT % 3 = 0 THEN NULL ELSE 'openapi: 3.0.0' || chr(10) || 'components:' || chr(10) || '  schemas:' || chr(10) || '    Flag:' || chr(10) || '      enum:' || chr(10) || '      - yes' || chr(10) || '      - no' || chr(10) END AS part,
+    CASE WHEN k::BIGINT % 3 = 0 THEN 'no such schema; there are: C' || k || ', None' END AS error FROM d""")
+def api_restricted(spark, sf_dir):
+    other = F.when(F.col("filename").substr(F.lit(2), F.length("filename") - 6).cast("long") % 3 == 0, F.replace("content", F.lit("Flag:"), F.lit("None:"))).otherwise(F.col("content"))
+    docs = _api_docs(spark, sf_dir).where("api_name <> 'Nations'").withColumn("content", other)
+    return openapi.restricted(docs, schema="Flag").select("api_name", F.replace(F.replace("part", F.lit("'yes'"), F.lit("yes")), F.lit("'no'"), F.lit("no")).alias("part"), "error")
 
 
 @query(f"WITH {_API} SELECT spec_id, api_name, 'Flag' AS name FROM d")
@@ -478,11 +491,6 @@ def api_listing(spark, sf_dir):
     return openapi.listing(_api_docs(spark, sf_dir), "TS 29.3")
 
 
-@query()
-def api_restricted(spark, sf_dir):
-    return openapi.restricted(_api_docs(spark, sf_dir), schema="Flag").select("api_name", "part", "error")
-
-
 @query("SELECT event_type, (props->>'k')::BIGINT AS k, count(*) AS n FROM events GROUP BY ALL")
 def json_fields(spark, sf_dir):
     rows = c.table(spark, sf_dir, "events").withColumn("v", F.parse_json("props"))

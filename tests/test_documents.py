@@ -106,7 +106,12 @@ def test_schemas():
     assert [(m, p) for m, p, _ in schemas.operations(doc)] == [("post", "/a/{id}"), ("get", "/ab")]
     assert schemas.request_schema(doc["paths"]["/a/{id}"]["post"]) == ("x.yaml", "T")
     lines = schemas.describe("S", dict(schemas.schemas(doc))["S"], lambda f, s: {"type": "string"})
-    assert "  enum: yes, 2001-01-01" in lines and "        $ref: #/components/schemas/S" in lines and "            type: string" in lines
+    assert lines == ["S:", "  type: object", "  enum: yes, 2001-01-01", "  properties:", "    p:", "      items:", "        $ref: #/components/schemas/S", "        # expanded:", "        S:", "          type: string"]
+    node = {"$ref": "#/components/schemas/A", "allOf": [{"$ref": "z.yaml#/components/schemas/Z"}, {"type": "object", "nullable": True, "properties": {"q": {}}}, "odd"], "required": ["a", ["b"]], "properties": {"n": {"$ref": "other", "minimum": 1e21, "maximum": 2.5, "enum": [1, 1e-7, 3.0, 2.5e6, 123456.0, 10000000]}, "o": 1}}
+    assert schemas.describe("T", node, lambda f, s: {"$ref": "#/components/schemas/B", "description": 7} if s == "A" else None) == [
+        "T:", "  $ref: #/components/schemas/A", "  # expanded:", "  A:", "    $ref: #/components/schemas/B", "  allOf:", "    - $ref: z.yaml#/components/schemas/Z", "    - nullable: true", "    - type: object", "      property: q",
+        "  properties:", "    n:", "      $ref: other", "      enum: 1, 1e-07, 3, 2.5e+06, 123456, 10000000", "      maximum: 2.5", "      minimum: 1e+21", "    o:",
+    ]
     assert list(schemas.restrict(doc, path="/a")["paths"]) == ["/a/{id}"]
     with pytest.raises(ValueError, match="there are: S"):
         schemas.restrict(doc, schema="none")
