@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+DIGITS = "0123456789" + LOWER
 
 
 def ascii_lower(text: Column) -> Column:
@@ -29,18 +30,22 @@ def is_dotted(version: Column) -> Column:
     return F.coalesce(version.rlike(r"\A[0-9]+\.[0-9]+\.[0-9]+\z"), F.lit(False))
 
 
+def digit_value(character: Column) -> Column:
+    """The value of a base-36 digit; 0 for an empty text and -1 for anything else."""
+    return F.instr(F.lit(DIGITS), F.lower(character)) - 1
+
+
 def token_to_dotted(token: Column) -> Column:
     """``i60`` to ``18.6.0``: three base-36 digits; null for anything else."""
-    digits = [F.conv(F.substring(token, k, 1), 36, 10) for k in (1, 2, 3)]
+    digits = [digit_value(F.substring(token, k, 1)).cast("string") for k in (1, 2, 3)]
     return F.when(token.rlike(r"\A[0-9a-zA-Z]{3}\z"), F.concat_ws(".", *digits))
 
 
 def dotted_to_token(version: Column) -> Column:
     """``18.6.0`` to ``i60``; null unless there are three numbers of at most 35."""
-    parts = F.split(version, r"\.")
-    number = [F.element_at(parts, k).try_cast("int") for k in (1, 2, 3)]
-    fits = is_dotted(version) & (F.greatest(*number) <= 35)
-    return F.when(fits, F.concat(*(F.lower(F.conv(n.cast("string"), 10, 36)) for n in number)))
+    digits = F.transform(F.split(version, r"\."), lambda x: x.try_cast("int"))
+    token = F.array_join(F.transform(digits, lambda n: F.when(n <= 35, F.substr(F.lit(DIGITS), n + 1, F.lit(1)))), "")
+    return F.when(is_dotted(version) & (F.length(token) == 3), token)
 
 
 def normalize_version(version: Column) -> Column:

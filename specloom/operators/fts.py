@@ -1,7 +1,7 @@
 """Ranked full-text search over postings.
 
-An index is three tables: ``postings`` (doc, field, pos, term), ``lengths`` (doc, tokens) and
-``docs``. Every phrase of a query is matched on its own, by filters on ``term`` and joins on positions;
+An index is two tables: ``postings`` (doc, field, pos, term) and ``lengths`` (doc, tokens). It is built
+from texts, written once, and read by as many searches as there are. Every phrase of a query is matched on its own, by filters on ``term`` and joins on positions;
 one aggregation by document brings the phrases together, and the query's tree becomes a boolean
 expression over them. Scores are BM25 with weighted fields, lower is better, and ties go to the
 smaller document.
@@ -14,11 +14,12 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tokens import PROSE, code_token_column, code_tokens, plain_tokens, prose_token_column, prose_tokens
 from ..plans import query as q
+from ..session import spread
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 #: Weights of the fields of sections and of chunks.
@@ -26,22 +27,73 @@ SECTION_WEIGHTS = {"spec_id": 0.5, "number": 1.0, "title": 5.0, "content": 1.0}
 CHUNK_WEIGHTS = {"api_name": 0.5, "name": 5.0, "body": 1.0}
 
 
+#: Folders of a written index: terms that begin with the same two characters share one.
+BUCKETS = 64
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(F.substring(term, 1, 2)), F.lit(BUCKETS)).cast("int")
+
+
 @dataclass
 class Index:
+    """``postings`` and ``lengths``; of a written index, postings have the ``bucket`` of their folder."""
+
     postings: DataFrame
     lengths: DataFrame
     weights: Mapping[str, float]
     tokens: Callable[[str], list[str]]
 
-    def write(self, folder: str, buckets: int = 64) -> None:
-        """Postings laid out by term, so that a query's terms read few files."""
-        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).alias("bucket")
-        self.postings.select("*", bucket).repartitionByRange(buckets, "bucket", "term").sortWithinPartitions("term", "doc").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-        self.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
+    def holding(self, terms: list[tuple[str, bool]]) -> DataFrame:
+        """The postings of some terms (or of beginnings, if the second is true): of a written index, only
+        the folders where they can be are read, and there only the row groups."""
+        here = [F.startswith("term", F.lit(t)) if prefix else F.col("term") == t for t, prefix in terms]
+        rows = self.postings.where(reduce(lambda a, b: a | b, here))
+        if "bucket" not in self.postings.columns or any(prefix and len(t) < 2 for t, prefix in terms):
+            return rows
+        return rows.where(reduce(lambda a, b: a | b, (F.col("bucket") == _bucket(F.lit(t)) for t, _ in terms)))
+
+    def write(self, folder: str) -> Index:
+        """Writes the index in place of what the folder holds, and returns the written one.
+
+        Postings are laid out by bucket and term; a term of very many documents goes on in further files.
+        Lengths are those of the written postings, so that texts are tokenised once.
+        """
+        spark = self.postings.sparkSession
+        parts = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        rows = self.postings.select("doc", "field", "pos", "term", _bucket(F.col("term")).alias("bucket"))
+        rows = rows.repartitionByRange(parts, "bucket", "term", "doc").sortWithinPartitions("bucket", "term", "doc")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+        counted = spark.read.parquet(f"{folder}/postings").groupBy("doc").agg(F.count("*").alias("tokens"))
+        known = self.lengths.select("doc").join(counted, "doc", "left").select("doc", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
+        known.write.mode("overwrite").parquet(f"{folder}/lengths")
+        return read(spark, folder, self.weights, self.tokens)
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder holds a whole index: lengths are written last."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/lengths/_SUCCESS")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def read(spark: SparkSession, folder: str, weights: Mapping[str, float], tokens: Callable[[str], list[str]]) -> Index:
+    """A written index; ``LookupError`` where none is built."""
+    if not exists(spark, folder):
+        raise LookupError(f"the search index is not built: {folder}")
+    return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths"), weights, tokens)
+
+
+def drop(spark: SparkSession, folder: str) -> None:
+    """Removes an index that no longer fits its texts; searches then say that it is not built."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/lengths/_SUCCESS"), False)
+    files.delete(at, True)
 
 
 def build(docs: DataFrame, doc: str, weights: Mapping[str, float], tokenise: Callable[[Column], Column], tokens: Callable[[str], list[str]]) -> Index:
     """Indexes the weighted fields of ``docs`` under the id column ``doc``."""
+    docs = spread(docs.select(doc, *weights))
     fields = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), tokenise(F.col(f)).alias("terms")) for f in weights)))
     listed = docs.select(F.col(doc).alias("doc"), fields.alias("f"))
     postings = listed.select("doc", "f.field", F.posexplode("f.terms").alias("pos", "term"))
@@ -49,12 +101,16 @@ def build(docs: DataFrame, doc: str, weights: Mapping[str, float], tokenise: Cal
     return Index(postings, lengths, weights, tokens)
 
 
-def plain_index(docs: DataFrame, doc: str, weights: Mapping[str, float], pattern: str = PROSE) -> Index:
-    """An index by built-in functions alone: lower case, no stems."""
+def plain_tokeniser(pattern: str = PROSE) -> Callable[[str], list[str]]:
     import regex
 
     words = regex.compile(pattern)
-    return build(docs, doc, weights, lambda c: plain_tokens(c, pattern), lambda text: words.findall(text.lower()))
+    return lambda text: words.findall(text.lower())
+
+
+def plain_index(docs: DataFrame, doc: str, weights: Mapping[str, float], pattern: str = PROSE) -> Index:
+    """An index by built-in functions alone: lower case, no stems."""
+    return build(docs, doc, weights, lambda c: plain_tokens(c, pattern), plain_tokeniser(pattern))
 
 
 def section_index(sections: DataFrame, doc: str = "ord") -> Index:
@@ -68,10 +124,10 @@ def chunk_index(chunks: DataFrame, doc: str = "ord") -> Index:
 def _starts(index: Index, phrase: q.Phrase) -> DataFrame:
     """``doc, field, pos, stop`` of every occurrence of a phrase."""
     terms, found = index.tokens(phrase.text), None
-    rows = index.postings if phrase.field is None else index.postings.where(F.col("field") == phrase.field)
     for k, term in enumerate(terms):
-        here = F.startswith("term", F.lit(term)) if phrase.prefix and k == len(terms) - 1 else F.col("term") == term
-        hit = rows.where(here).select("doc", "field", (F.col("pos") - k).alias("pos"))
+        rows = index.holding([(term, phrase.prefix and k == len(terms) - 1)])
+        rows = rows if phrase.field is None else rows.where(F.col("field") == phrase.field)
+        hit = rows.select("doc", "field", (F.col("pos") - k).alias("pos"))
         found = hit if found is None else found.join(hit, ["doc", "field", "pos"], "left_semi")
     if phrase.anchored:
         found = found.where("pos = 0")
@@ -147,7 +203,7 @@ def matches(index: Index, query: str) -> DataFrame:
     if single:
         # All phrases of one token are found in one pass over the postings.
         fits = [F.when(_fits(index, leaf), F.lit(p)) for p, leaf in single]
-        once = index.postings.where(reduce(lambda a, b: a | b, (_fits(index, leaf) for _, leaf in single)))
+        once = index.holding([(*index.tokens(leaf.text), leaf.prefix) for _, leaf in single])
         rows.append(once.select("doc", "field", F.explode(F.array_compact(F.array(*fits))).alias("p")))
     found = reduce(DataFrame.unionByName, rows).groupBy("doc", "p").agg(F.sum(weight[F.col("field")]).alias("f"))
     counts = found.groupBy("p").agg(F.count("*").alias("n"))
@@ -167,11 +223,17 @@ def limits(limit: int | None, offset: int | None) -> tuple[int, int]:
     return size, max(0, offset or 0)
 
 
-def page(found: DataFrame, limit: int | None = None, offset: int | None = None, rank: Column | None = None) -> tuple[DataFrame, int]:
-    """The best matches of a page, and the number of all matches."""
+def page(found: DataFrame, limit: int | None = None, offset: int | None = None, rank: Column | None = None) -> DataFrame:
+    """The best matches of a page, each with the ``total_count`` of all matches. The count reads the same
+    shuffled rows as the page: the search runs once. ``total`` counts the matches of an empty page."""
     size, skip = limits(limit, offset)
     order = ([rank] if rank is not None else []) + [F.col("score"), F.col("doc")]
-    return found.orderBy(*order).offset(skip).limit(size), found.count()
+    return found.orderBy(*order).offset(skip).limit(size).crossJoin(F.broadcast(total(found)))
+
+
+def total(found: DataFrame) -> DataFrame:
+    """``total_count``: one row."""
+    return found.agg(F.count("score").alias("total_count"))
 
 
 def of_family(spec_id: Column, ids: list[str]) -> Column:
@@ -187,8 +249,8 @@ def name_rank(name: Column, query: str, fields: Mapping[str, float] = CHUNK_WEIG
     return F.when(F.lower(name) == term.lower(), 0).when(F.instr(F.lower(name), term.lower()) > 0, 1).otherwise(2)
 
 
-def search_sections(sections: DataFrame, index: Index, query: str, spec_ids: list[str] | None = None, limit: int | None = None, offset: int | None = None) -> tuple[DataFrame, int]:
-    """Sections that match, best first, with their scores, and the number of all of them.
+def search_sections(sections: DataFrame, index: Index, query: str, spec_ids: list[str] | None = None, limit: int | None = None, offset: int | None = None) -> DataFrame:
+    """Sections that match, best first, with their scores and the number of all of them.
 
     A choice of documents does not change any score.
     """
@@ -197,7 +259,7 @@ def search_sections(sections: DataFrame, index: Index, query: str, spec_ids: lis
     return page(found, limit, offset)
 
 
-def search_chunks(chunks: DataFrame, index: Index, query: str, spec_ids: list[str] | None = None, api_name: str | None = None, kind: str | None = None, limit: int | None = None, offset: int | None = None) -> tuple[DataFrame, int]:
+def search_chunks(chunks: DataFrame, index: Index, query: str, spec_ids: list[str] | None = None, api_name: str | None = None, kind: str | None = None, limit: int | None = None, offset: int | None = None) -> DataFrame:
     """API chunks that match: those named like the query first, then by score."""
     if kind not in (None, "", "schema", "operation"):
         raise ValueError(f"unknown kind {kind!r}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from . import corpus as c
 from .functions import figures, markup, scalar
 from .operators import blocks, catalog, defs, diff, fts, hierarchy, maintain, openapi, references
+from .session import shared_folder
 from .sources import archive, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,9 +58,30 @@ def _term(word: str) -> str:
     return f"SELECT doc, field FROM p WHERE term = '{word}'"
 
 
+#: Folders of the indexes that a session has written, by their texts.
+_INDEXED: dict[tuple, str] = {}
+
+
+def _text_index(spark: SparkSession, sf_dir: str) -> fts.Index:
+    """The index of a folder's documents: the first search writes it, others read it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXED:
+        folder = f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+        fts.plain_index(c.texts(spark, sf_dir), "doc_id", WEIGHTS).write(folder)
+        _INDEXED[key] = folder
+    return fts.read(spark, _INDEXED[key], WEIGHTS, fts.plain_tokeniser())
+
+
 def _scores(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    index = fts.plain_index(c.texts(spark, sf_dir), "doc_id", WEIGHTS)
-    return fts.matches(index, text).select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+    return fts.matches(_text_index(spark, sf_dir), text).select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_POSTINGS}, s AS (SELECT term, count(*) AS n, count(DISTINCT doc) AS docs FROM p GROUP BY term) SELECT term, n, docs FROM s")
+def index_terms(spark, sf_dir):
+    """Every term of a newly written index, as it is read back."""
+    folder = f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    index = fts.plain_index(c.texts(spark, sf_dir), "doc_id", WEIGHTS).write(folder)
+    return index.postings.groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("doc").alias("docs"))
 
 
 @query(_search_sql([_term("license")], "h0"))
@@ -127,15 +150,14 @@ def search_near(spark, sf_dir):
 @query(_search_sql([_term("license")], "h0", "ORDER BY score, doc LIMIT 10 OFFSET 5", "doc AS doc_id, score, (SELECT count(*) FROM hit) AS total_count"))
 def search_page(spark, sf_dir):
     found = _scores(spark, sf_dir, "license").withColumnRenamed("doc_id", "doc")
-    rows, total = fts.page(found, 10, 5)
-    return rows.select(F.col("doc").alias("doc_id"), "score", F.lit(total).cast("long").alias("total_count"))
+    return fts.page(found, 10, 5).select(F.col("doc").alias("doc_id"), "score", "total_count")
 
 
 @query(_search_sql([_term("license")], "h0", "JOIN documents ON doc = doc_id WHERE lang = 'en' ORDER BY score, doc LIMIT 10"))
 def search_filtered(spark, sf_dir):
     found = _scores(spark, sf_dir, "license").withColumnRenamed("doc_id", "doc")
     ours = c.table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id")
-    return fts.page(found.join(ours, F.col("doc") == F.col("doc_id")))[0].select("doc_id", "score")
+    return fts.page(found.join(ours, F.col("doc") == F.col("doc_id"))).select("doc_id", "score")
 
 
 @query(r"""WITH k AS (SELECT event_id AS doc, event_type AS name, props AS body FROM events),
@@ -146,18 +168,29 @@ SELECT doc, CASE WHEN lower(name) = 'view' THEN 0 WHEN contains(lower(name), 'vi
     round(-(CASE WHEN ln((total - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((total - n + 0.5) / (n + 0.5)) END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / average)), 6) AS score
 FROM tk, st WHERE f > 0 ORDER BY name_rank, score, doc LIMIT 50""")
 def search_chunks(spark, sf_dir):
-    events = c.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("name"), F.col("props").alias("body"))
-    index = fts.plain_index(events, "event_id", {"name": 5.0, "body": 1.0}, r"[\p{L}\p{N}]+")
-    found = fts.matches(index, "view").join(events, F.col("doc") == F.col("event_id")).withColumn("score", F.round("score", 6))
-    rank = fts.name_rank(F.col("name"), "view")
-    return fts.page(found.withColumn("name_rank", rank), 50, 0, F.col("name_rank"))[0].select("doc", "name_rank", "score")
+    events = c.table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.lit("TS 1").alias("spec_id"), F.lit("api").alias("api_name"), F.col("event_type").alias("name"), F.col("props").alias("body"), F.lit("schema").alias("kind"))
+    index = fts.plain_index(events, "ord", {"name": 5.0, "body": 1.0}, r"[\p{L}\p{N}]+")
+    rows = fts.search_chunks(events, index, "view", ["TS 1"], "API", "schema", 50)
+    return rows.select("doc", fts.name_rank(F.col("name"), "view").alias("name_rank"), F.round("score", 6).alias("score"))
+
+
+_FAMILY = "'TS ' || (doc_id % 9)::VARCHAR || CASE WHEN doc_id % 4 = 0 THEN '-' || (doc_id % 3)::VARCHAR ELSE '' END"
+
+
+@query(_search_sql([_term("license")], "h0", f"JOIN documents ON doc = doc_id WHERE {_FAMILY} IN ('TS 3', 'TS 5') OR starts_with({_FAMILY}, 'TS 3-') OR starts_with({_FAMILY}, 'TS 5-') ORDER BY score, doc LIMIT 200 OFFSET 1"))
+def search_family(spark, sf_dir):
+    k = F.col("doc_id")
+    spec = F.concat(F.lit("TS "), (k % 9).cast("string"), F.when(k % 4 == 0, F.concat(F.lit("-"), (k % 3).cast("string"))).otherwise(""))
+    sections = c.table(spark, sf_dir, "documents").select(k.alias("ord"), spec.alias("spec_id"))
+    rows = fts.search_sections(sections, _text_index(spark, sf_dir), "license", ["TS 3", "TS 5"], 500, 1)
+    return rows.select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query()
 def search_stemmed(spark, sf_dir):
     sections = c.texts(spark, sf_dir).select(F.col("doc_id").alias("ord"), F.lit("").alias("spec_id"), F.lit("").alias("number"), "title", "content")
     index = fts.section_index(sections)
-    rows, _ = fts.search_sections(sections, index, "licenses OR licensing", limit=20)
+    rows = fts.search_sections(sections, index, "licenses OR licensing", limit=20)
     return fts.with_snippets(rows, index, "licenses OR licensing", ["content", "title"]).select("ord", F.round("score", 6).alias("score"), "snippet")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import digit_value
+
 #: Fixed value: series, number with its part, document and version of an archive entry.
 ENTRY = r"\A(?:.*/)?(\d\d)_series/(\d\d\.\d+(?:-\d+)*(?:-[A-Z])?)/([^/]+)-([0-9a-zA-Z]{3,6})\.[zZ][iI][pP]\z"
 
@@ -15,7 +17,7 @@ def entry_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _digit(token: Column, at: int) -> Column:
-    return F.conv(F.substring(token, at, 1), 36, 10).cast("int")
+    return digit_value(F.substring(token, at, 1))
 
 
 def entries(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -23,13 +25,17 @@ def entries(lines: DataFrame, line: str = "line") -> DataFrame:
 
     Three-digit tokens are base 36; six digits are two decimal digits for each component.
     """
-    part = lambda k: F.regexp_extract(F.col(line), ENTRY, k)
-    rows = lines.select(part(1).alias("series"), part(2).alias("spec"), F.lower(part(4)).alias("token"), F.col(line).alias("path")).where("spec <> ''")
-    short, long_ = F.length("token") == 3, F.col("token").rlike(r"\A[0-9]{6}\z")
-    two = lambda k: F.substring("token", k, 2).cast("int")
-    release = F.when(short, _digit(F.col("token"), 1)).when(long_, two(1))
-    minor = F.when(short, _digit(F.col("token"), 2) * 36 + _digit(F.col("token"), 3)).when(long_, two(3) * 100 + two(5))
-    return rows.select("series", "spec", "token", release.alias("release"), minor.alias("minor"), "path").where("release is not null")
+    # A line is taken apart once: what a generator makes is not computed again by those who use it.
+    parts = F.split(F.regexp_replace(line, ENTRY, "$1\u0001$2\u0001$4"), "\u0001")
+    found = lines.select(F.col(line).alias("path"), F.explode(F.filter(F.array(parts), lambda p: F.size(p) == 3)).alias("p"))
+    token = F.lower(F.col("p")[2])
+    short, long_ = F.length(token) == 3, token.rlike(r"\A[0-9]{6}\z")
+    two = lambda k: F.substring(token, k, 2).cast("int")
+    release = F.when(short, _digit(token, 1)).when(long_, two(1))
+    minor = F.when(short, _digit(token, 2) * 36 + _digit(token, 3)).when(long_, two(3) * 100 + two(5))
+    number = F.struct(release.alias("release"), minor.alias("minor"))
+    rows = found.select(F.col("p")[0].alias("series"), F.col("p")[1].alias("spec"), token.alias("token"), F.explode(F.filter(F.array(number), lambda n: n["release"].isNotNull())).alias("n"), "path")
+    return rows.select("series", "spec", "token", "n.release", "n.minor", "path")
 
 
 def links(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -49,7 +55,7 @@ def outcome(names: Column) -> Column:
 def release_of_file(name: Column) -> Column:
     """The release that a document's file name ends with (``...-i60.docx``)."""
     token = F.regexp_extract(F.lower(name), r"-([0-9a-z])[0-9a-z]{2}\.docx?\z", 1)
-    return F.when(token != "", F.conv(token, 36, 10).cast("int"))
+    return F.when(token != "", digit_value(token))
 
 
 def api_file(name: Column) -> Column:
