@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import ann, chat, lm, media, minhash, mixing, quality, urls, warc
 from .bpe import Tokenizer
 from .tables import table
@@ -17,6 +18,10 @@ URL_RULES = (urls.Rule("block", "net", "/"), urls.Rule("allow", "example.net", "
 QUALITY_THRESHOLD = 0.3
 
 
+def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     sides = chat.perspectives(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("mask", lambda x: F.concat_ws("-", x["begin"].cast("string"), x["end"].cast("string"))), ",")
@@ -25,11 +30,11 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = Tokenizer(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    return tokenizer.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return tokenizer.digests(_documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), ~lm.held_out(F.col("doc_id")))
+    return lm.score(_documents(spark, sf_dir, "doc_id", "text"), ~lm.held_out(F.col("doc_id")))
 
 
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,11 +42,11 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mixing.plan(_documents(spark, sf_dir, "doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     scored = quality.score(docs, model)
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
@@ -53,7 +58,7 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=80)
+    return minhash.near_duplicates(_documents(spark, sf_dir, "doc_id", "text"), words=4, percent=80)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +67,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = media.store(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    stored = media.store(_documents(spark, sf_dir, "doc_id", "text"))
     caption = F.concat(F.col("n_bytes").cast("string"), F.lit(" bytes"))
     html = F.concat(F.lit("<article><p>Document as samples.</p><figure><img alt='samples' src='"), F.lit(media.SCHEME), F.col("digest"), F.lit("'><figcaption>"), caption, F.lit("</figcaption></figure></article>"))
     pages = media.parse(stored.select("doc_id", "n_bytes", html.alias("html")))

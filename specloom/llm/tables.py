@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -14,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_folder
+
 #: Rows and bytes of text that a worker handles at once.
 SLICE_ROWS, SLICE_BYTES = 1000, 2 << 20
 #: Row groups of intermediate tables.
@@ -24,20 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``. Where it is unset, one of this machine if all runs
-    in one process, as in tests; ``ValueError`` on a cluster, whose executors would not see it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="specloom-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
