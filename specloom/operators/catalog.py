@@ -105,6 +105,12 @@ def family(specs: DataFrame, spec_id: str) -> DataFrame:
     return specs.where(F.startswith("id", F.lit(spec_id + "-"))).select("id").distinct().orderBy("id")
 
 
+def with_specs(sections: DataFrame, specs: DataFrame) -> DataFrame:
+    """Sections with the title and release of their document's version; null where the catalogue lacks it."""
+    known = specs.select(F.col("id").alias("spec_id"), "version", F.col("title").alias("spec_title"), F.col("release").alias("spec_release"))
+    return sections.join(known, ["spec_id", "version"], "left")
+
+
 def image_list(images: DataFrame, spec_id: str, version: str) -> DataFrame:
     """A document's pictures without their data."""
     rows = images.where((F.col("spec_id") == spec_id) & (F.col("version") == version))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import alternate_id
+from .references import edges
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -40,8 +43,11 @@ def superseded(specs: DataFrame, incoming: DataFrame) -> DataFrame:
 def insert_documents(tables: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """``specs``, ``sections``, ``images`` and ``edges`` with new documents in place of what they supersede.
 
-    ``new["edges"]`` are the citations of the new sections; old ones of replaced sections go.
+    Citations of replaced sections go; those of the new ones are ``new["edges"]``, or are read from
+    ``new["sections"]``.
     """
+    if "edges" in tables and "edges" not in new and "sections" in new:
+        new = new | {"edges": edges(new["sections"])}
     old = superseded(tables["specs"], new["specs"]).select(F.col("id").alias("_i"), F.col("version").alias("_v"))
     gone = old.unionByName(new["specs"].select(F.col("id").alias("_i"), F.col("version").alias("_v"))).distinct()
     ids = {"specs": ("id", "version"), "edges": ("source_spec_id", "source_version")}
@@ -94,19 +100,116 @@ def sizes(sections: DataFrame, images: DataFrame | None = None) -> DataFrame:
     return own.groupBy("spec_id", "version").agg(F.sum("b").alias("bytes"))
 
 
-def swap(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """Replaces a table's folder: written aside first, then renamed, so that readers see old or new."""
-    staged, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    rows.write.parquet(staged)
-    jvm = spark.sparkContext._jvm
-    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    files = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    had = files.exists(at(path))
-    if had and not files.rename(at(path), at(old)):
-        raise OSError(f"{path} can't be moved")
-    if not files.rename(at(staged), at(path)):
-        if had:
-            files.rename(at(old), at(path))
-        raise OSError(f"{staged} can't be moved")
-    if had:
-        files.delete(at(old), True)
+class _Place:
+    """A published table's folder: row folders under fresh names, and a pointer file that names those that
+    count. The pointer is replaced by one rename, so readers see the old rows or the new ones, and what a
+    crash left behind is never read."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.jvm = spark, path.rstrip("/"), spark.sparkContext._jvm
+        self.settings = spark.sparkContext._jsc.hadoopConfiguration()
+        self.files = self._at(self.path).getFileSystem(self.settings)
+
+    def _at(self, path: str):
+        return self.jvm.org.apache.hadoop.fs.Path(path)
+
+    def pointer(self) -> dict | None:
+        at = self._at(f"{self.path}/current")
+        if not self.files.exists(at):
+            return None
+        stream = self.files.open(at)
+        try:
+            return json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def switch(self, pointer: dict) -> None:
+        """The new pointer takes the old one's place; folders that only the one before the old named go."""
+        before = self.pointer() or {"folders": {}, "gone": []}
+        pointer["gone"] = sorted(set(before["folders"].values()) - set(pointer["folders"].values()))
+        fresh = self._at(f"{self.path}/next-{uuid.uuid4().hex}")
+        stream = self.files.create(fresh)
+        stream.write(bytearray(json.dumps(pointer).encode()))
+        stream.close()
+        # The pointer is replaced in one step.
+        rename = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at(self.path).toUri(), self.settings).rename(fresh, self._at(f"{self.path}/current"), how)
+        for folder in before["gone"]:
+            self.files.delete(self._at(f"{self.path}/{folder}"), True)
+
+    def write(self, rows: DataFrame, keys: Sequence[str], buckets: int) -> dict[str, str]:
+        """Folders of the buckets that have rows."""
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int") if keys else F.lit(0)
+        version = f"rows-{uuid.uuid4().hex}"
+        rows.withColumn("_bucket", bucket).write.partitionBy("_bucket").parquet(f"{self.path}/{version}")
+        found = self.files.listStatus(self._at(f"{self.path}/{version}"))
+        names = [x.getPath().getName() for x in found if x.isDirectory()]
+        return {n.removeprefix("_bucket="): f"{version}/{n}" for n in names if n.startswith("_bucket=")}
+
+    def read(self, folders: Iterable[str], schema: str) -> DataFrame:
+        paths, kind = [f"{self.path}/{f}" for f in folders], T.StructType.fromJson(json.loads(schema))
+        return self.spark.read.schema(kind).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
+
+
+def publish(rows: DataFrame, path: str, keys: Sequence[str] = (), buckets: int = 64) -> None:
+    """Replaces a whole table. With ``keys`` its rows are laid out in buckets for ``publish_changes``."""
+    place = _Place(rows.sparkSession, path)
+    place.switch({"schema": rows.schema.json(), "keys": list(keys), "buckets": buckets, "folders": place.write(rows, keys, buckets)})
+
+
+def publish_changes(rows: DataFrame, path: str, keys: Sequence[str], buckets: int = 64) -> None:
+    """Rows in place of those of equal keys in a published table, made if it isn't there. Only the buckets
+    that the keys fall into are written again."""
+    place = _Place(rows.sparkSession, path)
+    old = place.pointer()
+    if old is None:
+        publish(rows, path, keys, buckets)
+        return
+    if list(keys) != old["keys"]:
+        raise ValueError(f"{path} is laid out by {old['keys']}")
+    touched = [str(r.b) for r in rows.select(F.pmod(F.xxhash64(*keys), F.lit(old["buckets"])).alias("b")).distinct().collect()]  # at most as many as buckets
+    there = place.read([old["folders"][b] for b in touched if b in old["folders"]], old["schema"])
+    fresh = place.write(upsert(there, rows, keys), keys, old["buckets"])
+    place.switch(old | {"folders": {b: f for b, f in old["folders"].items() if b not in touched} | fresh})
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a published table or index; ``LookupError`` where none is built."""
+    place = _Place(spark, path)
+    pointer = place.pointer()
+    if pointer is None:
+        raise LookupError(f"not built: {path}")
+    return place.read(pointer["folders"].values(), pointer["schema"])
+
+
+def drop(spark: SparkSession, path: str) -> bool:
+    """Removes a published table or index, and says whether there was one; the pointer goes first."""
+    place = _Place(spark, path)
+    had = place.pointer() is not None
+    place.files.delete(place._at(f"{place.path}/current"), False)
+    place.files.delete(place._at(place.path), True)
+    return had
+
+
+def refresh(spark: SparkSession, path: str, rows: Callable[[], DataFrame], rebuild: bool) -> None:
+    """After its texts changed, an index is built again or dropped; one that was never built stays so."""
+    if _Place(spark, path).pointer() is not None:
+        if rebuild:
+            publish(rows(), path)
+        else:
+            drop(spark, path)
+
+
+def limit_generation(spark: SparkSession, path: str, generation: int) -> bool:
+    """Drops a cache that an older (or newer) layout of the library wrote; says whether it did."""
+    place = _Place(spark, f"{path}/generation")
+    kept = place.pointer()
+    if kept is not None and kept.get("generation") == generation:
+        return False
+    files = place.files
+    if files.exists(place._at(path)):
+        files.delete(place._at(path), True)
+    place.switch({"generation": generation, "folders": {}})
+    return kept is not None

@@ -22,21 +22,35 @@ def reference_lists(sections: DataFrame) -> DataFrame:
     return sections.where(named).groupBy("spec_id", "version").agg(F.min_by("content", "ord").alias("list"))
 
 
+def bracket_maps(sections: DataFrame) -> DataFrame:
+    """``spec_id, version, brackets``: what a document's bracketed numbers stand for, read once a document."""
+
+    @F.arrow_udf("map<string,string>")
+    def read(texts: pa.Array) -> pa.Array:
+        return pa.array([list(bracket_map(x or "").items()) for x in texts.to_pylist()], pa.map_(pa.string(), pa.string()))
+
+    return reference_lists(sections).select("spec_id", "version", read("list").alias("brackets"))
+
+
 def edges(sections: DataFrame) -> DataFrame:
     """The citations of all sections, once for each target of a section."""
-    rows = sections.select("spec_id", "version", "number", "content").join(reference_lists(sections), ["spec_id", "version"], "left")
+    spark = sections.sparkSession
+    rows = sections.select("spec_id", "version", "number", "content").join(bracket_maps(sections), ["spec_id", "version"], "left")
     names = [x.split()[0] for x in EDGES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for spec, version, number, text, listed in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                for c in citations(text or "", bracket_map(listed or ""), spec):
-                    out.append((spec, version, number, c.spec, c.section, context(text, c.start, c.end)))
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names)
+            for at in range(0, batch.num_rows, 1000):
+                out, piece = [], batch.slice(at, 1000)
+                for spec, version, number, text, brackets in zip(*(piece.column(k).to_pylist() for k in range(5)), strict=True):
+                    for c in citations(text or "", dict(brackets or ()), spec):
+                        out.append((spec, version, number, c.spec, c.section, context(text, c.start, c.end)))
+                columns = list(zip(*out, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names)
 
-    return rows.select("spec_id", "version", "number", "content", "list").mapInArrow(run, EDGES)
+    # Reading texts takes longer than moving them: all cores get their share.
+    dealt = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.select("spec_id", "version", "number", "content", "brackets").repartition(dealt).mapInArrow(run, EDGES)
 
 
 def titles(sections: DataFrame) -> DataFrame:
@@ -103,7 +117,7 @@ def linkified(sections: DataFrame, found: DataFrame | None = None) -> DataFrame:
     named = sections.select(*key, F.explode(F.array_distinct(words)).alias("clause"))
     there = sections.select("spec_id", "version", F.col("number").alias("clause")).distinct()
     own = named.join(there, ["spec_id", "version", "clause"]).groupBy(*key).agg(F.collect_set("clause").alias("own"))
-    rows = sections.join(missing, key, "left").join(own, key, "left").join(reference_lists(sections), ["spec_id", "version"], "left")
+    rows = sections.join(missing, key, "left").join(own, key, "left").join(bracket_maps(sections), ["spec_id", "version"], "left")
 
     @F.arrow_udf("string")
     def link(batch: pa.Array) -> pa.Array:
@@ -112,7 +126,7 @@ def linkified(sections: DataFrame, found: DataFrame | None = None) -> DataFrame:
             gone, mine, spec = set(row["missing"] or ()), set(row["own"] or ()), row["spec_id"]
             exists = lambda s, n, gone=gone, mine=mine, spec=spec: n in mine if s == spec else f"{s}#{n}" not in gone
             url = lambda s, n: f"https://www.rfc-editor.org/rfc/rfc{s[4:]}" + (f"#section-{n}" if n else "") if s.startswith("RFC ") else f"/specs/{s.replace(' ', '%20')}" + (f"/sections/{n}" if n else "")
-            out.append(linkify(row["content"] or "", url, exists, spec, bracket_map(row["list"] or "")))
+            out.append(linkify(row["content"] or "", url, exists, spec, dict(row["brackets"] or ())))
         return pa.array(out, pa.string())
 
-    return rows.withColumn("linked", link(F.struct("content", "spec_id", "missing", "own", "list"))).drop("missing", "own", "list")
+    return rows.withColumn("linked", link(F.struct("content", "spec_id", "missing", "own", "brackets"))).drop("missing", "own", "brackets")

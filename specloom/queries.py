@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -299,10 +300,10 @@ def section_subtree(spark, sf_dir):
     return hierarchy.subtree(c.clauses(spark, sf_dir), "8").select("number", "title", "content")
 
 
-@query(f"WITH {c.CLAUSES_SQL} SELECT split_part(number, '.', 1) AS top, string_agg(title || ' ' || content, chr(10) || chr(10) ORDER BY ord) AS text FROM clauses WHERE level < 3 GROUP BY 1")
+@query(f"WITH {c.CLAUSES_SQL} SELECT split_part(number, '.', 1) AS top, md5(string_agg(title || ' ' || content, chr(10) || chr(10) ORDER BY ord)) AS digest FROM clauses GROUP BY 1")
 def joined_sections(spark, sf_dir):
-    rows = c.clauses(spark, sf_dir).where("level < 3").withColumn("top", F.substring_index("number", ".", 1))
-    return hierarchy.joined_text(rows.withColumn("content", F.concat_ws(" ", "title", "content")), ["top"])
+    rows = c.clauses(spark, sf_dir).withColumn("top", F.substring_index("number", ".", 1))
+    return hierarchy.joined_text(rows.withColumn("content", F.concat_ws(" ", "title", "content")), ["top"]).select("top", F.md5("text").alias("digest"))
 
 
 @query("""SELECT conv_id::VARCHAR AS spec_id, turn AS ord, lag(turn::VARCHAR) OVER w AS previous, lead(turn::VARCHAR) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
@@ -315,13 +316,16 @@ def parent_sections(spark, sf_dir):
     return hierarchy.parents(c.turns(spark, sf_dir), ["spec_id"], deepest=5).select("spec_id", "ord", "parent_ord")
 
 
-@query("SELECT conv_id::VARCHAR AS spec_id, string_agg(CASE WHEN text = '' THEN '' ELSE text END, chr(10) || chr(10) ORDER BY turn) AS whole FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id::VARCHAR AS spec_id, string_agg(CASE WHEN text = '' THEN '' ELSE text END, chr(10) || chr(10) ORDER BY turn) AS whole, TRUE AS fits, TRUE AS tight FROM conversations GROUP BY conv_id")
 def paged_text(spark, sf_dir):
-    """Pages put together again are the whole text."""
+    """Pages put together again are the whole text; each keeps the limits (with a fifth more lines up to a blank one), and has no room for the next one's first line."""
     whole = hierarchy.joined_text(c.turns(spark, sf_dir), ["spec_id"])
     pages = hierarchy.pages(whole, ["spec_id"], max_lines=10, max_chars=2000)
+    first = F.split_part(F.lead("text").over(Window.partitionBy("spec_id").orderBy("page")), F.lit("\n"), F.lit(1))
+    pages = pages.withColumn("fits", (F.col("lines") <= 12) & ((F.length("text") < 2000) | (F.col("lines") == 1)))
+    pages = pages.withColumn("tight", first.isNull() | (F.col("lines") >= 10) | (F.length("text") + F.length(first) + 2 > 2000))
     ordered = F.array_sort(F.collect_list(F.struct("page", "text")))
-    return pages.groupBy("spec_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("whole"))
+    return pages.groupBy("spec_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("whole"), F.bool_and("fits").alias("fits"), F.bool_and("tight").alias("tight"))
 
 
 @query(f"WITH {c.CLAUSES_SQL} SELECT spec_id, md5(string_agg(repeat('#', level) || ' ' || number || ' ' || title || CASE WHEN content <> '' THEN chr(10) || chr(10) || content ELSE '' END, chr(10) || chr(10) ORDER BY ord)) AS digest FROM clauses GROUP BY spec_id")
@@ -354,6 +358,43 @@ def textual_diff(spark, sf_dir):
     return diff.textual(pairs.select("doc_id", "next_id", "text", "next_text"), "text", "next_text").drop("text", "next_text")
 
 
+# Pictures ------------------------------------------------------------------------------------------
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of a document for each size: every third as converted, every fifth as its source too."""
+    p, k = c.table(spark, sf_dir, "part"), F.col("p_partkey")
+    base = F.concat(F.lit("image"), k.cast("string"))
+    row = lambda name, kind, readable: F.struct(F.concat(base, F.lit(name)).alias("name"), F.lit(kind).alias("mime_type"), F.lit(readable).alias("llm_readable"))
+    each = F.array_compact(F.array(F.when(k % 3 == 0, row(".png", "image/png", True)), F.when((k % 3 != 0) | (k % 5 == 0), row(".emf", "image/x-emf", False))))
+    return p.select(F.concat(F.lit("TS "), F.col("p_size").cast("string")).alias("spec_id"), F.lit("1").alias("version"), F.col("p_name").cast("binary").alias("data"), F.explode(each).alias("i")).select("spec_id", "version", "data", "i.*")
+
+
+_IMAGES = """i AS (SELECT p_partkey AS k, p_size, 'image' || p_partkey::VARCHAR || '.png' AS name, 'image/png' AS mime_type, TRUE AS llm_readable FROM part WHERE p_partkey % 3 = 0
+    UNION ALL SELECT p_partkey, p_size, 'image' || p_partkey::VARCHAR || '.emf', 'image/x-emf', FALSE FROM part WHERE p_partkey % 3 <> 0 OR p_partkey % 5 = 0)"""
+
+
+@query(f"WITH {_IMAGES} SELECT name, mime_type, llm_readable FROM i WHERE p_size = 7 ORDER BY name")
+def image_list(spark, sf_dir):
+    return catalog.image_list(_images(spark, sf_dir), "TS 7", "1")
+
+
+@query(f"""WITH {_IMAGES}, a(asked, k) AS (VALUES ('image15.emf', 15), ('image15.wmf', 15), ('image16.png', 16), ('image18', 18), ('image1', -1))
+SELECT asked, name, llm_readable FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY (name = asked) DESC, llm_readable DESC, name) AS r FROM a JOIN i USING (k)) WHERE r = 1""")
+def image_named(spark, sf_dir):
+    """By the very name, else by the name without its ending, readable ones first."""
+    images = _images(spark, sf_dir).withColumn("spec_id", F.lit("all"))
+    asked = ("image15.emf", "image15.wmf", "image16.png", "image18", "image")
+    each = [catalog.image(images, "all", "1", name).select(F.lit(name).alias("asked"), "name", "llm_readable") for name in asked]
+    return functools.reduce(DataFrame.unionByName, each)
+
+
+@query(f"""WITH {c.CLAUSES_SQL} SELECT ord, CASE WHEN spec_id <> '2' THEN 'Region ' || spec_id END AS spec_title, CASE WHEN spec_id <> '2' THEN '18' END AS spec_release FROM clauses""")
+def sections_with_specs(spark, sf_dir):
+    specs = c.table(spark, sf_dir, "region").where("r_regionkey <> 2").select(F.col("r_regionkey").cast("string").alias("id"), F.lit("1").alias("version"), F.concat(F.lit("Region "), F.col("r_regionkey").cast("string")).alias("title"), F.lit("18").alias("release"))
+    return catalog.with_specs(c.clauses(spark, sf_dir).withColumn("version", F.lit("1")), specs).select("ord", "spec_title", "spec_release")
+
+
 # References ----------------------------------------------------------------------------------------
 
 _LINKS = """links AS (SELECT page_id AS source, unnest(h) AS target, unnest(range(len(h))) AS place
@@ -389,12 +430,23 @@ def references_with_titles(spark, sf_dir):
     return found.select("source_spec_id", "target_spec", "target_section", "target_title")
 
 
-@query(f"WITH {_EDGES} SELECT source_spec_id, target_section FROM e WHERE target_spec = '3' AND (target_section = '6' OR starts_with(target_section, '6.')) ORDER BY source_spec_id, target_spec, target_section LIMIT 500")
+@query(f"WITH {_EDGES} SELECT source_spec_id, target_section FROM e WHERE target_spec = '1' AND (target_section = '6' OR starts_with(target_section, '6.')) ORDER BY source_spec_id, target_spec, target_section LIMIT 500")
 def references_incoming(spark, sf_dir):
-    found = references.incoming(_order_edges(spark, sf_dir), "3", "6", subsections=True)
+    found = references.incoming(_order_edges(spark, sf_dir), "1", "6", subsections=True)
     return references.reference_page(found).select("source_spec_id", "target_section")
 
 
+@query(f"""WITH {_EDGES}, s AS (SELECT source_spec_id::BIGINT % 50 AS k, '4' || CASE source_spec_id::BIGINT % 3 WHEN 0 THEN '' WHEN 1 THEN '.A' ELSE '1' END AS source_section, target_spec, target_section FROM e)
+SELECT source_section, target_spec, target_section FROM s WHERE k = 7 AND source_section IN ('4', '4.A') ORDER BY source_section, target_spec, target_section LIMIT 500 OFFSET 3""")
+def references_outgoing(spark, sf_dir):
+    """Out of a section and its subsections; section 41 is none of them."""
+    k = F.col("source_spec_id").cast("long")
+    section = F.concat(F.lit("4"), F.when(k % 3 == 0, "").when(k % 3 == 1, ".A").otherwise("1"))
+    found = _order_edges(spark, sf_dir).withColumns({"source_section": section, "source_spec_id": F.concat(F.lit("C"), (k % 50).cast("string"))})
+    rows = references.outgoing(found, "C7", "4", version="1", subsections=True)
+    return references.reference_page(rows, 3).select("source_section", "target_spec", "target_section")
+
+
 @query(f"WITH {c.CLAUSES_SQL}, {_EDGES} SELECT source_spec_id, target_spec, target_section FROM e WHERE NOT EXISTS (SELECT 1 FROM clauses WHERE spec_id = target_spec AND number = target_section)")
 def references_dangling(spark, sf_dir):
     return references.dangling(_order_edges(spark, sf_dir), c.clauses(spark, sf_dir)).select("source_spec_id", "target_spec", "target_section")
@@ -421,10 +473,10 @@ def _citing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("spec_id", "version", "ord", F.lit("1").alias("number"), F.lit("t").alias("title"), "content").unionByName(listed)
 
 
-@query(f"""WITH {_CITING} SELECT doc_id::VARCHAR AS spec_id, 'See clauses [' || n || '](/specs/' || replace(t, ' ', '%20') || '/sections/' || n || ') and [' || n || '.1](/specs/' || replace(t, ' ', '%20') || '/sections/' || n || '.1) of [3GPP' || chr(10) || t || '](/specs/' || replace(t, ' ', '%20') || ')' || '. Also [RFC 3261, section 4](https://www.rfc-editor.org/rfc/rfc3261#section-4); and [[7], Annex H](/specs/TR%2033.203/sections/H) there.' AS tail FROM s""")
+@query(f"""WITH {_CITING} SELECT doc_id::VARCHAR AS spec_id, md5(text || chr(10) || chr(10) || 'See clauses [' || n || '](/specs/' || replace(t, ' ', '%20') || '/sections/' || n || ') and [' || n || '.1](/specs/' || replace(t, ' ', '%20') || '/sections/' || n || '.1) of [3GPP' || chr(10) || t || '](/specs/' || replace(t, ' ', '%20') || ')' || '. Also [RFC 3261, section 4](https://www.rfc-editor.org/rfc/rfc3261#section-4); and [[7], Annex H](/specs/TR%2033.203/sections/H) there.') AS digest FROM s JOIN documents USING (doc_id)""")
 def linked_references(spark, sf_dir):
     linked = references.linkified(_citing(spark, sf_dir)).where("number = '1'")
-    return linked.select("spec_id", F.substr("linked", F.instr("linked", "See clauses [")).alias("tail"))
+    return linked.select("spec_id", F.md5("linked").alias("digest"))
 
 
 # Definitions ---------------------------------------------------------------------------------------
@@ -551,12 +603,50 @@ def superseded_versions(spark, sf_dir):
     return maintain.superseded(old, catalog.newest(rows, ["spec_id"]).withColumnRenamed("spec_id", "id"))
 
 
-@query(f"WITH {c.CLAUSES_SQL} SELECT 'sections' AS name, count(*) AS n FROM clauses WHERE spec_id <> '3' UNION ALL SELECT 'specs', 4")
-def deleted_document(spark, sf_dir):
+def _documents(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Regions as documents with their sections, and citations between neighbouring nations' sections."""
     sections = c.clauses(spark, sf_dir).withColumn("version", F.lit("1"))
     specs = sections.select(F.col("spec_id").alias("id"), "version").distinct()
-    left = maintain.delete_document({"specs": specs, "sections": sections}, "3", "1")
-    return left["sections"].agg(F.count("*").alias("n")).select(F.lit("sections").alias("name"), "n").unionByName(left["specs"].agg(F.count("*").alias("n")).select(F.lit("specs").alias("name"), "n"))
+    cited = sections.where("level = 2").select(F.col("spec_id").alias("source_spec_id"), F.col("version").alias("source_version"), F.col("number").alias("source_section"), ((F.col("spec_id").cast("int") + F.length("title") + 1) % 5).cast("string").alias("target_spec"), F.lit("1").alias("target_section"), F.lit("").alias("context"))
+    return {"specs": specs, "sections": sections, "edges": cited}
+
+
+_DELETED = "SELECT spec_id AS a, number AS b, 'sections' AS name FROM clauses WHERE spec_id <> '3' UNION ALL SELECT DISTINCT spec_id, '', 'specs' FROM clauses WHERE spec_id <> '3'"
+
+
+@query(f"WITH {c.CLAUSES_SQL} {_DELETED} UNION ALL SELECT spec_id, ((spec_id::INT + length(title) + 1) % 5)::VARCHAR, 'edges' FROM clauses WHERE level = 2 AND spec_id <> '3'")
+def deleted_document(spark, sf_dir):
+    left = maintain.delete_document(_documents(spark, sf_dir), "3", "1")
+    rows = left["sections"].select(F.col("spec_id").alias("a"), F.col("number").alias("b"), F.lit("sections").alias("name"))
+    rows = rows.unionByName(left["specs"].select(F.col("id").alias("a"), F.lit("").alias("b"), F.lit("specs").alias("name")))
+    return rows.unionByName(left["edges"].select(F.col("source_spec_id").alias("a"), F.col("target_spec").alias("b"), F.lit("edges").alias("name")))
+
+
+@query(f"""WITH {c.CLAUSES_SQL}, new AS (SELECT n_nationkey::VARCHAR AS number, n_name FROM nation)
+{_DELETED} UNION ALL SELECT spec_id, ((spec_id::INT + length(title) + 1) % 5)::VARCHAR, 'edges' FROM clauses WHERE level = 2 AND spec_id <> '3'
+UNION ALL SELECT '3', number, 'sections' FROM new UNION ALL SELECT '3', '', 'specs' UNION ALL SELECT '3', 'TS 23.' || (number::INT + 100)::VARCHAR, 'edges' FROM new, (VALUES ('5.1'), ('')) t(section) UNION ALL SELECT '3', 'RFC 3261', 'edges' FROM new""")
+def inserted_document(spark, sf_dir):
+    """A new version of a document in place of the old; its citations are read from its sections."""
+    tables, n = _documents(spark, sf_dir), F.col("n_nationkey")
+    text = F.concat(F.lit("As clause 5.1 of TS 23."), (n + 100).cast("string"), F.lit(" says; see RFC 3261, section 4."))
+    sections = c.table(spark, sf_dir, "nation").select(F.lit("3").alias("spec_id"), n.cast("long").alias("ord"), n.cast("string").alias("number"), F.col("n_name").alias("title"), F.lit(1).alias("level"), text.alias("content"), F.lit("2").alias("version"))
+    new = {"specs": spark.createDataFrame([("3", "2")], "id string, version string"), "sections": sections.select(tables["sections"].columns)}
+    left = maintain.insert_documents(tables, new)
+    rows = left["sections"].select(F.col("spec_id").alias("a"), F.col("number").alias("b"), F.lit("sections").alias("name"))
+    rows = rows.unionByName(left["specs"].select(F.col("id").alias("a"), F.lit("").alias("b"), F.lit("specs").alias("name")))
+    return rows.unionByName(left["edges"].select(F.col("source_spec_id").alias("a"), F.col("target_spec").alias("b"), F.lit("edges").alias("name")))
+
+
+@query("""SELECT c_custkey AS key, CASE WHEN c_custkey % 7 = 0 THEN 'third' WHEN c_custkey % 3 = 0 THEN 'second' ELSE c_mktsegment END AS value FROM customer
+UNION ALL SELECT -c_custkey, 'second' FROM customer WHERE c_custkey % 100 = 50""")
+def published_changes(spark, sf_dir):
+    """A table published, changed twice by buckets, and read by its pointer."""
+    path, key, rows = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}", F.col("c_custkey"), c.table(spark, sf_dir, "customer")
+    maintain.publish(rows.select(key.alias("key"), F.col("c_mktsegment").alias("value")), path, ["key"], 8)
+    second = rows.where(key % 3 == 0).select(key.alias("key")).unionByName(rows.where(key % 100 == 50).select((-key).alias("key")))
+    maintain.publish_changes(second.withColumn("value", F.lit("second")), path, ["key"])
+    maintain.publish_changes(rows.where(key % 7 == 0).select(key.alias("key"), F.lit("third").alias("value")), path, ["key"])
+    return maintain.current(spark, path)
 
 
 def _cache(spark: SparkSession, sf_dir: str) -> DataFrame:

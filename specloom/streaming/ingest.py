@@ -8,24 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..operators.maintain import swap, upsert
+from ..operators.maintain import publish_changes
 
 
 def upsert_into(path: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that replaces rows of equal keys in a table's folder.
+    """A ``foreachBatch`` function that replaces rows of equal keys in a published table.
 
-    Of several rows for a key in one batch the one with the greatest values counts. A batch that is
-    given again, after a failure, leaves the same table.
+    Of several rows for a key in one batch the one with the greatest values counts. Only buckets with
+    changed keys are written again. A batch that is given again, after a failure, leaves the same table.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         others = [c for c in batch.columns if c not in keys]
         rows = batch.groupBy(*keys).agg(F.max(F.struct(*others)).alias("_r")).select(*keys, "_r.*").select(batch.columns)
-        files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(files):
-            rows = upsert(spark.read.parquet(path), rows, keys)
-        swap(spark, rows, path)
+        publish_changes(rows, path, keys)
 
     return apply
 

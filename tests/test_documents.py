@@ -176,7 +176,7 @@ def test_insert_supersedes(spark):
     assert {tuple(r) for r in out["sections"].collect()} == {("TS 1.1", "2.0.0", "1"), ("TS 3.3", "1.0.0", "1")}
 
 
-def test_swap_and_stream(spark, tmp_path):
+def test_published_tables_and_streams(spark, tmp_path):
     from specloom.streaming.ingest import ingest, last_uses
 
     source, path = str(tmp_path / "in"), str(tmp_path / "table")
@@ -184,13 +184,40 @@ def test_swap_and_stream(spark, tmp_path):
     spark.createDataFrame([(1, "a"), (2, "b"), (1, "c")], schema).write.parquet(source)
     run = lambda: ingest(spark.readStream.schema(schema).parquet(source), path, ["k"], str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     run()
+    kept = maintain.current(spark, path)
     spark.createDataFrame([(2, "z"), (3, "y")], schema).write.mode("append").parquet(source)
     run()
-    assert {tuple(r) for r in spark.read.parquet(path).collect()} == {(1, "c"), (2, "z"), (3, "y")}
+    assert {tuple(r) for r in maintain.current(spark, path).collect()} == {(1, "c"), (2, "z"), (3, "y")}
+    assert {tuple(r) for r in kept.collect()} == {(1, "c"), (2, "b")}  # a reader keeps what it began with
+    folders = lambda: {f for x in maintain._Place(spark, path).pointer()["folders"].values() for f in [x.split("/")[0]]}
+    assert len(folders()) == 2  # the bucket of 1 was not written again
+    with pytest.raises(ValueError):
+        maintain.publish_changes(spark.createDataFrame([(1, "a")], schema), path, ["v"])
+    maintain.publish(spark.createDataFrame([], schema), path)
+    assert maintain.current(spark, path).collect() == [] and maintain.current(spark, path).columns == ["k", "v"]
     log = spark.sql("select 's' spec_id, '1' version, timestamp'2024-01-01 10:05:00' used_at union all select 's', '1', timestamp'2024-01-01 10:50:00'")
     assert last_uses(log).collect()[0].uses == 2
 
 
+def test_index_lifecycle(spark, tmp_path):
+    path, rows = str(tmp_path / "defs"), lambda: spark.createDataFrame([(1, "A")], "ord long, name string")
+    with pytest.raises(LookupError, match="not built"):
+        maintain.current(spark, path)
+    maintain.refresh(spark, path, rows, rebuild=True)  # what was never built stays so
+    assert not maintain.drop(spark, path)
+    maintain.publish(rows(), path)
+    maintain.refresh(spark, path, lambda: spark.createDataFrame([(2, "B")], "ord long, name string"), rebuild=True)
+    assert [r.name for r in maintain.current(spark, path).collect()] == ["B"]
+    maintain.refresh(spark, path, rows, rebuild=False)
+    with pytest.raises(LookupError):
+        maintain.current(spark, path)
+    cache = tmp_path / "cache"
+    assert not maintain.limit_generation(spark, str(cache), 3)
+    (cache / "entry").write_text("x")
+    assert not maintain.limit_generation(spark, str(cache), 3) and (cache / "entry").exists()
+    assert maintain.limit_generation(spark, str(cache), 4) and not (cache / "entry").exists()
+
+
 def test_archive_entries(spark):
     lines = spark.createDataFrame([("archive/38_series/38.101-1/38101-1-i60.zip",), ("23_series/23.501/23501-101203.ZIP",), ("23_series/23.501/readme.txt",), ("",)], "line string")
     assert {tuple(r)[:5] for r in archive.entries(lines).collect()} == {("38", "38.101-1", "i60", 18, 216), ("23", "23.501", "101203", 10, 1203)}
