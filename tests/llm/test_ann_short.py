@@ -22,3 +22,26 @@ def test_every_query_gets_k(spark):
 def test_enough_lists():
     sizes = np.array([[30, 1, 1, 1], [3, 0, 18, 1], [3, 0, 17, 1], [1, 1, 1, 1]])
     assert ann.enough(sizes, 1, 20).tolist() == [1, 3, 4, 4] and ann.enough(sizes, 2, 20).tolist() == [2, 3, 4, 4]
+
+
+def test_candidates_are_abandoned_early():
+    """On the vectors of the shared tables: the k-th best tightens chunk by chunk and list by list."""
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table("/root/testdata/sf0.01/embeddings.parquet")
+    x = np.array(rows.column("embedding").to_pylist(), float)
+    ids = rows.column("vec_id").to_numpy()
+    n = ann.lists_for(len(x), 0.3, 40, 16_384, 8)
+    assert n > 3 and ann.lists_for(4 * len(x), 0.3, 40, 16_384, 8) == 2 * n - 1 and ann.lists_for(10, 0.3, 40, 16_384, 8) == 1
+    index = ann.fit(x, float((x * x).sum(1).max()), n, 0.96, 20, 7)
+    ask = ids % 20 == 0
+    found = ann.scan(index, ids, x, ids[ask], x[ask], np.full(ask.sum(), -np.inf), 20, 2.6, 16, chunk=64)
+    assert found.read == len(x) * ask.sum() and found.abandoned > 0.03 * found.read
+    scores = x[ask] @ x.T
+    scores[np.arange(ask.sum()), np.flatnonzero(ask)] = -np.inf
+    best = np.sort(scores, axis=1)[:, -20:]
+    again = ann.scan(index, ids, x, ids[ask], x[ask], best[:, 0], 20, 2.6, 16, chunk=64)
+    assert again.abandoned > found.abandoned
+    for result in (found, again):
+        hits = sum((result.scores[result.query_ids == i] >= b[0] - 1e-9).sum() for i, b in zip(ids[ask], best, strict=True))
+        assert hits >= 0.9 * 20 * ask.sum()
