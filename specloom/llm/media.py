@@ -1,15 +1,17 @@
 """Interleaved documents: text and media references in reading order, payloads resolved by digest.
 
 HTML is parsed into an ordered sequence of structs, each a text block or a media reference with its
-position, caption and alternative text. Payloads are kept apart, as 8-bit greyscale PNG images in
-pack files of the shared folder, and are found by the SHA-256 digest of the stored form. A reference
-names that digest, so a payload that many documents share is stored, read and examined once, and a
-join on the digest carries its results back to every position that refers to it.
+position, caption and alternative text. Payloads are kept apart: cut into blocks of samples, each an 8-bit
+greyscale PNG image in a pack file of the shared folder. A reference names the SHA-256 digest of a block's
+samples, so a block that many documents share is examined once, and a join on the digest carries its
+results back to every position that refers to it. ``article`` writes a text's own paragraphs with its
+payload's blocks between them, in order.
 
 Defined results: a null html has an empty sequence; a reference whose digest no payload has keeps its
 place with null results; references without a digest resolve to nothing; captions belong to all media
-of their ``figure``; repeated rows give repeated sequences; an empty table gives empty tables; further
-columns of the input pass through ``parse``, and one named like its output is replaced.
+of their ``figure``; a null text is an empty one, whose payload is one row of filling; repeated rows give
+repeated sequences; an empty table gives empty tables; further columns of the input pass through
+``parse``, and one named like its output is replaced; ``store`` leaves them out.
 """
 
 from __future__ import annotations
@@ -24,16 +26,20 @@ from html.parser import HTMLParser
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import new_folder, written
+from .tables import SLICE_ROWS, new_folder, release, slices, written
 
 PART = (("position", "int"), ("kind", "string"), ("text", "string"), ("src", "string"), ("digest", "string"), ("caption", "string"), ("alt", "string"))
-STORED = "doc_id long, n_bytes long, digest string, path string, offset long, length long"
-EXAMINED = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, look string"
+BLOCK = "struct<digest:string,path:string,offset:bigint,length:int>"
+STORED = f"doc_id long, n_bytes long, key string, blocks array<{BLOCK}>"
+LOOK = "struct<digest:string,look:string>"
+EXAMINED = f"key string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, blocks array<{LOOK}>"
 #: Samples in an image row, and the byte that fills the last row.
 WIDTH, FILL = 576, 255
+#: Bytes of a payload in one block: whole image rows.
+BLOCK_BYTES = 4 * WIDTH
 #: The signature of PNG files and the reference scheme of digests.
 PNG_SIGNATURE, SCHEME = b"\x89PNG\r\n\x1a\n", "sha256:"
 MEDIA, SILENT = {"img", "video", "audio", "source", "embed"}, {"script", "style", "template", "noscript"}
@@ -118,19 +124,69 @@ def parse(df: DataFrame, html: str = "html", out: str = "parts") -> DataFrame:
 
     @F.arrow_udf("array<struct<" + ",".join(f"{n}:{k}" for n, k in PART) + ">>")
     def parts(html: pa.Array) -> pa.Array:
-        return pa.array([sequence(x) for x in html.to_pylist()], pa.list_(fields))
+        pieces = slices([pa.RecordBatch.from_arrays([html], ["html"])], 0)
+        return pa.concat_arrays([pa.array([], pa.list_(fields)), *(pa.array([sequence(x) for x in piece.column(0).to_pylist()], pa.list_(fields)) for piece in pieces)])
 
     return df.withColumn(out, parts(F.col(f"`{html}`")))
 
 
-def resolve(df: DataFrame, media: DataFrame, keys: list[str], parts: str = "parts") -> DataFrame:
-    """One row per media reference, with ``keys``, its place and caption, and the columns of ``media``
-    (one row per ``digest``) that the digest leads to; null where it leads nowhere."""
+def references(df: DataFrame, keys: list[str], parts: str = "parts") -> DataFrame:
+    """One row per media reference, with ``keys``, its place, digest and caption."""
     refs = df.select(*keys, F.explode(F.filter(F.col(f"`{parts}`"), lambda p: p.kind == "media")).alias("_ref"))
-    refs = refs.select(*keys, *(F.col(f"_ref.{n}").alias(n) for n in ("position", "src", "digest", "caption", "alt")))
+    return refs.select(*keys, *(F.col(f"_ref.{n}").alias(n) for n in ("position", "src", "digest", "caption", "alt")))
+
+
+def resolve(refs: DataFrame, media: DataFrame) -> DataFrame:
+    """References with the columns of ``media`` (one row per ``digest``) that the digest leads to; null
+    where it leads nowhere."""
     return refs.join(media, "digest", "left")
 
 
+def _bytes(text: Column) -> Column:
+    return F.coalesce(text, F.lit("")).cast("binary")
+
+
+def key_of(text: Column) -> Column:
+    """What equal texts have in common: the SHA-256 of their bytes."""
+    return F.sha2(_bytes(text), 256)
+
+
+def digests_of(text: Column, block_bytes: int = BLOCK_BYTES) -> Column:
+    """The digests of a text's payload blocks, in order."""
+    data, n = _bytes(text), F.octet_length(F.coalesce(text, F.lit("")))
+    fill = F.when(n == 0, WIDTH).otherwise(F.pmod(-n, F.lit(WIDTH)))
+    last = F.floor((n + fill - 1) / block_bytes).cast("int")
+    rest = F.unhex(F.repeat(F.lit(f"{FILL:02X}"), fill))
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.sha2(F.concat(F.substr(data, k * block_bytes + 1, F.lit(block_bytes)), F.when(k == last, rest).otherwise(F.lit(b""))), 256))
+
+
+def article(text: Column, block_bytes: int = BLOCK_BYTES) -> Column:
+    """A text's paragraphs as HTML, and after each the figures of the payload blocks that are due by then."""
+    safe = F.coalesce(text, F.lit(""))
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        safe = F.replace(safe, F.lit(mark), F.lit(name))
+    paragraphs, digests = F.split(safe, "\n"), digests_of(text, block_bytes)
+
+    def body(both: Column) -> Column:
+        """Of n paragraphs, the i-th is followed by those of m blocks from i m / n up to (i + 1) m / n."""
+        n, m = F.size(both["p"]), F.size(both["d"])
+
+        def figure(k: Column) -> Column:
+            caption = F.concat(F.lit("part "), (k + 1).cast("string"), F.lit(" of "), m.cast("string"))
+            return F.concat(F.lit(f"<figure><img alt='samples' src='{SCHEME}"), F.element_at(both["d"], k + 1), F.lit("'><figcaption>"), caption, F.lit("</figcaption></figure>"))
+
+        def one(p: Column, i: Column) -> Column:
+            low, high = (F.ceil(j.cast("long") * m / n).cast("int") for j in (i, i + 1))
+            figures = F.when(high > low, F.array_join(F.transform(F.sequence(low, F.greatest(low, high - 1)), figure), "")).otherwise("")
+            return F.concat(F.lit("<p>"), p, F.lit("</p>"), figures)
+
+        return F.array_join(F.transform(both["p"], one), "")
+
+    # A single lambda's argument: paragraphs and digests are made once.
+    made = F.transform(F.array(F.struct(paragraphs.alias("p"), digests.alias("d"))), body)
+    return F.concat(F.lit("<article>"), F.element_at(made, 1), F.lit("</article>"))
+
+
 def payload(text: bytes) -> bytes:
     """The bytes filled up to a positive multiple of WIDTH."""
     return text + bytes([FILL]) * (-len(text) % WIDTH if text else WIDTH)
@@ -192,22 +248,22 @@ class _Pack:
     def __init__(self, folder: str):
         self.folder, self.file, self.known = folder, None, {}
 
-    def put(self, text: bytes) -> tuple[str, str, int, int]:
-        key = hashlib.sha256(text).digest()
+    def put(self, samples: bytes) -> tuple[str, str, int, int]:
+        key = hashlib.sha256(samples).digest()
         if (found := self.known.get(key)) is None:
-            image = to_png(payload(text))
+            image = to_png(samples)
             if self.file is None or self.at >= FILE_BYTES:
                 self.close()
                 self.path, self.at = f"{self.folder}/{uuid.uuid4().hex}.pack", 0
                 files, name = pa.fs.FileSystem.from_uri(self.path)
                 self.file = files.open_output_stream(name, compression=None)
             self.file.write(image)
-            found = (hashlib.sha256(image).hexdigest(), self.path, self.at, len(image))
+            found = (self.path, self.at, len(image))
             self.at += len(image)
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             self.known[key] = found
-        return found
+        return (key.hex(), *found)
 
     def close(self) -> None:
         if self.file is not None:
@@ -215,57 +271,89 @@ class _Pack:
             self.file = None
 
 
-def store(df: DataFrame) -> DataFrame:
-    """Stores every ``text`` of ``doc_id, text`` (null: empty) and returns, per row, where it is.
+def _structs(rows: list[list[tuple]], kind: pa.StructType) -> pa.Array:
+    """Lists of structs, a list for each row."""
+    flat = [x for row in rows for x in row]
+    columns = list(zip(*flat, strict=True)) or [()] * kind.num_fields
+    fields = [pa.array(c, kind.field(k).type) for k, c in enumerate(columns)]
+    ends = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(fields, [kind.field(k).name for k in range(kind.num_fields)]))
 
-    A row counts only once its task has ended well, and names the file of that very attempt; files of
+
+def store(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Stores every ``text`` of ``doc_id, text`` (null: empty) and returns, per row, the text's key and where
+    the blocks of its payload are.
+
+    A row counts only once its task has ended well, and names the files of that very attempt; files of
     lost attempts are never read. Copies within a task share one stored form.
     """
+    if block_bytes <= 0 or block_bytes % WIDTH:
+        raise ValueError(f"a block is whole rows of {WIDTH} bytes")
     folder = new_folder(df.sparkSession, "media")
     files, name = pa.fs.FileSystem.from_uri(folder)
     files.create_dir(name, recursive=True)
+    block = pa.struct([("digest", pa.string()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int32())])
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, fields = _Pack(folder), [x.split()[0] for x in STORED.split(", ")]
-        for batch in batches:
-            texts = [(x or "").encode() for x in batch.column(1).to_pylist()]
-            found = [pack.put(x) for x in texts]
-            digests, paths, offsets, lengths = zip(*found, strict=True) if found else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array(digests, pa.string()), pa.array(paths, pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())], fields)
+        pack = _Pack(folder)
+        for batch in slices(batches, 1):
+            sizes, keys, blocks = [], [], []
+            for text in batch.column(1).cast(pa.binary()).to_pylist():
+                text = text or b""
+                data = payload(text)
+                sizes.append(len(text))
+                keys.append(hashlib.sha256(text).hexdigest())
+                blocks.append([pack.put(data[a : a + block_bytes]) for a in range(0, len(data), block_bytes)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()), _structs(blocks, block)], ["doc_id", "n_bytes", "key", "blocks"])
         pack.close()
 
     return written(df.select(F.col("doc_id").cast("long"), "text").mapInArrow(save, STORED), "stored")
 
 
 def examine(stored: DataFrame) -> DataFrame:
-    """Reads the stored forms back, run by run, and describes each distinct one."""
-    fields = [x.split()[0] for x in EXAMINED.split(", ")]
+    """Reads the stored forms of each distinct text back and describes it as a whole and by its blocks."""
+    spark = stored.sparkSession
+    names, look_type = [x.split()[0] for x in EXAMINED.split(", ")], pa.struct([("digest", pa.string()), ("look", pa.string())])
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, file = None, None
         for batch in batches:
-            rows = []
-            for digest, at, offset, length in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if at != path:
-                    if file is not None:
-                        file.close()
-                    files, name = pa.fs.FileSystem.from_uri(at)
-                    path, file = at, files.open_input_file(name)
-                file.seek(offset)
-                image = file.read(length)
-                sha = hashlib.sha256(image).hexdigest()
-                if sha != digest:
-                    raise ValueError(f"stored media at {at}:{offset} differs from its digest")
-                samples = from_png(image)
-                data = samples.tobytes()
-                rows.append((digest, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(image), sha, look(samples)))
-            if rows:
-                columns = zip(*rows, strict=True)
-                kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], fields)
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                piece, rows, looks = batch.slice(start, SLICE_ROWS), [], []
+                for key, blocks in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
+                    whole, form, size, length, tail, seen = hashlib.sha256(), hashlib.sha256(), 0, 0, b"", []
+                    for b in blocks:
+                        if b["path"] != path:
+                            if file is not None:
+                                file.close()
+                            files, name = pa.fs.FileSystem.from_uri(b["path"])
+                            path, file = b["path"], files.open_input_file(name)
+                        file.seek(b["offset"])
+                        image = file.read(b["length"])
+                        samples = from_png(image)
+                        data = samples.tobytes()
+                        if hashlib.sha256(data).hexdigest() != b["digest"]:
+                            raise ValueError(f"stored media at {path}:{b['offset']} differs from its digest")
+                        whole.update(data)
+                        form.update(image)
+                        size, length, tail = size + len(data), length + len(image), data[-32:]
+                        seen.append((b["digest"], look(samples)))
+                    rows.append((key, size, whole.hexdigest(), zlib.crc32(tail), length, form.hexdigest()))
+                    looks.append(seen)
+                kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)), _structs(looks, look_type)], names)
         if file is not None:
             file.close()
+        release()
+
+    # One place for each text; a task reads its part of few files, in the order of their offsets.
+    places = stored.groupBy("key").agg(F.min("blocks").alias("blocks"))
+    at = [F.col("blocks")[0]["path"].alias("_path"), F.col("blocks")[0]["offset"].alias("_offset")]
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = places.select("key", "blocks", *at).repartitionByRange(tasks, "_path", "_offset").sortWithinPartitions("_path", "_offset")
+    return placed.select("key", "blocks").mapInArrow(load, EXAMINED)
+
 
-    # One place for each digest; the rows of a file stay together in the order of their offsets.
-    places = stored.groupBy("digest").agg(F.min(F.struct("path", "offset", "length")).alias("at")).select("digest", "at.*")
-    return places.sortWithinPartitions("path", "offset").mapInArrow(load, EXAMINED)
+def looks(examined: DataFrame) -> DataFrame:
+    """``digest, look``: one row for each distinct block."""
+    return examined.select(F.explode("blocks").alias("b")).groupBy("b.digest").agg(F.min("b.look").alias("look"))

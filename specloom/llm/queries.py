@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..session import spread
 from . import ann, chat, lm, media, minhash, mixing, quality, urls, warc
 from .bpe import Tokenizer
-from .tables import table
+from .tables import table, written
 
 URL_RULES = (urls.Rule("block", "net", "/"), urls.Rule("allow", "example.net", "/en/"), urls.Rule("block", "example.com", "/de/"), urls.Rule("allow", "org", "/fr/"))
 #: Documents scored below this are rejected.
@@ -67,13 +67,16 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = media.store(_documents(spark, sf_dir, "doc_id", "text"))
-    caption = F.concat(F.col("n_bytes").cast("string"), F.lit(" bytes"))
-    html = F.concat(F.lit("<article><p>Document as samples.</p><figure><img alt='samples' src='"), F.lit(media.SCHEME), F.col("digest"), F.lit("'><figcaption>"), caption, F.lit("</figcaption></figure></article>"))
-    pages = media.parse(stored.select("doc_id", "n_bytes", html.alias("html")))
-    shown = media.resolve(pages, media.examine(stored), ["doc_id", "n_bytes"])
-    feature = F.concat_ws("|", F.col("position").cast("string"), "caption", "look")
-    return shown.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    docs = _documents(spark, sf_dir, "doc_id", "text")
+    stored = media.store(docs)
+    examined = written(media.examine(stored), "examined")
+    pages = media.parse(docs.select(media.key_of(F.col("text")).alias("key"), media.article(F.col("text")).alias("html")))
+    # Copies have one sequence; its places, captions and what the blocks look like are the feature.
+    refs = media.references(pages, ["key"]).select("key", "position", "caption", "digest").distinct()
+    shown = media.resolve(refs, media.looks(examined)).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("position", "caption", "look"))).alias("m"))
+    feature = F.array_join(F.transform("m", lambda x: F.concat_ws("|", x["position"].cast("string"), x["caption"], x["look"])), ";")
+    whole = examined.drop("blocks").join(shown.select("key", feature.alias("feature")), "key")
+    return stored.select("doc_id", "n_bytes", "key").join(whole, "key").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

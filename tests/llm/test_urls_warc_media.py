@@ -125,17 +125,43 @@ def test_samples():
 
 
 def test_media_by_digest(spark):
-    rows = [(1, "same"), (2, "same"), (3, None), (4, "\u00e9" * 1000), (None, "same"), (5, "")]
-    stored = media.store(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
-    seen = {r.digest: r for r in media.examine(stored).collect()}
-    assert len(seen) == 3
+    rows = [(1, "same"), (2, "same"), (3, None), (4, "\u00e9" * 1000), (None, "same"), (5, ""), (6, "x" * 2304), (7, "z" * 700_001)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("clash")).repartition(3)
+    stored = media.store(df)
+    assert stored.columns == ["doc_id", "n_bytes", "key", "blocks"]
+    seen = {r.key: r for r in media.examine(stored).collect()}
+    assert len(seen) == 5
     for r in stored.collect():
-        text = {1: "same", 2: "same", 4: "\u00e9" * 1000, None: "same"}.get(r.doc_id, "").encode()
-        found = seen[r.digest]
-        assert r.n_bytes == len(text) and found.payload_sha256 == hashlib.sha256(media.payload(text)).hexdigest()
-        assert found.tail_crc32 == zlib.crc32(media.payload(text)[-32:]) and found.media_bytes == r.length
-    some = stored.first().digest
-    docs = spark.createDataFrame([(1, f"<p>a</p><figure><img src='sha256:{some}'><figcaption>c</figcaption></figure><img src='sha256:00'><img src='x'>"), (2, None)], "k long, html string")
-    shown = media.resolve(media.parse(docs), media.examine(stored), ["k"]).orderBy("position").collect()
-    assert [(r.position, r.caption, r.payload_bytes is not None) for r in shown] == [(1, "c", True), (2, None, False), (3, None, False)]
+        text = (dict(rows).get(r.doc_id) or "").encode()
+        data, found = media.payload(text), seen[r.key]
+        assert (r.n_bytes, r.key) == (len(text), hashlib.sha256(text).hexdigest())
+        assert (found.payload_bytes, found.payload_sha256, found.tail_crc32) == (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]))
+        blocks = [data[a : a + media.BLOCK_BYTES] for a in range(0, len(data), media.BLOCK_BYTES)]
+        assert [b.digest for b in r.blocks] == [b.digest for b in found.blocks] == [hashlib.sha256(b).hexdigest() for b in blocks]
+        forms = b"".join(map(media.to_png, blocks))
+        assert (found.media_bytes, found.media_sha256) == (len(forms), hashlib.sha256(forms).hexdigest())
+        assert [b.look for b in found.blocks] == [media.look(media.from_png(media.to_png(b))) for b in blocks]
+    some = next(r for r in stored.collect() if r.doc_id == 1).blocks[0].digest
+    docs = spark.createDataFrame([(1, f"<p>a</p><figure><img src='sha256:{some}'><figcaption>c</figcaption></figure><img src='sha256:00'><img src='x'>"), (2, None)], "k long, html string").withColumn("parts", F.lit("clash"))
+    shown = media.resolve(media.references(media.parse(docs), ["k"]), media.looks(media.examine(stored))).orderBy("position").collect()
+    assert [(r.position, r.caption, r.look is not None) for r in shown] == [(1, "c", True), (2, None, False), (3, None, False)]
     assert media.examine(media.store(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+    with pytest.raises(ValueError):
+        media.store(df, 100)
+
+
+def test_articles_interleave(spark):
+    """Paragraphs and payload blocks in turn, whatever there are more of; digests as they are stored."""
+    texts = [None, "", "one line", "a & b\n<p>\n\nlast", "w" * 5000, "long " * 2000 + "\nshort\n" + "\u00e9" * 4000, "\n".join(f"line {k}" for k in range(900)), "x" * 2304]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    stored = {r.doc_id: r for r in media.store(df.select(F.col("k").alias("doc_id"), "text")).collect()}
+    for r in media.parse(df.withColumn("html", media.article(F.col("text")))).withColumn("key", media.key_of(F.col("text"))).collect():
+        text = texts[r.k] or ""
+        digests = [b.digest for b in stored[r.k].blocks]
+        media_ = [p for p in r.parts if p.kind == "media"]
+        assert [p.position for p in r.parts] == list(range(len(r.parts))) and r.key == stored[r.k].key
+        assert [p.digest for p in media_] == digests and [p.caption for p in media_] == [f"part {k + 1} of {len(digests)}" for k in range(len(digests))]
+        assert [p.text for p in r.parts if p.kind == "text"] == [" ".join(x.split()) for x in text.split("\n") if x.strip()]
+    last = {r.k: r.parts for r in media.parse(df.withColumn("html", media.article(F.col("text")))).collect()}[6]
+    kinds = "".join(p.kind[0] for p in last)
+    assert kinds.count("m") == 4 and max(map(len, kinds.split("m"))) < 400 and not kinds.startswith("mm")
