@@ -127,7 +127,8 @@ def parse(df: DataFrame, html: str = "html", out: str = "parts") -> DataFrame:
         pieces = slices([pa.RecordBatch.from_arrays([html], ["html"])], 0)
         return pa.concat_arrays([pa.array([], pa.list_(fields)), *(pa.array([sequence(x) for x in piece.column(0).to_pylist()], pa.list_(fields)) for piece in pieces)])
 
-    return df.withColumn(out, parts(F.col(f"`{html}`")))
+    # Not to be merged into the generators that take the sequences apart: those run in the JVM.
+    return df.withColumn(out, parts.asNondeterministic()(F.col(f"`{html}`")))
 
 
 def references(df: DataFrame, keys: list[str], parts: str = "parts") -> DataFrame:
