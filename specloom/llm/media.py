@@ -28,6 +28,7 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tables import SLICE_ROWS, new_folder, release, slices, written
 
@@ -118,17 +119,19 @@ def sequence(html: str | None) -> list[dict]:
     return parser.finish()
 
 
-def parse(df: DataFrame, html: str = "html", out: str = "parts") -> DataFrame:
-    """Adds the ordered sequence of an HTML column."""
+def parse(df: DataFrame, html: str = "html", out: str = "parts", keep: bool = True) -> DataFrame:
+    """Adds the ordered sequence of an HTML column, which stays or, without ``keep``, goes."""
     fields = pa.struct([(n, pa.int32() if k == "int" else pa.string()) for n, k in PART])
+    place = df.columns.index(html)
+    kept = [k for k, c in enumerate(df.columns) if c != out and (keep or k != place)]
+    schema = T.StructType([df.schema.fields[k] for k in kept]).add(out, T.ArrayType(T.StructType([T.StructField(n, T.IntegerType() if k == "int" else T.StringType()) for n, k in PART])))
 
-    @F.arrow_udf("array<struct<" + ",".join(f"{n}:{k}" for n, k in PART) + ">>")
-    def parts(html: pa.Array) -> pa.Array:
-        pieces = slices([pa.RecordBatch.from_arrays([html], ["html"])], 0)
-        return pa.concat_arrays([pa.array([], pa.list_(fields)), *(pa.array([sequence(x) for x in piece.column(0).to_pylist()], pa.list_(fields)) for piece in pieces)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, place):
+            parts = pa.array([sequence(x) for x in batch.column(place).to_pylist()], pa.list_(fields))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), parts], schema.names)
 
-    # Not to be merged into the generators that take the sequences apart: those run in the JVM.
-    return df.withColumn(out, parts.asNondeterministic()(F.col(f"`{html}`")))
+    return df.mapInArrow(run, schema)
 
 
 def references(df: DataFrame, keys: list[str], parts: str = "parts") -> DataFrame:
