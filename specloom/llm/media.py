@@ -34,13 +34,13 @@ from .tables import SLICE_ROWS, new_folder, release, slices, written
 
 PART = (("position", "int"), ("kind", "string"), ("text", "string"), ("src", "string"), ("digest", "string"), ("caption", "string"), ("alt", "string"))
 BLOCK = "struct<digest:string,path:string,offset:bigint,length:int>"
-STORED = f"doc_id long, n_bytes long, key string, blocks array<{BLOCK}>"
+STORED = f"doc_id long, n_bytes long, key binary, blocks array<{BLOCK}>"
 LOOK = "struct<digest:string,look:string>"
-EXAMINED = f"key string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, blocks array<{LOOK}>"
+EXAMINED = f"key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, blocks array<{LOOK}>"
 #: Samples in an image row, and the byte that fills the last row.
 WIDTH, FILL = 576, 255
 #: Bytes of a payload in one block: whole image rows.
-BLOCK_BYTES = 4 * WIDTH
+BLOCK_BYTES = 8 * WIDTH
 #: The signature of PNG files and the reference scheme of digests.
 PNG_SIGNATURE, SCHEME = b"\x89PNG\r\n\x1a\n", "sha256:"
 MEDIA, SILENT = {"img", "video", "audio", "source", "embed"}, {"script", "style", "template", "noscript"}
@@ -135,9 +135,9 @@ def parse(df: DataFrame, html: str = "html", out: str = "parts", keep: bool = Tr
 
 
 def references(df: DataFrame, keys: list[str], parts: str = "parts") -> DataFrame:
-    """One row per media reference, with ``keys``, its place, digest and caption."""
+    """One row per media reference, with ``keys``, its place, digest (as bytes; null if it is none) and caption."""
     refs = df.select(*keys, F.explode(F.filter(F.col(f"`{parts}`"), lambda p: p.kind == "media")).alias("_ref"))
-    return refs.select(*keys, *(F.col(f"_ref.{n}").alias(n) for n in ("position", "src", "digest", "caption", "alt")))
+    return refs.select(*keys, F.unhex("_ref.digest").alias("digest"), *(F.col(f"_ref.{n}").alias(n) for n in ("position", "src", "caption", "alt")))
 
 
 def resolve(refs: DataFrame, media: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def _bytes(text: Column) -> Column:
 
 def key_of(text: Column) -> Column:
     """What equal texts have in common: the SHA-256 of their bytes."""
-    return F.sha2(_bytes(text), 256)
+    return F.unhex(F.sha2(_bytes(text), 256))
 
 
 def digests_of(text: Column, block_bytes: int = BLOCK_BYTES) -> Column:
@@ -196,7 +196,7 @@ def payload(text: bytes) -> bytes:
     return text + bytes([FILL]) * (-len(text) % WIDTH if text else WIDTH)
 
 
-def to_png(data: bytes, level: int = 1) -> bytes:
+def to_png(data: bytes, level: int = 6) -> bytes:
     """Bytes as the samples of an 8-bit greyscale image, losslessly."""
     rows = np.frombuffer(data, np.uint8).reshape(-1, WIDTH)
     lines = np.zeros((len(rows), WIDTH + 1), np.uint8)
@@ -306,12 +306,12 @@ def store(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 text = text or b""
                 data = payload(text)
                 sizes.append(len(text))
-                keys.append(hashlib.sha256(text).hexdigest())
+                keys.append(hashlib.sha256(text).digest())
                 blocks.append([pack.put(data[a : a + block_bytes]) for a in range(0, len(data), block_bytes)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()), _structs(blocks, block)], ["doc_id", "n_bytes", "key", "blocks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), _structs(blocks, block)], ["doc_id", "n_bytes", "key", "blocks"])
         pack.close()
 
-    return written(df.select(F.col("doc_id").cast("long"), "text").mapInArrow(save, STORED), "stored")
+    return written(df.select(F.col("doc_id").cast("long"), "text").mapInArrow(save, STORED), "stored", small=True)
 
 
 def examine(stored: DataFrame) -> DataFrame:
@@ -344,7 +344,7 @@ def examine(stored: DataFrame) -> DataFrame:
                         seen.append((b["digest"], look(samples)))
                     rows.append((key, size, whole.hexdigest(), zlib.crc32(tail), length, form.hexdigest()))
                     looks.append(seen)
-                kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+                kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)), _structs(looks, look_type)], names)
         if file is not None:
             file.close()
@@ -360,4 +360,5 @@ def examine(stored: DataFrame) -> DataFrame:
 
 def looks(examined: DataFrame) -> DataFrame:
     """``digest, look``: one row for each distinct block."""
-    return examined.select(F.explode("blocks").alias("b")).groupBy("b.digest").agg(F.min("b.look").alias("look"))
+    seen = examined.select(F.explode("blocks").alias("b")).select(F.unhex("b.digest").alias("digest"), "b.look")
+    return seen.groupBy("digest").agg(F.min("look").alias("look"))

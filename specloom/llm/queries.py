@@ -69,7 +69,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir, "doc_id", "text")
     stored = media.store(docs)
-    examined = written(media.examine(stored), "examined")
+    examined = written(media.examine(stored), "examined", small=True)
     pages = media.parse(docs.select(media.key_of(F.col("text")).alias("key"), media.article(F.col("text")).alias("html")), keep=False)
     # Copies have one sequence; its places, captions and what the blocks look like are the feature.
     refs = media.references(pages, ["key"]).select("key", "position", "caption", "digest").distinct()
