@@ -12,14 +12,20 @@ from specloom.llm import lm
 TEXTS = ["abracadabra", "abra abra\ncadabra", "", None, "éa éa éb", "zebra", "Abra ABRA x", "  ", "abracadabra", "q" * 300, "mixed\x0bwords\tand é"]
 
 
-def walk(train: list[bytes], text: bytes, order: int) -> float:
-    """log10 of the probability of a text, byte by byte."""
+def contexts_of(train: list[bytes], order: int) -> dict:
+    """The bytes seen after each context."""
     seen = defaultdict(Counter)
     for t in train:
         data = bytes([255]) * order + t + bytes([255])
         for at in range(order, len(data)):
             for k in range(order + 1):
                 seen[data[at - k : at]][data[at]] += 1
+    return seen
+
+
+def walk(train: list[bytes], text: bytes, order: int, seen: dict | None = None) -> float:
+    """log10 of the probability of a text, byte by byte."""
+    seen = contexts_of(train, order) if seen is None else seen
     total, data = 0.0, bytes([255]) * order + text + bytes([255])
     for at in range(order, len(data)):
         excluded: set[int] = set()

@@ -1,8 +1,8 @@
 """Mixing, quality, neighbours and dialogues against direct versions."""
 
-import random
-
 import hashlib
+import math
+import random
 
 import numpy as np
 import pytest
@@ -99,6 +99,64 @@ def test_quality_edges(spark):
     assert {r.score for r in quality.score(docs.withColumn("score", F.lit("clash")), quality.Additive()).collect()} == {0.5}
 
 
+def test_fitting_equals_a_direct_version():
+    """Cyclic boosting row by row and cut by cut, without sums over bins."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((160, 3)).round(1)
+    y = ((x[:, 0] > 0.3) ^ (x[:, 1] < -0.2)).astype(float)
+    rounds, pair_rounds, rate, damp, leaves, bins, coarse = 6, 4, 0.15, 5.0, 3, 8, 4
+    model = quality.train(x, y, rounds=rounds, pair_rounds=pair_rounds, n_pairs=2, bins=bins, coarse=coarse, leaves=leaves, rate=rate)
+    cuts = [sorted(set(np.quantile(x[:, f], [k / bins for k in range(1, bins)]).tolist())) for f in range(3)]
+    bin_of = lambda f, v: sum(c <= v for c in cuts[f])
+    b = [[bin_of(f, x[i, f]) for f in range(3)] for i in range(len(x))]
+    n_bins = [len(c) + 1 for c in cuts]
+    wide = [[k * min(coarse, n) // n for k in range(n)] for n in n_bins]
+    raw = [math.log(y.mean() / (1 - y.mean()))] * len(x)
+
+    def leaf(rows):
+        """Sum of gradients and of weights."""
+        p = [1 / (1 + math.exp(-raw[i])) for i in rows]
+        return sum(y[i] - q for i, q in zip(rows, p, strict=True)), sum(q * (1 - q) for q in p)
+
+    gain = lambda gw: gw[0] ** 2 / (gw[1] + damp)
+    for _ in range(rounds):
+        for f in range(3):
+            spans = [(0, n_bins[f])]
+            within = lambda a, z, f=f: [i for i in range(len(x)) if a <= b[i][f] < z]
+            while len(spans) < leaves:
+                found = [(gain(leaf(within(a, k))) + gain(leaf(within(k, z))) - gain(leaf(within(a, z))), a, z, k) for a, z in spans for k in range(a + 1, z)]
+                best = max(found, key=lambda t: t[0])
+                if best[0] <= 1e-9:
+                    break
+                spans.remove(best[1:3])
+                spans += [(best[1], best[3]), (best[3], best[2])]
+            steps = [(within(a, z), rate * g / (w + damp)) for a, z in spans for g, w in [leaf(within(a, z))]]
+            for mine, step in steps:
+                for i in mine:
+                    raw[i] += step
+    cell = [[wide[f][b[i][f]] for f in range(3)] for i in range(len(x))]
+
+    def cross(f, g):
+        """The best four quarters, with their gain."""
+        best = (0.0, [])
+        for p in range(max(wide[f])):
+            for q in range(max(wide[g])):
+                quarters = [[i for i in range(len(x)) if (cell[i][f] <= p) == low and (cell[i][g] <= q) == left] for low in (True, False) for left in (True, False)]
+                total = sum(gain(leaf(rows)) for rows in quarters)
+                best = max(best, (total, quarters), key=lambda t: t[0])
+        return best
+
+    pairs = sorted([(0, 1), (0, 2), (1, 2)], key=lambda fg: -cross(*fg)[0])[:2]
+    assert model.pairs == pairs
+    for _ in range(pair_rounds):
+        for f, g in pairs:
+            steps = [(mine, rate * s / (w + damp)) for mine in cross(f, g)[1] for s, w in [leaf(mine)]]
+            for mine, step in steps:
+                for i in mine:
+                    raw[i] += step
+    assert model.scores(x) == pytest.approx([1 / (1 + math.exp(-r)) for r in raw], abs=1e-9)
+
+
 @pytest.mark.parametrize("clustered", [False, True])
 def test_neighbours(spark, clustered):
     rng = np.random.default_rng(5)
