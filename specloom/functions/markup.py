@@ -7,6 +7,7 @@ from html import escape
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,3 +66,8 @@ def segments(text: str) -> list[tuple[str, str, str]]:
     if at < len(text):
         out.append(("text", "", text[at:]))
     return out
+
+
+def diff_line_class(line: Column) -> Column:
+    """How a line of a unified difference is shown."""
+    return F.when(F.startswith(line, F.lit("@@")), "diff-hunk").when(F.startswith(line, F.lit("+")), "diff-add").when(F.startswith(line, F.lit("-")), "diff-del").otherwise("diff-ctx")

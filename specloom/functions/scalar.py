@@ -140,6 +140,26 @@ def spec_label(spec_id: Column, version: Column) -> Column:
     return F.when(F.coalesce(version, F.lit("")) == "", spec_id).otherwise(F.concat(spec_id, F.lit(" v"), version))
 
 
+def spec_header(spec_id: Column, version: Column, release: Column) -> Column:
+    """``TS 23.501 v18.6.0 (Rel-18)``; what is empty is left out."""
+    label = release_label(release)
+    return F.concat(spec_label(spec_id, version), F.when(label == "", "").otherwise(F.concat(F.lit(" ("), label, F.lit(")"))))
+
+
+def version_label(version: Column, release: Column, archived: Column) -> Column:
+    """One side of a comparison: ``v17.9.0 (Rel-17, archived)``."""
+    label = release_label(release)
+    notes = F.concat_ws(", ", F.when(label != "", label), F.when(archived, F.lit("archived")))
+    named = F.concat(F.lit("v"), version, F.when(notes == "", "").otherwise(F.concat(F.lit(" ("), notes, F.lit(")"))))
+    return F.when(F.coalesce(version, F.lit("")) == "", F.lit("the database version")).otherwise(named)
+
+
+def compare_header(spec_id: Column, section: Column, old: Column, new: Column) -> Column:
+    """The line over every page of a comparison."""
+    place = F.when(F.coalesce(section, F.lit("")) == "", "").otherwise(F.concat(F.lit(" \u2014 Section "), section))
+    return F.concat(F.lit("[Compare: "), spec_id, place, F.lit(" \u2014 "), old, F.lit(" \u2192 "), new, F.lit("]"))
+
+
 def heading(level: Column, number: Column, title: Column) -> Column:
     """An ATX heading; the number is left out where it is the title itself."""
     marks = F.repeat(F.lit("#"), F.greatest(F.least(level, F.lit(6)), F.lit(1)))
@@ -174,3 +194,15 @@ def css_to_pixels(length: Column) -> Column:
     unit = F.regexp_extract(F.trim(length), r"([a-z]*)\z", 1)
     factor = F.when(unit.isin("", "px"), 1.0).when(unit == "pt", 96 / 72).when(unit == "in", 96.0).when(unit == "cm", 96 / 2.54).when(unit == "mm", 96 / 25.4)
     return F.round(number * factor).cast("long")
+
+
+def shape_size(style: Column) -> Column:
+    """``width, height`` of a shape's style (``width:453.6pt;height:340pt``) in pixels, 0 where it has none;
+    of a measure given twice the last counts."""
+    parts = F.transform(F.split(style, ";"), lambda x: F.transform(F.split(x, ":", 2), lambda y: F.trim(y)))
+
+    def last(name: str) -> Column:
+        found = F.filter(parts, lambda x: (F.size(x) == 2) & (x[0] == name))
+        return F.coalesce(css_to_pixels(F.try_element_at(found, F.lit(-1))[1]), F.lit(0))
+
+    return F.struct(last("width").alias("width"), last("height").alias("height"))

@@ -185,7 +185,7 @@ def _xml(lines: Sequence[str], at: int) -> int:
     return end
 
 
-def _equation_number(text: str) -> bool:
+def equation_number(text: str) -> bool:
     inner = text[1:-1].strip()
     return text[:1] == "(" and text[-1:] == ")" and bool(inner) and inner.replace(".", "").replace("-", "").isalnum() and any(c.isdigit() for c in inner) and ("." in inner or "-" in inner)
 
@@ -196,7 +196,7 @@ def _latex(lines: Sequence[str], at: int) -> int:
     if len(parts) != 3 or parts[0] or not parts[1].strip():
         return at
     rest = parts[2].strip().lstrip(",.;:").strip()
-    return at + (not rest or _equation_number(rest))
+    return at + (not rest or equation_number(rest))
 
 
 FORMATS: dict[str, Callable[[Sequence[str], int], int]] = {"asn1": _asn1, "diameter": _diameter, "sip": _sip, "sdp": _sdp, "xml": _xml, "latex": _latex}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,36 +49,49 @@ def neighbours(sections: DataFrame, by: list[str], order: str = "ord", key: str
     return sections.withColumn("previous", F.lag(key).over(near)).withColumn("next", F.lead(key).over(near))
 
 
-def pages(texts: DataFrame, by: list[str], text: str = "text", max_lines: int = 200, max_chars: int = 16_000) -> DataFrame:
-    """Texts cut into pages: ``page, from_line, to_line, lines, text``, whole lines each.
+def page_bounds(lines: list[str], max_lines: int, max_chars: int) -> Iterator[tuple[int, int]]:
+    """First line and end of each page, from 0."""
+    begin, total = 0, len(lines)
+    while begin < total:
+        end = min(total, begin + max_lines)
+        if max_chars > 0:
+            room = max_chars
+            for k in range(begin, end):
+                room -= len(lines[k]) + 1
+                if room < 0:
+                    end = max(k, begin + 1)
+                    break
+        elif end < total:
+            blank = next((k for k in range(end, min(total, end + max(1, (end - begin) // 5))) if not lines[k]), None)
+            end = end if blank is None else blank + 1
+        yield begin, end
+        begin = end
+
+
+def pages(texts: DataFrame, by: list[str], text: str = "text", max_lines: int = 200, max_chars: int = 0) -> DataFrame:
+    """Texts cut into pages: ``page, from_line, to_line, lines, of_lines, text``, whole lines each.
 
     A page ends before the line that would exceed ``max_lines``, or ``max_chars`` code points with line
-    ends, except that it always has one line; then it runs on to the next blank line if that is less
-    than a fifth of ``max_lines`` away. Pages of a text in order are the whole text.
+    ends (if that is above 0), except that it always has one line. Without a limit of characters it runs
+    on through a blank line that is less than a fifth of its lines away. Pages of a text in order are the
+    whole text.
     """
-    lines = F.split(F.col(text), "\n")
-    step = max(1, max_lines // 5)
-
-    def add(state: Column, line: Column) -> Column:
-        size = F.length(line) + 1
-        due = (state["n"] >= max_lines) | ((state["n"] > 0) & (state["chars"] + size > max_chars))
-        over = state["over"]
-        # Past its measure a page runs on until a blank line, or until its slack is used up.
-        full = due & (state["blank"] | (over >= step) | (state["chars"] + size > max_chars))
-        number = F.when(full, state["page"] + 1).otherwise(state["page"])
-        return F.struct(
-            number.alias("page"),
-            F.when(full, 1).otherwise(state["n"] + 1).alias("n"),
-            F.when(full, size).otherwise(state["chars"] + size).alias("chars"),
-            F.when(full, 0).when(due, over + 1).otherwise(over).alias("over"),
-            (F.trim(line) == "").alias("blank"),
-            F.concat(state["pages"], F.array(number)).alias("pages"),
-        )
-
-    start = F.struct(F.lit(0).alias("page"), F.lit(0).alias("n"), F.lit(0).alias("chars"), F.lit(0).alias("over"), F.lit(False).alias("blank"), F.array().cast("array<int>").alias("pages"))
-    numbered = texts.select(*by, F.posexplode(F.arrays_zip(F.aggregate(lines, start, add)["pages"].alias("page"), lines.alias("line"))).alias("at", "x"))
-    grouped = numbered.groupBy(*by, F.col("x.page").alias("page")).agg(F.array_sort(F.collect_list(F.struct("at", "x.line"))).alias("l"))
-    return grouped.select(*by, "page", (F.array_min("l")["at"] + 1).alias("from_line"), (F.array_max("l")["at"] + 1).alias("to_line"), F.size("l").alias("lines"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
+
+    @F.arrow_udf("array<struct<begin:int,end:int>>")
+    def bounds(column: pa.Array) -> pa.Array:
+        found = [[{"begin": a, "end": b} for a, b in page_bounds((x or "").split("\n"), max_lines, max_chars)] for x in column.to_pylist()]
+        return pa.array(found, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))
+
+    rows = texts.select(*by, F.split(F.coalesce(text, F.lit("")), "\n").alias("_l"), F.posexplode(bounds(F.col(text))).alias("page", "_b"))
+    size = F.col("_b.end") - F.col("_b.begin")
+    return rows.select(*by, "page", (F.col("_b.begin") + 1).alias("from_line"), F.col("_b.end").alias("to_line"), size.alias("lines"), F.size("_l").alias("of_lines"), F.array_join(F.slice("_l", F.col("_b.begin") + 1, size), "\n").alias("text"))
+
+
+def page_text(page: DataFrame) -> Column:
+    """A page as it is shown: which lines it has, and where to go on if it is not the last."""
+    number = lambda c: page[c].cast("string")
+    more = F.when(page["to_line"] < page["of_lines"], F.concat(F.lit("\n\n[Truncated. Use offset="), number("to_line"), F.lit(" to continue]"))).otherwise("")
+    return F.concat(F.lit("[Lines "), number("from_line"), F.lit("-"), number("to_line"), F.lit(" of "), number("of_lines"), F.lit("]\n\n"), page["text"], more)
 
 
 def markdown(sections: DataFrame, by: list[str], order: str = "ord") -> DataFrame:

@@ -316,16 +316,57 @@ def parent_sections(spark, sf_dir):
     return hierarchy.parents(c.turns(spark, sf_dir), ["spec_id"], deepest=5).select("spec_id", "ord", "parent_ord")
 
 
-@query("SELECT conv_id::VARCHAR AS spec_id, string_agg(CASE WHEN text = '' THEN '' ELSE text END, chr(10) || chr(10) ORDER BY turn) AS whole, TRUE AS fits, TRUE AS tight FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id::VARCHAR AS spec_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS whole, TRUE AS fits, TRUE AS tight, TRUE AS runs_on FROM conversations GROUP BY conv_id")
 def paged_text(spark, sf_dir):
-    """Pages put together again are the whole text; each keeps the limits (with a fifth more lines up to a blank one), and has no room for the next one's first line."""
+    """Pages put together again are the whole text. Each keeps its limits and has no room for the next one's
+    first line; without a limit of characters one has more lines only up to a blank one."""
     whole = hierarchy.joined_text(c.turns(spark, sf_dir), ["spec_id"])
-    pages = hierarchy.pages(whole, ["spec_id"], max_lines=10, max_chars=2000)
-    first = F.split_part(F.lead("text").over(Window.partitionBy("spec_id").orderBy("page")), F.lit("\n"), F.lit(1))
-    pages = pages.withColumn("fits", (F.col("lines") <= 12) & ((F.length("text") < 2000) | (F.col("lines") == 1)))
-    pages = pages.withColumn("tight", first.isNull() | (F.col("lines") >= 10) | (F.length("text") + F.length(first) + 2 > 2000))
     ordered = F.array_sort(F.collect_list(F.struct("page", "text")))
-    return pages.groupBy("spec_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("whole"), F.bool_and("fits").alias("fits"), F.bool_and("tight").alias("tight"))
+    put_together = F.array_join(F.transform(ordered, lambda x: x["text"]), "\n")
+    first = F.split_part(F.lead("text").over(Window.partitionBy("spec_id").orderBy("page")), F.lit("\n"), F.lit(1))
+    short = hierarchy.pages(whole, ["spec_id"], max_lines=10, max_chars=2000)
+    short = short.withColumn("fits", (F.col("lines") <= 10) & ((F.length("text") < 2000) | (F.col("lines") == 1)))
+    short = short.withColumn("tight", first.isNull() | (F.col("lines") == 10) | (F.length("text") + F.length(first) + 2 > 2000))
+    short = short.groupBy("spec_id").agg(put_together.alias("whole"), F.bool_and("fits").alias("fits"), F.bool_and("tight").alias("tight"))
+    last = F.substring_index("text", "\n", -1)
+    long_ = hierarchy.pages(whole, ["spec_id"], max_lines=10)
+    runs_on = (F.col("lines") <= 10) | ((F.col("lines") <= 12) & (last == ""))
+    long_ = long_.groupBy("spec_id").agg(F.bool_and(runs_on).alias("on"), put_together.alias("again"))
+    return short.join(long_, "spec_id").select("spec_id", "whole", "fits", "tight", (F.col("on") & (F.col("again") == F.col("whole"))).alias("runs_on"))
+
+
+@query(f"""WITH {c.SPECS_SQL} SELECT id, version, id || ' v' || version || ' (Rel-' || split_part(version, '.', 1) || ')' AS header,
+    'v' || version || ' (Rel-' || split_part(version, '.', 1) || CASE WHEN doc_id % 2 = 0 THEN ', archived' ELSE '' END || ')' AS label,
+    '[Compare: ' || id || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' — Section 5.1' END || ' — v' || version || ' → the database version]' AS compared FROM specs""")
+def provenance_lines(spark, sf_dir):
+    i, v, k = F.col("id"), F.col("version"), F.col("doc_id")
+    side = F.concat(F.lit("v"), v)
+    return c.specs(spark, sf_dir).select(
+        "id", "version", scalar.spec_header(i, v, v).alias("header"), scalar.version_label(v, v, k % 2 == 0).alias("label"),
+        scalar.compare_header(i, F.when(k % 3 != 0, "5.1").otherwise(""), side, scalar.version_label(F.lit(""), v, F.lit(False))).alias("compared"),
+    )
+
+
+@query("""SELECT p_partkey AS k, CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE p_size END AS width, round(p_size * 96.0 / 72)::BIGINT AS height FROM part""")
+def shape_sizes(spark, sf_dir):
+    size = F.col("p_size").cast("string")
+    width = F.when(F.col("p_partkey") % 4 == 0, F.lit("z-index:1")).otherwise(F.concat(F.lit(" width : "), size, F.lit("px")))
+    style = F.concat(width, F.lit("; height:"), size, F.lit("pt;margin-width:9pt"))
+    return c.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), scalar.shape_size(style).alias("s")).select("k", "s.*")
+
+
+@query("""WITH d AS (SELECT p_partkey AS k, 'TS 23.' || p_size::VARCHAR AS spec_id, p_size % 3 = 0 AS report FROM part)
+SELECT k, CASE WHEN report THEN 'TR ' || substr(spec_id, 4) ELSE spec_id END AS spec_id, CASE WHEN k % 2 = 0 THEN '18.' || (k % 7)::VARCHAR || '.0' WHEN k % 5 = 0 THEN '101203' ELSE '1.0.0' END AS version,
+    CASE WHEN k % 2 = 0 THEN '18' ELSE '7' END AS release, row_number() OVER (PARTITION BY spec_id ORDER BY k % 3 = 0, lpad(k::VARCHAR, 9, '0')) AS file_order FROM d""")
+def reconciled_records(spark, sf_dir):
+    """Records under the type that their document's cover tells, with their archive entry's version, covers last."""
+    k = F.col("k")
+    rows = c.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.concat(F.lit("TS 23."), F.col("p_size").cast("string")).alias("spec_id"), F.lit("1.0.0").alias("version"), F.lit("7").alias("release"), F.col("p_size"))
+    rows = archive.cover_last(rows.withColumn("name", F.concat(F.lpad(k.cast("string"), 9, "0"), F.when(k % 3 == 0, "_cover.docx").otherwise(".docx"))), ["spec_id"])
+    told = rows.select("p_size", F.when((F.col("p_size") % 3 == 0) & (k == F.min("k").over(Window.partitionBy("p_size"))), "TR").otherwise("").alias("doc_type"))
+    entries = rows.select("k", F.when(k % 2 == 0, F.concat(F.lit("i"), (k % 7).cast("string"), F.lit("0"))).when(k % 5 == 0, "101203").alias("token"), F.when(k % 2 == 0, 18).otherwise(0).alias("release"))
+    rows = archive.with_archive_version(archive.with_doc_type(rows, told, "p_size"), entries, "k")
+    return rows.select("k", "spec_id", "version", "release", F.col("file_order").cast("long").alias("file_order"))
 
 
 @query(f"WITH {c.CLAUSES_SQL} SELECT spec_id, md5(string_agg(repeat('#', level) || ' ' || number || ' ' || title || CASE WHEN content <> '' THEN chr(10) || chr(10) || content ELSE '' END, chr(10) || chr(10) ORDER BY ord)) AS digest FROM clauses GROUP BY spec_id")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import io
+import zipfile
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import digit_value
+from ..functions.scalar import digit_value, token_to_dotted
 
 #: Fixed value: series, number with its part, document and version of an archive entry.
 ENTRY = r"\A(?:.*/)?(\d\d)_series/(\d\d\.\d+(?:-\d+)*(?:-[A-Z])?)/([^/]+)-([0-9a-zA-Z]{3,6})\.[zZ][iI][pP]\z"
@@ -86,3 +92,64 @@ def fresh_listing(spark: SparkSession, path: str, max_age_hours: float = 24) ->
         return None
     lines = entry_lines(spark, path)
     return None if lines.isEmpty() else lines
+
+
+def members(archives: DataFrame, most_bytes: int = 1 << 30) -> DataFrame:
+    """``path, name, data, error`` of a ``binaryFile`` table of ZIP archives: a row for each file inside.
+
+    A file that says it is larger than ``most_bytes``, or an archive that can't be read, is a row with
+    its ``error`` and without data. Names lose their folders; ``.`` and ``..`` are no names.
+    """
+
+    def rows_of(path: str, content: bytes) -> Iterator[tuple]:
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                for entry in archive.infolist():
+                    name = entry.filename.replace("\\", "/").rsplit("/", 1)[-1]
+                    if entry.is_dir() or name in ("", ".", ".."):
+                        continue
+                    if entry.file_size > most_bytes:
+                        yield path, name, None, f"{entry.file_size} bytes are too many"
+                        continue
+                    with archive.open(entry) as file:
+                        data = file.read(most_bytes + 1)  # whatever the archive says
+                    yield (path, name, data, None) if len(data) <= most_bytes else (path, name, None, "more bytes than it says")
+        except (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError) as error:
+            yield path, None, None, str(error)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.string(), pa.binary(), pa.string()]
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for row in rows_of(path, content):  # one file at a time
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["path", "name", "data", "error"])
+
+    return archives.select("path", "content").mapInArrow(run, "path string, name string, data binary, error string")
+
+
+def cover_last(files: DataFrame, by: list[str], name: str = "name") -> DataFrame:
+    """Adds ``file_order``: a document's files by name, its covers after all others."""
+    order = Window.partitionBy(*by).orderBy(F.contains(F.col(name), F.lit("_cover")), name)
+    return files.withColumn("file_order", F.row_number().over(order))
+
+
+def with_doc_type(rows: DataFrame, known: DataFrame, key: str, spec_id: str = "spec_id") -> DataFrame:
+    """Records under the document type that one of a document's files tells (``key, doc_type``): only the
+    file with the cover knows it, and all files' records get one id. Ids of no type stay."""
+    told = known.where("doc_type <> ''").groupBy(key).agg(F.max("doc_type").alias("_type"))
+    typed = F.when(F.col("_type").isNotNull() & F.col(spec_id).rlike(r"\AT[SR] "), F.concat(F.col("_type"), F.substr(spec_id, F.lit(3)))).otherwise(F.col(spec_id))
+    return rows.join(told, key, "left").withColumn(spec_id, typed).drop("_type")
+
+
+def with_archive_version(rows: DataFrame, entries: DataFrame, key: str) -> DataFrame:
+    """Records with the version, token and release of the archive entry that they came from, where it has
+    them: what a document says of itself is a guess. A token of another form is itself the version."""
+    said = entries.select(key, F.col("token").alias("_token"), F.col("release").alias("_release"))
+    both = rows.join(said, key, "left")
+    has, release = F.coalesce(F.col("_token"), F.lit("")) != "", F.coalesce(F.col("_release"), F.lit(0))
+    changed = {"version": F.when(has, F.coalesce(token_to_dotted(F.col("_token")), F.col("_token"))).otherwise(F.col("version"))}
+    if "version_token" in rows.columns:
+        changed["version_token"] = F.when(has, F.col("_token")).otherwise(F.col("version_token"))
+    if "release" in rows.columns:
+        changed["release"] = F.when(release != 0, release.cast("string")).otherwise(F.col("release"))
+    return both.withColumns(changed).select(rows.columns)

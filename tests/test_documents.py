@@ -319,3 +319,84 @@ def test_comparability_and_listings(spark, tmp_path):
     path.write_text("\n a \n")
     assert [r.line for r in archive.fresh_listing(spark, str(path)).collect()] == ["a"]
     assert archive.fresh_listing(spark, str(path), -1) is None
+
+
+def test_pages_and_their_notes(spark):
+    bounds = lambda text, n, chars=0: list(hierarchy.page_bounds(text.split("\n"), n, chars))
+    assert bounds("a\nb\nc\nd\ne\n\nf", 5) == [(0, 6), (6, 7)]  # on through the blank line
+    assert bounds("a\nb\nc\nd\ne\nf\n\ng", 5) == [(0, 5), (5, 8)]  # which is too far away
+    assert bounds("a\n\nb", 1) == [(0, 2), (2, 3)] and bounds("", 3) == [(0, 1)]
+    assert bounds("aaaa\nb\n\nc", 9, 4) == [(0, 1), (1, 3), (3, 4)]
+    rows = hierarchy.pages(spark.createDataFrame([("k", "a\nb\nc")], "k string, text string"), ["k"], max_lines=2)
+    assert [r.t for r in rows.select("page", hierarchy.page_text(rows).alias("t")).orderBy("page").collect()] == ["[Lines 1-2 of 3]\n\na\nb\n\n[Truncated. Use offset=2 to continue]", "[Lines 3-3 of 3]\n\nc"]
+
+
+def _office(body, styles="", core="", rels="", media=()):
+    w, a = documents.W[1:-1], "http://schemas.openxmlformats.org/drawingml/2006/main"
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}" xmlns:m="{documents.M[1:-1]}" xmlns:a="{a}" xmlns:r="r" xmlns:v="v"><w:body>{body}</w:body></w:document>')
+        z.writestr("word/styles.xml", f'<w:styles xmlns:w="{w}"><w:style w:styleId="H1"><w:name w:val="heading 1"/></w:style>{styles}</w:styles>')
+        z.writestr("docProps/core.xml", f'<c xmlns:dc="dc">{core}</c>')
+        z.writestr("word/_rels/document.xml.rels", f"<r>{rels}</r>")
+        for name, content in media:
+            z.writestr(f"word/media/{name}", content)
+    return data.getvalue()
+
+
+def _paragraph(text, style=""):
+    text = text.replace("&", "&amp;").replace("<", "&lt;")
+    return f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr><w:r><w:t xml:space="preserve">{text}</w:t></w:r></w:p>'
+
+
+def test_office_blocks_pictures_and_styles(spark, tmp_path):
+    drawing = '<w:p><w:r><w:drawing><a:inline><a:extent cx="95250" cy="190500"/><a:docPr descr="A map"/><a:blip r:embed="r1"/></a:inline></w:drawing></w:r></w:p>'
+    shape = '<w:p><w:r><w:pict><v:shape style="width:7.5pt; height:15pt"><v:imagedata r:id="r2"/></v:shape></w:pict></w:r></w:p>'
+    head = '<w:tbl><w:tr><w:trPr><w:tblHeader/></w:trPr><w:tc><w:p><w:r><w:t>h</w:t></w:r></w:p></w:tc></w:tr><w:tr><w:tc><w:p><w:r><w:t>c</w:t></w:r></w:p></w:tc></w:tr></w:tbl>'
+    formula = "<w:p><m:oMath><m:r><m:t>x</m:t></m:r></m:oMath><w:r><w:t>, (7.3-1)</w:t></w:r></w:p>"
+    lines = ["The call:", "INVITE sip:a@b SIP/2.0", "Via: x", "", "Done.", "R ::= < Diameter Header: 1 >", " < Session-Id >", "End", "<a>", "<b/>", "</a>", "-- ASN1START", "A ::= NULL", "-- ASN1STOP"]
+    body = _paragraph("1 Scope", "H1") + "".join(map(_paragraph, lines)) + _paragraph("int x;", "Derived") + drawing + shape + head + formula + _paragraph("\u2013 RRCSetup", "H1") + _paragraph("text")
+    styles = '<w:style w:styleId="Mono"><w:rPr><w:rFonts w:ascii="Courier New"/></w:rPr></w:style><w:style w:styleId="Derived"><w:basedOn w:val="Mono"/></w:style>'
+    rels = '<x Id="r1" Target="media/image1.png"/><x Id="r2" Target="media/image2.emf"/>'
+    data = _office(body, styles, "<dc:title>T</dc:title><dc:subject>Procedures; Stage 2 (Release 18)</dc:subject>", rels, [("image1.png", b"p"), ("image2.emf", b"e")])
+    scope, setup = documents.docx_sections(data)
+    assert scope["content"].split("\n\n") == [
+        "The call:", "```sip\nINVITE sip:a@b SIP/2.0\nVia: x\n```", "Done.", "```diameter\nR ::= < Diameter Header: 1 >\n < Session-Id >\n```", "End", "```xml\n<a>\n<b/>\n</a>\n```", "```asn1\n-- ASN1START\nA ::= NULL\n-- ASN1STOP\n```",
+        "```\nint x;\n```", "![A map](image://image1.png?w=10&h=20)", "![Figure](image://image2.emf?w=10&h=20)", "<table><thead><tr><th>h</th></tr></thead><tbody><tr><td>c</td></tr></tbody></table>", "$$x$$ (7.3-1)",
+    ]
+    assert (setup["number"], setup["title"], setup["content"]) == ("RRCSetup", "RRCSetup", "text")
+    cover = _office(_paragraph("3GPP TR 23.501 V18.6.0") + _paragraph("Technical Report") + _paragraph("1 Scope", "H1"), core="<dc:title>Report title</dc:title>")
+    assert documents.docx_metadata(cover, "23501-i60_cover.docx") == {"spec_id": "TR 23.501", "doc_type": "TR", "title": "Report title", "version": "18.6.0", "version_token": "i60", "release": ""}
+    told = documents.docx_metadata(data, "38331-2-h10.docx")
+    assert (told["spec_id"], told["doc_type"], told["title"], told["release"]) == ("TS 38.331-2", "", "Procedures; Stage 2", "18")
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "38331-h10.docx").write_bytes(data)
+    files = spark.read.format("binaryFile").load(str(tmp_path / "d"))
+    assert documents.sections_of_files(files).count() == 2
+    assert [r.spec_id for r in documents.metadata_of_files(files).collect()] == ["TS 38.331"]
+    assert [(r.name, r.mime_type, bytes(r.data), r.llm_readable) for r in documents.images_of_files(files).orderBy("name").collect()] == [("image1.png", "image/png", b"p", True), ("image2.emf", "image/x-emf", b"e", False)]
+
+
+def test_archives_and_sinks(spark, tmp_path):
+    from specloom.sources import sinks
+
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a/b.docx", b"one")
+        z.writestr("../evil.docx", b"two")
+        z.writestr("big.docx", b"0" * 5000)
+    rows = spark.createDataFrame([("x.zip", data.getvalue()), ("y.zip", b"no archive")], "path string, content binary")
+    got = {(r.path, r.name): (r.data and bytes(r.data), r.error is None) for r in archive.members(rows, 1000).collect()}
+    assert got == {("x.zip", "b.docx"): (b"one", True), ("x.zip", "evil.docx"): (b"two", True), ("x.zip", "big.docx"): (None, False), ("y.zip", None): (None, False)}
+    images = spark.createDataFrame([("TS 1", "1.0.0", "a/../b.png", b"p"), ("..", "", "b.png", b"q")], "spec_id string, version string, name string, data binary")
+    paths = {r.spec_id: r.path for r in sinks.write_images(images, f"file://{tmp_path}/img").collect()}
+    assert {k: open(p, "rb").read() for k, p in paths.items()} == {"TS 1": b"p", "..": b"q"} and all(p.startswith(f"{tmp_path}/img/") and ".." not in p.split("/") for p in paths.values())
+    table = spark.createDataFrame([(1, "\u00e9"), (2, None)], "k int, v string")
+    sinks.write_json(table, f"{tmp_path}/json")
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/json").collect()) == ['{"k":1,"v":"\u00e9"}', '{"k":2}']
+    assert '"k" : 1' in sinks.as_json(table, indent=True).first().json
+
+
+def test_diff_lines(spark):
+    rows = spark.createDataFrame([("@@ -1 +1 @@",), ("+a",), ("-b",), (" c",)], "l string")
+    assert [r.c for r in rows.select(markup.diff_line_class(F.col("l")).alias("c")).collect()] == ["diff-hunk", "diff-add", "diff-del", "diff-ctx"]
