@@ -13,9 +13,12 @@ their weight one level below are constants of that context. A score is then a su
 made for all positions of a batch at once.
 
 Training counts (order + 1)-grams and words in each task, and adds the counts up by key. Words are
-kept as 64-bit hashes (xxh3). The grams are broadcast, in slices of contexts if they are more than
-``max_grams``: each slice is one pass over the texts. The most frequent words, at most ``max_words``,
-are broadcast; the rest are looked up by a join, to which only the tokens that need it go.
+kept as 64-bit hashes (xxh3). Up to ``max_grams`` grams are broadcast. More of them stay a table, cut into
+slices of contexts that end with the same two bytes: texts are dealt into blocks of about ``block_bytes``,
+each block asks once for every distinct gram that it holds, a slice answers each gram that is asked for
+once, and a join brings the answers back to the blocks. However large the model, texts are read twice
+(to ask and to score), and nothing that grows with it meets on the driver. The most frequent words, at
+most ``max_words``, are broadcast; the rest are looked up by a join, to which only the tokens that need it go.
 
 Defined results: a null text is empty: one end token, scored as any text; a null id counts as the
 empty string in the hold-out rule; repeated rows are learnt from, and scored, each on its own; without
@@ -36,14 +39,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import slices, written
 
 EDGE = 255
 GRAM, WORD = 0, 1
 #: Hash under which the end of a text is counted among the words.
 END = -(1 << 63)
 #: Bytes of text handled at once, and distinct keys that a task gathers before it passes them on.
-BLOCK_BYTES, BLOCK_ROWS, GATHERED = 1 << 20, 1000, 1_500_000
+BLOCK_BYTES, GATHERED = 1 << 20, 1_500_000
 
 
 def words(text: bytes) -> list[bytes]:
@@ -87,6 +90,24 @@ def _blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def _pieces(texts: list[bytes], order: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """First and last text of a piece with their grams, and how many of these are whose. A text that is a
+    block of its own and longer than one comes in several pieces."""
+    for a, b in _blocks(texts):
+        if b - a > 1 or len(texts[a]) <= BLOCK_BYTES:
+            yield a, b, *grams(texts[a:b], order)
+            continue
+        edge = bytes([EDGE])
+        data = edge * order + texts[a] + edge
+        for at in range(0, len(data) - order, BLOCK_BYTES):
+            part = np.frombuffer(data[at : at + BLOCK_BYTES + order], np.uint8)
+            keys = np.zeros(len(part) - order, np.int64)
+            for k in range(order + 1):
+                keys <<= 8
+                keys |= part[k : k + len(keys)]
+            yield a, b, keys, np.array([len(keys)])
+
+
 def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
@@ -114,10 +135,10 @@ def count(docs: DataFrame, order: int) -> DataFrame:
             yield from rows(WORD, keys, np.fromiter(vocabulary.values(), np.int64, len(vocabulary)))
             vocabulary.clear()
 
-        for batch in (whole.slice(at, BLOCK_ROWS) for whole in batches for at in range(0, whole.num_rows, BLOCK_ROWS)):
+        for batch in slices(batches, 0):
             texts = _texts(batch.column(0))
-            for a, b in _blocks(texts):
-                keys, n = np.unique(grams(texts[a:b], order)[0], return_counts=True)
+            for _, _, each, _ in _pieces(texts, order):
+                keys, n = np.unique(each, return_counts=True)
                 found.append((keys, n))
                 held += len(keys)
                 if held > GATHERED:
@@ -126,6 +147,7 @@ def count(docs: DataFrame, order: int) -> DataFrame:
                     if held > GATHERED // 2:
                         yield from rows(GRAM, keys, n)
                         found, held = [], 0
+            for a, b in _blocks(texts):
                 for text in texts[a:b]:
                     vocabulary.update(words(text))
                 vocabulary[b""] += b - a
@@ -270,7 +292,59 @@ def _arrays(df: DataFrame, *columns: str) -> list[np.ndarray]:
     return [np.ascontiguousarray(found.column(c).to_numpy()).astype(np.int64, copy=False) for c in columns]
 
 
-def score(docs: DataFrame, train: Column, *, order: int = 5, max_grams: int = 4_000_000, max_words: int = 2_000_000) -> DataFrame:
+def _slice(key: Column, slices_: int) -> Column:
+    """Grams whose contexts end with the same two bytes are of one slice."""
+    return (F.shiftright(key, 8).bitwiseAND(0xFFFF) % slices_).cast("int")
+
+
+def _by_blocks(ids: DataFrame, counted: DataFrame, pairs, order: int, slices_: int, block_bytes: int) -> DataFrame:
+    """``_row, score`` of ``_row, text``, by a model that no worker holds whole."""
+    size = ids.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = ids.select("_row", "text", F.pmod(F.xxhash64("_row"), F.lit(max(1, -(-size // block_bytes)))).alias("block"))
+
+    def ask(block: pa.Table) -> pa.Table:
+        number, found, held = block.column("block")[0].as_py(), [], 0
+        for batch in block.to_batches():
+            for _, _, keys, _ in _pieces(_texts(batch.column(1)), order):
+                found.append(np.unique(keys))
+                held += len(found[-1])
+                if held > GATHERED:
+                    found = [np.unique(np.concatenate(found))]
+                    held = len(found[0]) // 2
+        keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return pa.table({"block": np.full(len(keys), number, np.int64), "key": keys})
+
+    asked = written(dealt.groupBy("block").applyInArrow(ask, "block long, key long"), "lm-asked")
+
+    def answer(keys: pa.Table, model: pa.Table) -> pa.Table:
+        if not keys.num_rows:
+            return pa.table({"key": pa.array([], pa.int64()), "log": pa.array([], pa.float64())})
+        trie = Trie(order, *(np.ascontiguousarray(model.column(c).to_numpy()) for c in ("key", "n")), *pairs.value)
+        wanted = keys.column("key").to_numpy()
+        return pa.table({"key": wanted, "log": np.concatenate([trie.logs(wanted[a : a + BLOCK_BYTES]) for a in range(0, len(wanted), BLOCK_BYTES)])})
+
+    distinct = asked.select("key").distinct().withColumn("slice", _slice(F.col("key"), slices_)).groupBy("slice")
+    model = counted.select("key", "n", _slice(F.col("key"), slices_).alias("slice")).groupBy("slice")
+    known = distinct.cogroup(model).applyInArrow(answer, "key long, log double")
+
+    def add_up(block: pa.Table, logs: pa.Table) -> pa.Table:
+        order_ = np.argsort(logs.column("key").to_numpy(), kind="stable")
+        keys, values = logs.column("key").to_numpy()[order_], logs.column("log").to_numpy()[order_]
+        rows, sums = [], []
+        for batch in block.to_batches():
+            texts = _texts(batch.column(1))
+            total = np.zeros(len(texts))
+            for a, b, mine, counts in _pieces(texts, order):
+                total[a:b] += np.add.reduceat(values[np.searchsorted(keys, mine)], np.cumsum(counts) - counts)
+            rows.append(batch.column(0).to_numpy())
+            sums.append(total)
+        none = np.zeros(0)
+        return pa.table({"_row": np.concatenate([none.astype(np.int64), *rows]), "score": np.concatenate([none, *sums])})
+
+    return dealt.groupBy("block").cogroup(asked.join(known, "key").groupBy("block")).applyInArrow(add_up, "_row long, score double")
+
+
+def score(docs: DataFrame, train: Column, *, order: int = 5, max_grams: int = 4_000_000, max_words: int = 2_000_000, block_bytes: int = 64 << 20) -> DataFrame:
     """Scores ``doc_id, text``; learns from the rows where ``train`` holds.
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
@@ -292,21 +366,18 @@ def score(docs: DataFrame, train: Column, *, order: int = 5, max_grams: int = 4_
     end_log = math.log10(endings[0].n + 1) if endings else None
     floor = math.log10(total + distinct + 1)
 
-    slices = max(1, -(-grams_.count() // max_grams))
+    n_grams = grams_.count()
     pairs = spark.sparkContext.broadcast(_arrays(grams_.groupBy((F.col("key").bitwiseAND(0xFFFF)).alias("key")).agg(F.sum("n").alias("n")), "key", "n"))
-    ids = rows.withColumn("_row", F.monotonically_increasing_id())
-    if slices > 1:
+    ids, columns = rows.withColumn("_row", F.monotonically_increasing_id()), "_row long, doc_id string, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<key:long,n:long>>"
+    if n_grams <= max_grams:
+        trie = spark.sparkContext.broadcast(Trie(order, *_arrays(grams_, "key", "n"), *pairs.value))
+        scored = ids.mapInArrow(_scorer(trie, known, end_log, often), columns)
+        scored = written(scored, "lm-scored") if often > 1 else scored
+    else:
         ids = written(ids, "lm-rows")
-    scored = None
-    for part in range(slices):
-        mine = grams_ if slices == 1 else grams_.where(F.shiftright("key", 8).bitwiseAND(0xFFFF) % slices == part)
-        trie = spark.sparkContext.broadcast(Trie(order, *_arrays(mine, "key", "n"), *pairs.value))
-        look_up = part == 0
-        one = ids.mapInArrow(_scorer(trie, known if look_up else None, end_log, often, slices, part), "_row long, doc_id string, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<key:long,n:long>>" if look_up else "_row long, score double")
-        if look_up:
-            scored = written(one, "lm-scored") if slices > 1 or often > 1 else one
-        else:
-            scored = scored.join(written(one.withColumnRenamed("score", "more"), "lm-slice"), "_row").withColumn("score", F.col("score") + F.col("more")).drop("more")
+        sums = written(_by_blocks(ids, grams_, pairs, order, min(1 << 16, -(-4 * n_grams // max_grams)), block_bytes), "lm-sums")
+        counted = ids.mapInArrow(_scorer(None, known, end_log, often), columns).drop("score")
+        scored = written(counted.join(sums, "_row"), "lm-scored")
     if often > 1:
         rare = scored.where(F.size("rare") > 0).select("_row", F.explode("rare").alias("w")).select("_row", "w.key", F.col("w.n").alias("times"))
         rare = rare.join(words_.where(F.col("n") < often), "key").groupBy("_row").agg(F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare_base"))
@@ -322,8 +393,8 @@ def score(docs: DataFrame, train: Column, *, order: int = 5, max_grams: int = 4_
     )
 
 
-def _scorer(trie, known, end_log: float | None, often: int, slices: int, part: int):
-    """Scores batches of ``doc_id, text, held_out, _row``."""
+def _scorer(trie, known, end_log: float | None, often: int):
+    """Scores batches of ``doc_id, text, held_out, _row``; without a trie all scores are 0."""
     rare_type = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())]))
 
     def of_words(texts: list[bytes], held: list[bool]) -> list[tuple]:
@@ -356,22 +427,13 @@ def _scorer(trie, known, end_log: float | None, often: int, slices: int, part: i
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(at, BLOCK_ROWS) for whole in batches for at in range(0, max(1, whole.num_rows), BLOCK_ROWS)):
+        for batch in slices(batches, 1):
             texts, held = _texts(batch.column(1)), batch.column(2).to_pylist()
-            sums = np.zeros(len(texts))
-            found: list[tuple] = []
+            sums, found = np.zeros(len(texts)), []
+            for a, b, keys, counts in _pieces(texts, trie.value.order) if trie is not None else ():
+                sums[a:b] += np.add.reduceat(trie.value.logs(keys), np.cumsum(counts) - counts)
             for a, b in _blocks(texts):
-                keys, counts = grams(texts[a:b], trie.value.order)
-                logs = trie.value.logs(keys) if slices == 1 else np.zeros(len(keys))
-                if slices > 1:
-                    mine = np.flatnonzero((keys >> 8 & 0xFFFF) % slices == part)
-                    logs[mine] = trie.value.logs(keys[mine])
-                sums[a:b] = np.add.reduceat(logs, np.cumsum(counts) - counts)
-                if known is not None:
-                    found += of_words(texts[a:b], held[a:b])
-            if known is None:
-                yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(sums)], ["_row", "score"])
-                continue
+                found += of_words(texts[a:b], held[a:b])
             n_tokens, n_known, base, rare = zip(*found, strict=True) if found else ((), (), (), ())
             arrays = [batch.column(3), batch.column(0).cast(pa.string()), batch.column(2), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(sums), pa.array(rare, rare_type)]
             yield pa.RecordBatch.from_arrays(arrays, ["_row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])

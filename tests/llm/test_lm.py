@@ -47,7 +47,7 @@ def walk(train: list[bytes], text: bytes, order: int, seen: dict | None = None)
 def test_scores_equal_a_direct_walk(spark, order, max_grams, max_words):
     rows = [(i, t) for i, t in enumerate(TEXTS)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    out = {r.doc_id: r for r in lm.score(docs, ~lm.held_out(F.col("doc_id")), order=order, max_grams=max_grams, max_words=max_words).collect()}
+    out = {r.doc_id: r for r in lm.score(docs, ~lm.held_out(F.col("doc_id")), order=order, max_grams=max_grams, max_words=max_words, block_bytes=60).collect()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
     assert any(held.values()) and not all(held.values())
     train = [(t or "").encode() for i, t in rows if not held[i]]
@@ -82,3 +82,31 @@ def test_no_training_rows_and_no_rows(spark):
     assert out[1].score == pytest.approx(-3 * math.log10(256)) and out[1].train_tokens == 0 and out[1].n_known == 0
     assert out[1].base_score == 0.0 and out[None].n_tokens == 1
     assert lm.score(docs.limit(0), ~lm.held_out(F.col("doc_id"))).count() == 0
+
+
+@pytest.mark.parametrize("max_grams", [10**6, 50])
+def test_long_texts_and_repeated_ids(spark, max_grams):
+    """Texts longer than a block of bytes come in pieces; rows that share an id are scored each on its own."""
+    rows = [(1, "ab cd " * 180_000), (1, "ab cd"), (1, "ab cd"), (None, "cd"), (None, None), (4, "\u00e9" * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"score": F.lit("clash"), "_row": F.lit(7), "held_out": F.lit(1)})
+    out = lm.score(docs, ~lm.held_out(F.col("doc_id")), max_grams=max_grams).collect()
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    train = [(t or "").encode() for i, t in rows if not held(i)]
+    seen = contexts_of(train, 5)
+    assert sorted((str(r.doc_id), r.n_tokens) for r in out) == sorted((str(i), len((t or "").split()) + 1) for i, t in rows)
+    want = sorted(walk(train, (t or "").encode(), 5, seen) for i, t in rows)
+    assert sorted(r.score for r in out) == pytest.approx(want, rel=1e-8)
+
+
+def test_pieces_of_long_texts(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 64)
+    texts = [b"short", b"x" * 50 + bytes(range(200)), b"", b"y" * 64, b"z" * 65, b"end"]
+    for order in (2, 5):
+        mine: dict = {}
+        for a, b, keys, counts in lm._pieces(texts, order):
+            ends = np.cumsum(counts)
+            for k, (low, high) in enumerate(zip(ends - counts, ends, strict=True)):
+                mine[a + k] = [*mine.get(a + k, ()), *keys[low:high].tolist()]
+        assert mine == {k: lm.grams([t], order)[0].tolist() for k, t in enumerate(texts)}
