@@ -46,7 +46,7 @@ GRAM, WORD = 0, 1
 #: Hash under which the end of a text is counted among the words.
 END = -(1 << 63)
 #: Bytes of text handled at once, and distinct keys that a task gathers before it passes them on.
-BLOCK_BYTES, GATHERED = 1 << 20, 1_500_000
+BLOCK_BYTES, GATHERED = 1 << 18, 1_000_000
 
 
 def words(text: bytes) -> list[bytes]:
@@ -179,6 +179,11 @@ def _level(events: np.ndarray, counts: np.ndarray) -> Level:
     return Level(events, counts, contexts[first], total, np.diff(np.r_[first, len(events)]), np.zeros(len(first), np.int64))
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """The same numbers in half the bytes, if they are small enough."""
+    return counts.astype(np.int32) if not len(counts) or counts.max() < 1 << 31 else counts
+
+
 class Trie:
     """Contexts of up to ``order`` bytes, or those of a slice together with all of one byte or none."""
 
@@ -200,6 +205,8 @@ class Trie:
         owner = np.repeat(np.arange(len(top.contexts)), top.distinct)
         self.top = np.log10(top.counts / (top.total + top.distinct)[owner]) if len(owner) else np.zeros(0)
         top.counts = np.zeros(0, np.int64)  # no longer needed
+        for level in self.levels:
+            level.counts, level.total, level.distinct, level.below = map(_narrow, (level.counts, level.total, level.distinct, level.below))
         self.index: KeyIndex | None = None
 
     def logs(self, keys: np.ndarray) -> np.ndarray:
