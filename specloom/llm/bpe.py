@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .tables import slices
 
 #: Strings up to CACHE_CHARS are kept in a worker's caches, each of two generations of at most so many.
-CACHE_CHARS, CACHED_CHUNKS, CACHED_PIECES, CACHED_PAIRS = 48, 250_000, 100_000, 400_000
+CACHE_CHARS, CACHED_CHUNKS, CACHED_PIECES, CACHED_PAIRS = 48, 160_000, 60_000, 250_000
 #: Fixed value: the public pattern for which a text may be cut before any space that a non-space follows.
 SPACED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 

@@ -21,8 +21,12 @@ SLICE_ROWS, SLICE_BYTES = 1000, 2 << 20
 ROW_GROUP_BYTES = 8 << 20
 
 
+#: Column chunks are read piece by piece instead of whole, outside the heap, at once.
+READING = {"parquet.hadoop.vectored.io.enabled": "false"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.options(**READING).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
@@ -64,7 +68,7 @@ def written(df: DataFrame, kind: str, small: bool = False) -> DataFrame:
     out = df.repartition(max(2, spark.sparkContext.defaultParallelism)) if small else df
     out.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     context = spark.sparkContext
-    again = spark.read.schema(df.schema).parquet(path)
+    again = spark.read.options(**READING).schema(df.schema).parquet(path)
     _WRITTEN.append((again, context._jvm.org.apache.hadoop.fs.Path(path), context._jsc.hadoopConfiguration()))
     return again
 
