@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Methods, versions and address schemes of SIP (RFC 3261 and its extensions) and RTSP (RFC 2326).
 SIP_METHODS = frozenset("ACK BYE CANCEL INFO INVITE MESSAGE NOTIFY OPTIONS PRACK PUBLISH REFER REGISTER SUBSCRIBE UPDATE".split())
 RTSP_METHODS = frozenset("ANNOUNCE DESCRIBE GET_PARAMETER OPTIONS PAUSE PLAY RECORD REDIRECT SETUP SET_PARAMETER TEARDOWN".split())
@@ -227,6 +229,6 @@ def blocks(texts: DataFrame, by: str, text: str = "text") -> DataFrame:
     cue = F.lit(False)
     for word in CUES:
         cue = cue | F.contains(F.col(text), F.lit(word))
-    rows = texts.select(by, F.col(text).alias("_text")).where(cue).withColumn("_b", F.explode(found(F.col("_text"))))
+    rows = spread(texts.select(by, F.col(text).alias("_text"))).where(cue).withColumn("_b", F.explode(found(F.col("_text"))))
     body = F.array_join(F.slice(F.split("_text", "\n"), F.col("_b.from_line") + 1, F.col("_b.to_line") - F.col("_b.from_line") + 1), "\n")
     return rows.select(by, "_b.block", "_b.kind", "_b.from_line", "_b.to_line", body.alias("body"))
