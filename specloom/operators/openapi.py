@@ -17,6 +17,12 @@ PARTS = f"spec_id string, api_name string, filename string, kind string, name st
 OWNER = ["spec_id", "api_name", "filename"]
 
 
+def _dealt(docs: DataFrame) -> int:
+    """Partitions for descriptions that take long to read."""
+    spark = docs.sparkSession
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def parts(docs: DataFrame) -> DataFrame:
     """The schemas and operations of every description, ``body`` as JSON, with what they refer to; an
     operation's ``request`` is the schema of its body.
@@ -27,7 +33,6 @@ def parts(docs: DataFrame) -> DataFrame:
     names = ["spec_id", "api_name", "filename", "kind", "name", "place", "body", "refs", "request", "error"]
     target = pa.struct([("file", pa.string()), ("schema", pa.string())])
     types = [pa.string()] * 5 + [pa.int32(), pa.string(), pa.list_(target), target, pa.string()]
-    spark = docs.sparkSession
 
     def rows_of(spec: str, api: str, filename: str, text: str | None) -> Iterator[tuple]:
         try:
@@ -50,8 +55,7 @@ def parts(docs: DataFrame) -> DataFrame:
                 columns = list(zip(*rows, strict=True)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    dealt = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return docs.select(*OWNER, "content").repartition(dealt).mapInArrow(run, PARTS)
+    return docs.select(*OWNER, "content").repartition(_dealt(docs)).mapInArrow(run, PARTS)
 
 
 def resolved(found: DataFrame) -> DataFrame:
@@ -134,18 +138,20 @@ def owners(found: DataFrame, schema: str) -> DataFrame:
 
 
 def restricted(docs: DataFrame, path: str | None = None, schema: str | None = None) -> DataFrame:
-    """Adds ``part``, the description cut to a path or schema as YAML, or ``error``."""
+    """Adds ``part``, the description cut to a path or schema as YAML, or ``error``. Descriptions are dealt
+    to all cores first, as by ``parts``."""
 
     @F.arrow_udf("struct<part:string,error:string>")
     def cut(content: pa.Array) -> pa.Array:
-        import yaml
-
-        rows = []
-        for text in content.to_pylist():
+        parts, errors = [], []
+        for text in content:
+            part = error = None
             try:
-                rows.append({"part": yaml.safe_dump(s.restrict(s.read(text or ""), path, schema), sort_keys=False, allow_unicode=True), "error": None})
-            except Exception as error:  # noqa: BLE001  bad rows are results here
-                rows.append({"part": None, "error": str(error)})
-        return pa.array(rows, pa.struct([("part", pa.string()), ("error", pa.string())]))
-
-    return docs.withColumn("_c", cut("content")).select("*", "_c.*").drop("_c")
+                part = s.written(s.restrict(s.read(text.as_py() or ""), path, schema))
+            except Exception as fault:  # noqa: BLE001  bad rows are results here
+                error = str(fault)
+            parts.append(part)
+            errors.append(error)
+        return pa.StructArray.from_arrays([pa.array(parts, pa.string()), pa.array(errors, pa.string())], ["part", "error"])
+
+    return docs.repartition(_dealt(docs)).withColumn("_c", cut("content")).select("*", "_c.*").drop("_c")
