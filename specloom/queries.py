@@ -82,7 +82,7 @@ def index_terms(spark, sf_dir):
     """Every term of a newly written index, as it is read back."""
     folder = f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
     index = fts.plain_index(c.texts(spark, sf_dir), "doc_id", WEIGHTS).write(folder)
-    return index.postings.groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("doc").alias("docs"))
+    return index.terms()
 
 
 @query(_search_sql([_term("license")], "h0"))
@@ -190,7 +190,7 @@ def search_family(spark, sf_dir):
 @query()
 def search_stemmed(spark, sf_dir):
     sections = c.texts(spark, sf_dir).select(F.col("doc_id").alias("ord"), F.lit("").alias("spec_id"), F.lit("").alias("number"), "title", "content")
-    index = fts.section_index(sections)
+    index = fts.section_index(sections).write(f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}")
     rows = fts.search_sections(sections, index, "licenses OR licensing", limit=20)
     return fts.with_snippets(rows, index, "licenses OR licensing", ["content", "title"]).select("ord", F.round("score", 6).alias("score"), "snippet")
 
