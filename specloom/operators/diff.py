@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -83,28 +84,30 @@ def edits(a: Sequence[str], b: Sequence[str], most: int = MOST_EDITS) -> tuple[l
 
 def _shortest(x: Sequence[str], y: Sequence[str], most: int) -> list[tuple[str, str]] | None:
     """Breadth first over the number of edits; each diagonal keeps its furthest place."""
-    reached: dict[int, int] = {1: 0}
-    trail: list[dict[int, int]] = []
+    # What is reached after d edits, on the diagonals -d, -d + 2 to d: four bytes each.
+    trail = [array("i", [0])]
     for d in range(min(most, len(x) + len(y)) + 1):
-        trail.append(dict(reached))
+        before, reached = trail[-1], array("i")
         for k in range(-d, d + 1, 2):
-            down = k == -d or (k != d and reached.get(k - 1, -1) < reached.get(k + 1, -1))
-            i = reached[k + 1] if down else reached[k - 1] + 1
+            at = (k + d) // 2
+            down = at == 0 or (at != d and before[at - 1] < before[at])
+            i = before[at] if down else before[at - 1] + 1
             while i < len(x) and i - k < len(y) and x[i] == y[i - k]:
                 i += 1
-            reached[k] = i
+            reached.append(i)
             if i >= len(x) and i - k >= len(y):
                 return _walk_back(x, y, trail)
+        trail.append(reached)
     return None
 
 
-def _walk_back(x: Sequence[str], y: Sequence[str], trail: list[dict[int, int]]) -> list[tuple[str, str]]:
+def _walk_back(x: Sequence[str], y: Sequence[str], trail: Sequence[Sequence[int]]) -> list[tuple[str, str]]:
     out: list[tuple[str, str]] = []
     i, j = len(x), len(y)
     for d in range(len(trail) - 1, 0, -1):
-        before, k = trail[d], i - j
-        down = k == -d or (k != d and before.get(k - 1, -1) < before.get(k + 1, -1))
-        from_i = before[k + 1] if down else before[k - 1]
+        before, at = trail[d], (i - j + d) // 2
+        down = at == 0 or (at != d and before[at - 1] < before[at])
+        from_i = before[at] if down else before[at - 1]
         while i > from_i + (not down):
             i, j = i - 1, j - 1
             out.append((" ", y[j]))
@@ -120,7 +123,11 @@ def _walk_back(x: Sequence[str], y: Sequence[str], trail: list[dict[int, int]])
 
 def unified(a: Sequence[str], b: Sequence[str], context: int = 3) -> str:
     """Hunks with ``context`` lines around changes; empty for equal texts, without a last line end."""
-    script, exact = edits(a, b)
+    return shown(*edits(a, b), context)
+
+
+def shown(script: Sequence[tuple[str, str]], exact: bool, context: int = 3) -> str:
+    """The hunks of a list of edits."""
     changed = [k for k, (op, _) in enumerate(script) if op != " "]
     if not changed:
         return ""
@@ -153,12 +160,13 @@ def textual(pairs: DataFrame, old: str, new: str, context: int = 3) -> DataFrame
 
     @F.arrow_udf("struct<diff:string,inserted:long,deleted:long>")
     def compare(a: pa.Array, b: pa.Array) -> pa.Array:
-        rows = []
-        for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
-            x, y = lines_of([x or ""]), lines_of([y or ""])
-            ops = [op for op, _ in edits(x, y)[0]]
-            rows.append({"diff": unified(x, y, context), "inserted": ops.count("+"), "deleted": ops.count("-")})
-        return pa.array(rows, pa.struct([("diff", pa.string()), ("inserted", pa.int64()), ("deleted", pa.int64())]))
+        # A batch's texts are taken one pair at a time.
+        out: list[list] = [[], [], []]
+        for x, y in zip(a, b, strict=True):
+            script, exact = edits(lines_of([x.as_py() or ""]), lines_of([y.as_py() or ""]))
+            for column, value in zip(out, (shown(script, exact, context), sum(op == "+" for op, _ in script), sum(op == "-" for op, _ in script)), strict=True):
+                column.append(value)
+        return pa.StructArray.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], ["diff", "inserted", "deleted"])
 
     return pairs.withColumn("_d", compare(F.col(old), F.col(new))).select("*", "_d.*").drop("_d")
 
