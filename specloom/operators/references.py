@@ -27,7 +27,7 @@ def bracket_maps(sections: DataFrame) -> DataFrame:
 
     @F.arrow_udf("map<string,string>")
     def read(texts: pa.Array) -> pa.Array:
-        return pa.array([list(bracket_map(x or "").items()) for x in texts.to_pylist()], pa.map_(pa.string(), pa.string()))
+        return pa.array([list(bracket_map(x.as_py() or "").items()) for x in texts], pa.map_(pa.string(), pa.string()))
 
     return reference_lists(sections).select("spec_id", "version", read("list").alias("brackets"))
 
@@ -40,8 +40,8 @@ def edges(sections: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                out, piece = [], batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 100):
+                out, piece = [], batch.slice(at, 100)
                 for spec, version, number, text, brackets in zip(*(piece.column(k).to_pylist() for k in range(5)), strict=True):
                     for c in citations(text or "", dict(brackets or ()), spec):
                         out.append((spec, version, number, c.spec, c.section, context(text, c.start, c.end)))
@@ -122,7 +122,8 @@ def linkified(sections: DataFrame, found: DataFrame | None = None) -> DataFrame:
     @F.arrow_udf("string")
     def link(batch: pa.Array) -> pa.Array:
         out = []
-        for row in batch.to_pylist():
+        for item in batch:
+            row = item.as_py()  # one text at a time
             gone, mine, spec = set(row["missing"] or ()), set(row["own"] or ()), row["spec_id"]
             exists = lambda s, n, gone=gone, mine=mine, spec=spec: n in mine if s == spec else f"{s}#{n}" not in gone
             url = lambda s, n: f"https://www.rfc-editor.org/rfc/rfc{s[4:]}" + (f"#section-{n}" if n else "") if s.startswith("RFC ") else f"/specs/{s.replace(' ', '%20')}" + (f"/sections/{n}" if n else "")
