@@ -68,20 +68,22 @@ def resolved(found: DataFrame) -> DataFrame:
     known = found.where("kind = 'schema'")
     last = found.where("filename <> ''").groupBy("filename").agg(F.max(F.struct("spec_id", "api_name")).alias("w"))
 
+    # None of these tables has a bound, and many of their rows take few bytes on the way: sizes of shuffles
+    # would have them collected by the driver, to be broadcast.
     def owned(rows: DataFrame) -> DataFrame:
         """``file, schema`` of the rows' references with the description that is meant."""
         own = F.col("file") == F.col("filename")
-        rows = rows.join(last.select(F.col("filename").alias("file"), "w"), "file", "left")
+        rows = rows.join(last.select(F.col("filename").alias("file"), "w").hint("merge"), "file", "left")
         return rows.withColumns({"t_spec": F.when(own, F.col("spec_id")).otherwise(F.col("w.spec_id")), "t_api": F.when(own, F.col("api_name")).otherwise(F.col("w.api_name"))}).drop("w")
 
     named = [F.col("spec_id").alias("t_spec"), F.col("api_name").alias("t_api"), F.col("filename").alias("file"), F.col("name").alias("schema")]
     on, key = ["t_spec", "t_api", "file", "schema"], [*OWNER, "kind", "name"]
     refs = owned(known.select(*key, F.explode("refs").alias("r")).select(*key, "r.*"))
-    targets = refs.join(known.select(*named, F.col("body").alias("target")), on).groupBy(*key).agg(F.collect_list(F.struct("file", "schema", "target")).alias("targets"))
-    schemas = known.join(targets, key, "left")
+    targets = refs.join(known.select(*named, F.col("body").alias("target")).hint("merge"), on).groupBy(*key).agg(F.collect_list(F.struct("file", "schema", "target")).alias("targets"))
+    schemas = known.join(targets.hint("merge"), key, "left")
     operations = owned(found.where("kind = 'operation'").withColumns({"file": F.col("request.file"), "schema": F.col("request.schema")}))
     asked = schemas.select(*named, F.struct(F.col("filename").alias("file"), F.col("name").alias("schema"), "body", "targets").alias("asked"))
-    both = operations.join(asked, on, "left").withColumn("targets", F.lit(None).cast(schemas.schema["targets"].dataType))
+    both = operations.join(asked.hint("merge"), on, "left").withColumn("targets", F.lit(None).cast(schemas.schema["targets"].dataType))
     columns = [*found.columns, "targets"]
     return schemas.select(*columns, F.lit(None).cast(asked.schema["asked"].dataType).alias("asked")).unionByName(both.select(*columns, "asked"))
 
@@ -114,7 +116,7 @@ def chunks(docs: DataFrame) -> DataFrame:
     # Numbers of places alone are sorted, in ranges; texts only meet their numbers.
     place = ["filename", "spec_id", "api_name", "place"]
     order = found.select(*place).orderBy(*place).withColumn("ord", F.monotonically_increasing_id())
-    return rows.join(order, place).select("ord", *OWNER, "kind", "name", "body")
+    return rows.join(order.hint("merge"), place).select("ord", *OWNER, "kind", "name", "body")
 
 
 def listing(docs: DataFrame, spec_id: str | None = None) -> DataFrame:
